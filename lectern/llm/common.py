@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES, column: s
     """Cut Arrow batches so that the text of each part has at most ``most`` bytes, or is one row."""
     for batch in batches:
         col = batch.column(column)
-        lengths = pa.compute.binary_length(col).to_pylist()
+        lengths = pc.binary_length(col).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(lengths):
             if held and held + n > most:
