@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, exact_dedup, license_scan, packing, secret_scan, token_ids, toxicity
+from lectern.llm import bpe, exact_dedup, license_scan, minhash, packing, secret_scan, token_ids, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_secret_scan, op4_token_ids, op5_bpe, op8_exact_dedup, op9_packing, op10_license_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_secret_scan, op4_token_ids, op5_bpe, op8_exact_dedup, op9_packing, op10_license_scan)}
 
 
 OP8_SQL = r"""
