@@ -43,17 +43,36 @@ RULE_VERSION = 1
 FINDING = "struct<start:bigint,kind_no:int,kind:string,stop:bigint>"
 
 
-def _quick(kind: str, pattern: str, least: int) -> str:
-    """A pattern without captures that every text with a finding matches; it only saves work."""
-    return r"[0-9a-f]{%d}" % least if kind == "hex" else r"AKIA[A-Z0-9]{16}" if kind == "access" else pattern
+#: Strings (in lower case) of which a text with a finding has at least one; a pattern for hex.
+HINTS = {
+    "assign": ["password", "passwd", "secret", "token", "apikey", "api_key"],
+    "access": ["akia"],
+    "github": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"],
+    "slack": ["xox"],
+    "jwt": ["eyj"],
+    "pem": ["-----begin "],
+    "bearer": ["bearer"],
+}
+
+
+def hinted(text: Column, low: Column, kind: str, pattern: str, group: int, least: int) -> Column:
+    """A cheap test that every text with a finding passes."""
+    if kind == "hex":
+        return text.rlike("[0-9a-f]{%d}" % least)
+    if kind not in HINTS:
+        return text.rlike(pattern)
+    out = low.contains(HINTS[kind][0])
+    for h in HINTS[kind][1:]:
+        out = out | low.contains(h)
+    return out
 
 
 def spans_of(text: Column, no: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """All findings of one rule in a text, as an array of (start, kind_no, kind, stop)."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    measured = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     size = lambda c: F.coalesce(F.char_length(c), F.lit(0)).cast("long")
-    steps = F.transform(F.split(text, pattern, -1), lambda gap, i: F.struct(size(gap).alias("gap"), size(F.get(whole, i)).alias("hit"), size(F.get(measured, i)).alias("part")))
+    matches = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    steps = F.zip_with(F.split(text, pattern, -1), matches(0), lambda gap, hit: F.struct(size(gap).alias("gap"), size(hit).alias("hit")))
+    steps = F.zip_with(steps, matches(group), lambda x, part: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), size(part).alias("part")))
     none = F.array().cast(f"array<{FINDING}>")
 
     def step(acc: Column, x: Column) -> Column:
@@ -62,8 +81,7 @@ def spans_of(text: Column, no: int, kind: str, pattern: str, group: int, least:
         found = F.struct(at.alias("start"), F.lit(no).alias("kind_no"), F.lit(kind).alias("kind"), end.alias("stop")).cast(FINDING)
         return F.struct(end.alias("at"), F.when(x["part"] >= least, F.concat(acc["found"], F.array(found))).otherwise(acc["found"]).alias("found"))
 
-    found = F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("at"), none.alias("found")), step, lambda acc: acc["found"])
-    return F.when(text.rlike(_quick(kind, pattern, least)), found).otherwise(none)
+    return F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("at"), none.alias("found")), step, lambda acc: acc["found"])
 
 
 class BlobLedger:
@@ -98,9 +116,19 @@ class BlobLedger:
         owners = versions.select(F.col("doc_id").cast("long").alias("at"), F.coalesce("text", F.lit("")).alias("text"))
         # the text of one path of each blob; the digest is checked as ids may repeat
         picked = owners.join(todo, F.col("at").eqNullSafe(F.col("_at"))).where(F.unhex(F.sha2("text", 256)) == F.col("blob"))
-        each = [F.struct(F.lit(r[0]).alias("kind"), F.when(F.array_contains("kinds", r[0]), spans_of(F.col("text"), no, *r)).alias("found")) for no, r in enumerate(rules)]
-        found = picked.select("blob", F.explode(F.array(*each)).alias("x")).where(F.col("x.found").isNotNull())
-        found.select("blob", "x.kind", F.lit(version).cast("int").alias("version"), "x.found").write.mode("append").parquet(self.path)
+        # one look at every text; only those with a hint keep it for the exact scan
+        low = picked.withColumn("low", F.lower("text"))
+        flags = F.array(*[F.array_contains("kinds", r[0]) & hinted(F.col("text"), F.col("low"), *r) for r in rules])
+        seen = low.select("blob", "kinds", flags.alias("flags"), "text")
+        seen = seen.select("blob", "kinds", "flags", F.when(F.array_contains("flags", True), F.col("text")).alias("text"))
+        seen = materialize(seen, "hinted")
+        none = F.array().cast(f"array<{FINDING}>")
+        each = [F.struct(F.lit(r[0]).alias("kind"), F.when(F.col("flags")[no], spans_of(F.col("text"), no, *r)).otherwise(none).alias("found")) for no, r in enumerate(rules)]
+        exact = seen.where(F.col("text").isNotNull()).select("blob", "kinds", F.explode(F.array(*each)).alias("x"))
+        exact = exact.where(F.array_contains("kinds", F.col("x.kind"))).select("blob", "x.kind", "x.found")
+        clean = seen.where(F.col("text").isNull()).select("blob", F.explode("kinds").alias("kind")).withColumn("found", none)
+        done = exact.unionByName(clean).withColumn("version", F.lit(version).cast("int"))
+        done.select("blob", "kind", "version", "found").write.mode("append").parquet(self.path)
         self.filled = True
         kinds = [r[0] for r in rules]
         hits = self.read().where((F.col("version") == version) & F.col("kind").isin(kinds) & (F.size("found") > 0))
