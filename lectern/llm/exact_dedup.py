@@ -89,7 +89,7 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataF
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of repeated rows with one doc_id and equal text each stays."""
-    keep = groups(materialize(fingerprints(docs), "digests")).select(F.col("keep_id").alias("_keep"))
-    held = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    return held
+    """The rows of ``docs`` that stay, with all their columns; repeated rows with one doc_id and equal text stay or go together."""
+    keep = groups(materialize(fingerprints(docs), "digests")).select(F.col("keep_id").alias("_keep"), F.col("digest").alias("_digest"))
+    digest = F.unhex(F.sha2(normalised(docs["text"]), 256))
+    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col("_keep")) & (digest == F.col("_digest")), "left_semi")

@@ -157,6 +157,8 @@ def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame
 def redact(docs: DataFrame, ledger: BlobLedger | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every finding replaced by ``mark`` (overlapping ones by one mark); all columns and rows stay.
 
+    A column n_chars follows the new text.
+
     The findings of a text replace it wherever the text stands, so they are looked up by the text's digest.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
@@ -172,4 +174,6 @@ def redact(docs: DataFrame, ledger: BlobLedger | None = None, mark: str = "[SECR
         return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(new, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate("_found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return both.select(*[F.when(F.col("_found").isNull(), F.col("text")).otherwise(clean).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    new = both.withColumn("_new", F.when(F.col("_found").isNotNull(), clean))
+    follow = {"text": F.coalesce("_new", "text"), "n_chars": F.coalesce(F.char_length("_new").cast("long"), "n_chars") if "n_chars" in docs.columns else None}
+    return new.select(*[follow[c].alias(c) if c in follow else docs[c] for c in docs.columns])
