@@ -15,6 +15,7 @@ repeated rows are pieces of their own; an empty table gives an empty result; fur
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -28,8 +29,6 @@ from lectern.llm.common import materialize, texts
 from lectern.llm.wordcache import encoded
 
 CAPACITY = 2048
-#: Pieces that one block of a length class should have at most, on average.
-BLOCK_ROWS = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -90,8 +89,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 def ranked(items: DataFrame) -> DataFrame:
     """``items`` with ``rank``: their number, from 0, among all of the same length."""
-    rows = items.count()
-    blocks = max(1, -(-rows // BLOCK_ROWS))
+    blocks = max(1, math.isqrt(items.count()))  # then neither a block's rows nor a length's blocks grow faster than the root
     dealt = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int"))
     sizes = dealt.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
