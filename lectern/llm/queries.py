@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, exact_dedup, license_scan, minhash, packing, secret_scan, suffix_dedup, token_ids, toxicity
+from lectern.llm import bpe, exact_dedup, license_scan, media, minhash, packing, secret_scan, suffix_dedup, token_ids, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.copies(media.page_images(_table(spark, sf_dir, "pages"))).withColumnRenamed("image_id", "page_id")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_secret_scan, op4_token_ids, op5_bpe, op7_suffix_dedup, op8_exact_dedup, op9_packing, op10_license_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_secret_scan, op4_token_ids, op5_bpe, op6_media, op7_suffix_dedup, op8_exact_dedup, op9_packing, op10_license_scan)}
 
 
 OP8_SQL = r"""
