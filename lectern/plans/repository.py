@@ -337,7 +337,7 @@ def formatting_consistency_modal_share(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, CASE WHEN b < 1024 THEN CAST(CAST(floor(b) AS BIGINT) AS VARCHAR) || ' bytes' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576) ELSE printf('%.1f GB', b / 1073741824) END AS size
+SELECT p_partkey, CASE WHEN b < 1024 THEN CAST(CAST(floor(b) AS BIGINT) AS VARCHAR) || ' bytes' WHEN b < 1048576 THEN printf('%.1f KB', round(b / 1024, 1)) WHEN b < 1073741824 THEN printf('%.1f MB', round(b / 1048576, 1)) ELSE printf('%.1f GB', round(b / 1073741824, 1)) END AS size
 FROM (SELECT p_partkey, p_retailprice * power(10, p_size % 7) AS b FROM part)
 """)
 def file_size_text(t: Tables) -> DataFrame:

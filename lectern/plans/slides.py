@@ -92,7 +92,7 @@ def role_transition_order(t: Tables) -> DataFrame:
 
 @query(f"""
 WITH d AS (SELECT conv_id, turn, least(1.0, {_WORDS} / 100) AS density FROM conversations), l AS (SELECT *, lag(density) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM d)
-SELECT conv_id, round(avg(density), 4) AS mean_density, round(max(density) - min(density), 4) AS spread, round(coalesce(avg(CASE WHEN p IS NULL THEN NULL WHEN abs(density - p) < 0.3 THEN 1.0 WHEN abs(density - p) < 0.5 THEN 0.7 ELSE 0.3 END), 1.0), 4) AS transition_pacing, round(1 - least(1.0, 2 * abs(avg(density) - 0.65)), 4) AS balance FROM l GROUP BY conv_id
+SELECT conv_id, round(avg(density), 7) AS mean_density, round(max(density) - min(density), 4) AS spread, round(coalesce(avg(CASE WHEN p IS NULL THEN NULL WHEN abs(density - p) < 0.3 THEN 1.0 WHEN abs(density - p) < 0.5 THEN 0.7 ELSE 0.3 END), 1.0), 7) AS transition_pacing, round(1 - least(1.0, 2 * abs(avg(density) - 0.65)), 7) AS balance FROM l GROUP BY conv_id
 """)
 def content_density(t: Tables) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -100,7 +100,7 @@ def content_density(t: Tables) -> DataFrame:
     change = F.abs(F.col("density") - F.col("p"))
     step = F.when(F.col("p").isNull(), None).when(change < 0.3, 1.0).when(change < 0.5, 0.7).otherwise(0.3)
     mean = F.avg("density")
-    return d.groupBy("conv_id").agg(F.round(mean, 4).alias("mean_density"), F.round(F.max("density") - F.min("density"), 4).alias("spread"), F.round(F.coalesce(F.avg(step), F.lit(1.0)), 4).alias("transition_pacing"), F.round(1 - F.least(F.lit(1.0), 2 * F.abs(mean - 0.65)), 4).alias("balance"))
+    return d.groupBy("conv_id").agg(F.round(mean, 7).alias("mean_density"), F.round(F.max("density") - F.min("density"), 4).alias("spread"), F.round(F.coalesce(F.avg(step), F.lit(1.0)), 7).alias("transition_pacing"), F.round(1 - F.least(F.lit(1.0), 2 * F.abs(mean - 0.65)), 7).alias("balance"))
 
 
 @query(rf"""
