@@ -38,8 +38,10 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS = 48, 5
 #: An odd number: the distance that one circular shift moves.
 STEP = np.uint32(0x9E3779B1)
-#: Rounds against leaders before all pairs across components that are left.
+#: Rounds against leaders before the prefix filter.
 LEADER_ROUNDS = 2
+#: How many of the most frequent shingles are told apart by the order of the prefix filter; it only saves work.
+COMMON = 100_000
 #: Pairs that one copy of a leader's text serves at most.
 SALT_PAIRS = 256
 
@@ -138,6 +140,43 @@ def confirmed(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return left.join(leaders, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def prefix_pairs(open_docs: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (a, b) across the components of ``open_docs`` (rep, component) that share a shingle of their prefixes."""
+    spark = held.sparkSession
+    rows = materialize(held.join(open_docs, held["doc_id"] == open_docs["rep"]).select("rep", "component", "text"), "open-texts")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            values, n = np.unique(shingle_sets(part.column("text"))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n, pa.int64())], ["shingle", "n"])
+
+    frequent = rows.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2")
+    top = [r["shingle"] for r in frequent.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()]
+    common = np.array(top, np.int64).view(np.uint64)
+    order = np.argsort(common)
+    shared = spark.sparkContext.broadcast((common[order], len(common) - order))  # a later place for what is more frequent
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, late = shared.value
+        for part in slices(batches):
+            values, owner = shingle_sets(part.column("text"))
+            place = np.zeros(len(values), np.int64)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, values), len(names) - 1)
+                place = np.where(names[at] == values, late[at], 0)
+            sort = np.lexsort((values, place, owner))
+            n = np.bincount(owner, minlength=part.num_rows) if len(owner) else np.zeros(part.num_rows, np.int64)
+            number = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+            keep = number < np.repeat(n - -(-n * PERCENT // 100) + 1, n)
+            who = pa.array(owner[sort][keep])
+            yield pa.RecordBatch.from_arrays([pa.array(values[sort][keep].view(np.int64)), part.column("rep").take(who), part.column("component").take(who), pa.array(np.repeat(n, n)[keep], pa.int64())], ["shingle", "rep", "component", "n"])
+
+    keys = materialize(rows.mapInArrow(prefixes, "shingle long, rep long, component long, n long"), "prefixes")
+    other = keys.select("shingle", F.col("rep").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"))
+    fit = F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT
+    return keys.join(other, "shingle").where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("c")) & fit).select(F.col("rep").alias("a"), "b").distinct()
+
+
 def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) over all classes that are linked with another one."""
     spark = docs.sparkSession
@@ -166,8 +205,7 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
             votes = led.groupBy("b", "a").agg(F.count(F.lit(1)).alias("n"))
             pairs = votes.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("best.a", "b") if number == 0 else votes.select("a", "b")
         else:
-            other = open_.select("key", F.col("rep").alias("a"), F.col("component").alias("c"))
-            pairs = open_.join(other, "key").where("c <> component and a < rep").select("a", F.col("rep").alias("b")).distinct()
+            pairs = prefix_pairs(open_.select("rep", "component").distinct(), held)
         if tried is not None:
             done = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(done, ["a", "b"], "left_anti")
