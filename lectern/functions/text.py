@@ -41,7 +41,7 @@ def sentences(text: Column) -> Column:
 
 
 def lines(text: Column, separator: str = "\n\n") -> Column:
-    return F.filter(F.transform(F.split(text, separator), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, separator), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def syllables(word: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 #: Minutes of the n-th lockout; the last one holds for all further ones.
 LOCKOUT_MINUTES = [5, 15, 30, 60, 120, 360, 720, 1440]
@@ -50,7 +51,7 @@ def _fold(df: DataFrame, key: str, ts: str, order: list[str], step, state) -> Da
     Keys are dealt by hash and sorted in their partition, so no key has to fit into memory.
     """
     names = df.columns
-    schema = df.schema.add("allowed", "boolean")
+    schema = StructType([*df.schema.fields, StructField("allowed", BooleanType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, held = object(), None

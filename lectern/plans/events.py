@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators import timeline as T
 from lectern.plans.registry import Tables, query
 
-RISK = F.when(F.col("value") < 30, "low").when(F.col("value") < 60, "medium").when(F.col("value") < 80, "high").otherwise("critical")
+
+def _risk() -> Column:
+    return F.when(F.col("value") < 30, "low").when(F.col("value") < 60, "medium").when(F.col("value") < 80, "high").otherwise("critical")
 
 
 @query("""
@@ -24,7 +26,7 @@ def audit_stats_grouping_sets(t: Tables) -> DataFrame:
 SELECT event_type, CASE WHEN value < 30 THEN 'low' WHEN value < 60 THEN 'medium' WHEN value < 80 THEN 'high' ELSE 'critical' END AS risk, count(*) AS n, round(avg(value), 4) AS mean_value FROM events GROUP BY 1, 2
 """)
 def risk_histogram(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type", RISK.alias("risk")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean_value"))
+    return t.events.groupBy("event_type", _risk().alias("risk")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean_value"))
 
 
 @query("""
