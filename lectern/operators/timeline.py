@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 #: Minutes of the n-th lockout; the last one holds for all further ones.
 LOCKOUT_MINUTES = [5, 15, 30, 60, 120, 360, 720, 1440]
@@ -115,3 +115,24 @@ def retry_delay(attempt: Column, base: int, most: int = 300) -> Column:
 
 def day_keys(first: Column, last: Column) -> Column:
     return F.explode(F.sequence(first.cast("date"), last.cast("date"), F.expr("interval 1 day")))
+
+
+def packed(df: DataFrame, key: str, order: list[str], size: str, most: int, capacity: int) -> DataFrame:
+    """Adds ``batch``: rows of a key, in order, fill a batch until it has ``most`` rows or the next would exceed the capacity."""
+    names = df.columns
+    schema = StructType([*df.schema.fields, StructField("batch", LongType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, number, rows, held = object(), 0, 0, 0
+        for batch in batches:
+            out = []
+            for k, n in zip(batch[key], batch[size], strict=True):
+                if k != current:
+                    current, number, rows, held = k, 0, 0, 0
+                elif rows == most or held + n > capacity:
+                    number, rows, held = number + 1, 0, 0
+                rows, held = rows + 1, held + n
+                out.append(number)
+            yield batch[names].assign(batch=out)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
