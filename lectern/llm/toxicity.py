@@ -1,12 +1,13 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Units are whole words and their first four and five bytes, so that inflected forms share evidence. Unit counts of
-labelled documents give log-odds under an informative Dirichlet prior (the prior is the pooled corpus); units that are
+Units are whole words and their first four to eight bytes, so that inflected forms share evidence. Unit counts of
+labelled documents (near copies, by one MinHash of their shingles, count once) give log-odds under an informative Dirichlet prior (the prior is the pooled corpus); units that are
 surely more frequent in toxic documents keep their log-odds as weight, every other word has a small negative one. The
 linear-time scan of Ruzzo and Tompa then finds all maximal scoring segments of a text. Karlin-Altschul statistics turn
 a segment's score into the number of such segments expected by chance in a clean text of that length (lambda is the
 root of the background's moment generating function, K is set from the clean training documents), and the document's
-evidence, the sum over its significant segments, becomes a probability by a logistic fit on training documents.
+evidence, the sum over its significant segments, becomes a probability by a logistic fit on training documents. Scattered
+evidence counts too: how far the sum of all weights lies above what a clean text of that length has, in deviations.
 
 The model learns from at most ``max_labelled`` labelled rows (chosen by a hash of their id; the bound keeps the
 broadcast of labels bounded) and has at most ``max_units`` units. All texts are scored whole.
@@ -28,20 +29,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import slices, texts
-from lectern.llm.textops import distinct_per_doc, lower_ascii, prefix_sums, runs, span_hash, views
+from lectern.llm.common import materialize, slices, texts
+from lectern.llm.minhash import shingle_sets
+from lectern.llm.textops import distinct_per_doc, lower_ascii, mix, prefix_sums, runs, span_hash, views
 
 #: Labelled rows that a model learns from at most.
 MAX_LABELLED = 20_000
 #: Units that a model keeps at most.
 MAX_UNITS = 8192
 #: Least z-score and log-odds of a unit.
-MIN_Z, MIN_LOG_ODDS = 4.0, 2.0
+MIN_Z, MIN_LOG_ODDS = 3.5, 1.5
+#: Bytes of the prefixes that are units.
+PREFIXES = (4, 5, 6, 7, 8)
 #: Weight of every other word: a toxic passage is taken to have about one toxic word in five.
 BACKGROUND = math.log(0.8)
 #: Strength of the prior, in documents.
 PRIOR = 50.0
-BINS = 256
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -58,7 +61,7 @@ def unit_hashes(col: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     starts, ends, docs = runs((raw >= 128) | (raw >= 97) & (raw <= 122), off)
     sums = prefix_sums(raw)
     out = [span_hash(sums, starts, ends)]
-    for n in (4, 5):
+    for n in PREFIXES:
         h = span_hash(sums, starts, np.minimum(starts + n, ends)) ^ np.uint64(n)
         out.append(np.where(ends - starts > n, h, np.uint64(0)))
     return out, docs
@@ -94,11 +97,12 @@ class Model:
     weights: np.ndarray
     decay: float  # lambda
     log_k: float
-    slope: float
-    intercept: float
+    mean: float  # of the weights of a clean text's words, and their variance
+    variance: float
+    fit: tuple[float, float, float]  # intercept, and slopes of both kinds of evidence
 
-    def segments(self, col: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
-        """How many words each text has, and its maximal segments."""
+    def segments(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, float]]]]:
+        """How many words each text has, the sum of their positive weights, and its maximal segments."""
         hashes, docs = unit_hashes(col)
         n_words = np.bincount(docs, minlength=len(col)) if len(docs) else np.zeros(len(col), np.int64)
         out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(col))]
@@ -111,15 +115,28 @@ class Model:
         for group in np.split(hits, np.flatnonzero(np.diff(docs[hits])) + 1) if len(hits) else []:
             d = int(docs[group[0]])
             out[d] = maximal_segments(group - first[d], best[group], BACKGROUND)
-        return n_words, out
+        return n_words, np.bincount(docs, best, len(col)) if len(docs) else np.zeros(len(col)), out
 
     def evidence(self, n_words: int, found: list[tuple[int, int, float]]) -> tuple[float, int]:
         """Sum of -log(expected number by chance) over significant segments, and how many there are."""
         excess = [self.decay * s - self.log_k - math.log(max(1, n_words)) for _, _, s in found]
         return sum(x for x in excess if x > 0), sum(x > 0 for x in excess)
 
-    def probability(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.intercept + self.slope * np.sqrt(evidence), -30, 30)))
+    def features(self, n_words: np.ndarray, total: np.ndarray, found: list) -> np.ndarray:
+        """Two columns, rounded to sixths and bounded: segment evidence and total evidence."""
+        first = np.sqrt([self.evidence(int(n), f)[0] for n, f in zip(n_words, found, strict=True)]) if len(found) else np.zeros(0)
+        second = (total - n_words * self.mean) / np.sqrt(n_words * self.variance + 1)
+        return np.rint(np.stack([np.minimum(first, 20), np.clip(second, -5, 20)], 1) * 6) / 6
+
+    def probability(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.fit[0] + features @ np.array(self.fit[1:]), -30, 30)))
+
+    def scores(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, list]:
+        n_words, total, found = self.segments(col)
+        return self.probability(self.features(n_words, total, found)), n_words, found
+
+
+EMPTY = Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 0.0, 0.0, 0.0, (-30.0, 0.0, 0.0))
 
 
 def sample_of(labels: DataFrame, max_labelled: int) -> DataFrame:
@@ -166,68 +183,91 @@ def root(weights: np.ndarray, share: np.ndarray, background: float) -> float:
     return low
 
 
+def training(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
+    """(text, toxic) of the training rows; of texts with the same MinHash and label one is taken."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            values, owner = shingle_sets(part.column("text"))
+            n = np.bincount(owner, minlength=part.num_rows) if len(owner) else np.zeros(part.num_rows, np.int64)
+            keys = np.zeros(part.num_rows, np.uint64)
+            full = np.flatnonzero(n)
+            if len(full):
+                keys[full] = np.minimum.reduceat(mix(values), (np.cumsum(n) - n)[full])
+            yield pa.RecordBatch.from_arrays([part.column("text"), part.column("toxic"), pa.array(keys.view(np.int64))], ["text", "toxic", "key"])
+
+    sample = sample_of(labels, max_labelled)
+    rows = texts(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
+    keyed = rows.mapInArrow(run, "text string, toxic int, key long").groupBy("key", "toxic").agg(F.min("text").alias("text"))
+    return materialize(keyed.select("text", "toxic"), "training")
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_units: int = MAX_UNITS) -> Model:
     """Learn from the training rows of ``labels``. The driver holds at most ``max_units`` units and two histograms."""
-    empty = Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 0.0, 0.0, -30.0)
-    sample = sample_of(labels, max_labelled)
-    train = texts(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
-    counts = unit_counts(train).persist()
-    try:
-        totals = {r["unit"]: (int(r["toxic_docs"]), int(r["clean_docs"])) for r in counts.where("unit in (0, 1)").collect()}
-        (n1, n0), (_, clean_words) = totals.get(0, (0, 0)), totals.get(1, (0, 0))
-        if not n1 or not n0:
-            return empty
-        a1 = F.col("toxic_docs") + PRIOR * (F.col("toxic_docs") + F.col("clean_docs")) / (n1 + n0)
-        a0 = F.col("clean_docs") + PRIOR * (F.col("toxic_docs") + F.col("clean_docs")) / (n1 + n0)
-        odds = lambda a, n: F.log(a / F.greatest(F.lit(n + PRIOR) - a, F.lit(0.5)))
-        scored = counts.where("unit not in (0, 1) and toxic_docs > 1").withColumn("log_odds", odds(a1, n1) - odds(a0, n0)).withColumn("z", F.col("log_odds") / F.sqrt(1 / a1 + 1 / a0))
-        top = scored.where((F.col("z") >= MIN_Z) & (F.col("log_odds") >= MIN_LOG_ODDS)).orderBy(F.desc("z"), "unit").limit(max_units).collect()
-    finally:
-        counts.unpersist()
+    train = training(docs, labels, max_labelled)
+    counts = materialize(unit_counts(train), "unit-counts")
+    totals = {r["unit"]: (int(r["toxic_docs"]), int(r["clean_docs"])) for r in counts.where("unit in (0, 1)").collect()}
+    (n1, n0), (_, clean_words) = totals.get(0, (0, 0)), totals.get(1, (0, 0))
+    if not n1 or not n0:
+        return EMPTY
+    a1 = F.col("toxic_docs") + PRIOR * (F.col("toxic_docs") + F.col("clean_docs")) / (n1 + n0)
+    a0 = F.col("clean_docs") + PRIOR * (F.col("toxic_docs") + F.col("clean_docs")) / (n1 + n0)
+    odds = lambda a, n: F.log(a / F.greatest(F.lit(n + PRIOR) - a, F.lit(0.5)))
+    scored = counts.where("unit not in (0, 1) and toxic_docs > 1").withColumn("log_odds", odds(a1, n1) - odds(a0, n0)).withColumn("z", F.col("log_odds") / F.sqrt(1 / a1 + 1 / a0))
+    top = scored.where((F.col("z") >= MIN_Z) & (F.col("log_odds") >= MIN_LOG_ODDS)).orderBy(F.desc("z"), "unit").limit(max_units).collect()
     if not top:
-        return empty
+        return EMPTY
     units = np.array([r["unit"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(units)
     weights = np.array([r["log_odds"] for r in top])[order]
     share = np.array([r["clean_docs"] for r in top])[order] / max(1, clean_words) + 1e-9
-    model = Model(units[order], weights, root(weights, share, BACKGROUND), 0.0, 0.0, 0.0)
+    model = Model(units[order], weights, root(weights, share, BACKGROUND), 0.0, 0.0, 0.0, (0.0, 0.0, 0.0))
+    clean = histogram(train.where("toxic = 0"), model, best_and_sum)
+    n_docs = max(1, sum(clean.values()))
     # K: so that a clean training text has one chance segment in expectation where its best excess is on average
-    best = histogram(train, model, lambda m, n, found: max((m.decay * s for _, _, s in found), default=0.0) - math.log(max(1, n)))
-    clean = {b: n for (toxic, b), n in best.items() if not toxic}
-    mean = sum(math.exp(min(b, 20.0)) * n for b, n in clean.items()) / max(1, sum(clean.values()))
-    model.log_k = math.log(max(mean, 1e-6))
-    seen = histogram(train, model, lambda m, n, found: math.sqrt(m.evidence(n, found)[0]))
-    model.slope, model.intercept = logistic(seen)
+    model.log_k = math.log(max(1e-6, sum(math.exp(min(b, 20.0)) * n for (_, b, _), n in clean.items()) / n_docs))
+    model.mean = sum(x * n for (_, _, x), n in clean.items()) / n_docs
+    model.variance = sum((x - model.mean) ** 2 * n for (_, _, x), n in clean.items()) / n_docs * max(1.0, clean_words / n_docs)
+    model.fit = logistic(histogram(train, model, lambda m, *seen: m.features(*seen)))
     return model
 
 
-def histogram(train: DataFrame, model: Model, measure) -> dict[tuple[int, float], int]:
-    """How many training documents of each label have each rounded value of ``measure``: a few hundred rows."""
+def best_and_sum(model: Model, n_words: np.ndarray, total: np.ndarray, found: list) -> np.ndarray:
+    """Excess of the best segment, and mean weight of the words (to 1/120)."""
+    best = np.array([max((model.decay * s for _, _, s in f), default=0.0) - math.log(max(1, n)) for n, f in zip(n_words, found, strict=True)])
+    return np.stack([np.rint(np.clip(best, -20, 20) * 6) / 6, np.rint(np.minimum(total / np.maximum(n_words, 1), 4) * 120) / 120], 1)
+
+
+def histogram(train: DataFrame, model: Model, measure) -> dict[tuple[int, float, float], int]:
+    """How many training documents of each label have each pair of rounded values: as many rows as bins at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            n_words, found = model.segments(part.column("text"))
-            values = [round(min(20.0, max(-20.0, measure(model, int(n), f))) * 6) for n, f in zip(n_words, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(values, pa.int32())], ["toxic", "bin"])
-
-    rows = train.select("text", "toxic").mapInArrow(run, "toxic int, bin int").groupBy("toxic", "bin").count().collect()
-    return {(int(r["toxic"]), r["bin"] / 6): int(r["count"]) for r in rows}
-
-
-def logistic(seen: dict[tuple[int, float], int]) -> tuple[float, float]:
-    """Slope (not negative) and intercept of a lightly regularised logistic fit of the label on the measure."""
-    x, y, n = (np.array(c, float) for c in zip(*((b, t, k) for (t, b), k in seen.items()), strict=True))
-    slope, intercept = 0.1, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(intercept + slope * x, -30, 30)))
-        w = n * np.maximum(p * (1 - p), 1e-9)
-        g = np.array([(n * (y - p) * x).sum() - 0.1 * slope, (n * (y - p)).sum() - 0.01 * intercept])
-        h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum() + 0.01]])
-        step = np.clip(np.linalg.solve(h, g), -2, 2)
-        slope, intercept = slope + step[0], intercept + step[1]
-        if abs(step).max() < 1e-6:
-            break
-    return max(0.0, float(slope)), float(intercept)
+            values = measure(model, *model.segments(part.column("text")))
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(values[:, 0]), pa.array(values[:, 1])], ["toxic", "x", "y"])
+
+    rows = train.select("text", "toxic").mapInArrow(run, "toxic int, x double, y double").groupBy("toxic", "x", "y").count().collect()
+    return {(int(r["toxic"]), r["x"], r["y"]): int(r["count"]) for r in rows}
+
+
+def logistic(seen: dict[tuple[int, float, float], int]) -> tuple[float, float, float]:
+    """Intercept and slopes (not negative) of a lightly regularised logistic fit of the label on both measures."""
+    y, a, b, n = (np.array(c, float) for c in zip(*((t, x, z, k) for (t, x, z), k in seen.items()), strict=True))
+    used = [True, True]
+    while True:
+        x = np.stack([np.ones(len(a)), a * used[0], b * used[1]], 1)
+        beta, ridge = np.zeros(3), np.array([0.01, 0.1, 0.1])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            w = n * np.maximum(p * (1 - p), 1e-9)
+            step = np.clip(np.linalg.solve((x * w[:, None]).T @ x + np.diag(ridge), x.T @ (n * (y - p)) - ridge * beta), -2, 2)
+            beta = beta + step
+            if abs(step).max() < 1e-6:
+                break
+        bad = [k for k in (0, 1) if used[k] and beta[k + 1] < 0]
+        if not bad:
+            return tuple(float(v) for v in beta)
+        used[bad[0]] = False
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -236,10 +276,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            n_words, found = shared.value.segments(part.column("text"))
+            p, n_words, found = shared.value.scores(part.column("text"))
             both = [shared.value.evidence(int(n), f) for n, f in zip(n_words, found, strict=True)]
             best = [max(f, key=lambda s: s[2], default=(None, None, 0.0)) for f in found]
-            p = shared.value.probability(np.array([e for e, _ in both], float))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(p), pa.array([k for _, k in both], pa.int64()), pa.array([b[0] for b in best], pa.int64()), pa.array([b[1] for b in best], pa.int64())],
                 ["doc_id", "score", "n_segments", "best_first", "best_last"],
@@ -260,8 +299,6 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            n_words, found = shared.value.segments(part.column("text"))
-            e = np.array([shared.value.evidence(int(n), f)[0] for n, f in zip(n_words, found, strict=True)], float)
-            yield part.filter(pa.array(shared.value.probability(e) < threshold))
+            yield part.filter(pa.array(shared.value.scores(part.column("text"))[0] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
