@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import academic as A
 from lectern.functions import security as S
-from lectern.operators import deck, layout
+from lectern.operators import deck, layout, reports
 from lectern.operators import timeline as T
 from lectern.plans import plugins
 
@@ -105,3 +105,24 @@ def test_plugins(spark):
     assert sorted(r["x"] for r in processors.apply(df, "kind").collect()) == [0.0, 0.5, 2.0]
     plugins.register_functions(spark)
     assert spark.sql("SELECT lectern_words('a b  c') w, lectern_clamp(7.0, 0.0, 5.0) c").first()[:] == (3, 5.0)
+
+
+def test_includes_are_expanded_to_a_bounded_depth(spark):
+    files = spark.createDataFrame([("main", r"a \input{one} \include{none} z"), ("one", r"[\include{two}]"), ("two", "2"), ("self", r"x \input{self}")], "path string, text string")
+    got = {r["path"]: r["text"] for r in reports.expand_includes(files).collect()}
+    assert got["one"] == "[2]" and got["self"] == r"x \input{self}" and got["main"].startswith("a [2] ")
+
+
+def test_near_text_and_boxes(spark):
+    text = "Ann Lee works at " + "x" * 300 + " Example University"
+    assert one(spark, reports.near_text(F.col("t"), F.lit("ann lee"), F.lit("works at")), t=text)
+    assert not one(spark, reports.near_text(F.col("t"), F.lit("ann lee"), F.lit("Example University")), t=text)
+    box = lambda x0, x1: F.struct(F.lit(x0).alias("x0"), F.lit(x1).alias("x1"), F.lit(0).alias("y0"), F.lit(1).alias("y1"), F.lit(1).alias("page"))
+    assert one(spark, reports.overlapping(box(0, 5), box(4, 9)), t="") and not one(spark, reports.overlapping(box(0, 3), box(4, 9)), t="")
+
+
+def test_trend_and_fuzzy(spark):
+    rows = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 3.0), ("b", 1, 2.0)], "k string, i int, v double")
+    assert {r["k"]: r["direction"] for r in reports.trend(rows, "k", ["i"], "v").collect()} == {"a": "up", "b": "new"}
+    docs = spark.createDataFrame([(1, "colour theory"), (2, "color wheel"), (3, "sound")], "id int, t string")
+    assert [r["id"] for r in reports.fuzzy(docs, "t", "colour").orderBy("id").collect()] == [1, 2]
