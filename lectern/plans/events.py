@@ -152,7 +152,7 @@ def moving_average_by_user(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT event_id, user_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER w AS BIGINT) AS cents, count(*) OVER w AS n, count(*) FILTER (WHERE event_type = 'error') OVER w AS errors,
+SELECT event_id, user_id, CAST(coalesce(sum(CAST(round(value * 100) AS BIGINT)) OVER w, 0) AS BIGINT) AS cents, count(*) OVER w AS n, count(*) FILTER (WHERE event_type = 'error') OVER w AS errors,
   coalesce(abs(value - avg(value) OVER w) > 2 * stddev_pop(value) OVER w, false) AS outlier
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)
 """)
@@ -160,7 +160,7 @@ def behaviour_profile_anomaly(t: Tables) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-100, -1)
     mean, sigma = F.avg("value").over(w), F.stddev_pop("value").over(w)
     return t.events.select(
-        "event_id", "user_id", F.sum(F.round(F.col("value") * 100).cast("long")).over(w).alias("cents"), F.count(F.lit(1)).over(w).alias("n"),
+        "event_id", "user_id", F.coalesce(F.sum(F.round(F.col("value") * 100).cast("long")).over(w), F.lit(0)).alias("cents"), F.count(F.lit(1)).over(w).alias("n"),
         F.count(F.when(F.col("event_type") == "error", 1)).over(w).alias("errors"), F.coalesce(F.abs(F.col("value") - mean) > 2 * sigma, F.lit(False)).alias("outlier"),
     )
 
@@ -177,14 +177,14 @@ def progress_carry_forward(t: Tables) -> DataFrame:
 
 @query("""
 WITH l AS (SELECT user_id, event_id AS locked_by, ts FROM events WHERE event_type = 'error')
-SELECT e.event_id, e.user_id, l.locked_by FROM events e ASOF LEFT JOIN (SELECT user_id, max(locked_by) AS locked_by, ts FROM l GROUP BY user_id, ts) l ON e.user_id = l.user_id AND e.ts >= l.ts WHERE e.event_type = 'view'
+SELECT e.event_id, e.user_id, coalesce(l.locked_by, -1) AS locked_by FROM events e ASOF LEFT JOIN (SELECT user_id, max(locked_by) AS locked_by, ts FROM l GROUP BY user_id, ts) l ON e.user_id = l.user_id AND e.ts >= l.ts WHERE e.event_type = 'view'
 """)
 def lockout_status_asof(t: Tables) -> DataFrame:
     """The latest lock at or before each view: locks and views in one sorted pass instead of a range join."""
     rows = t.events.where(F.col("event_type").isin("error", "view")).select("event_id", "user_id", "ts", "event_type")
     w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
     lock = F.max(F.when(F.col("event_type") == "error", F.struct("ts", "event_id"))).over(w)
-    return rows.withColumn("lock", lock).where("event_type = 'view'").select("event_id", "user_id", F.col("lock.event_id").alias("locked_by"))
+    return rows.withColumn("lock", lock).where("event_type = 'view'").select("event_id", "user_id", F.coalesce("lock.event_id", F.lit(-1)).alias("locked_by"))
 
 
 @query("""

@@ -54,12 +54,12 @@ _LEVEL = "CASE {0}.role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END"
 
 
 @query(f"""
-SELECT c.conv_id, c.turn, {_LEVEL.format('c')} AS level, (SELECT max(p.turn) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn < c.turn AND {_LEVEL.format('p')} < {_LEVEL.format('c')}) AS parent FROM conversations c
+SELECT c.conv_id, c.turn, {_LEVEL.format('c')} AS level, coalesce((SELECT max(p.turn) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn < c.turn AND {_LEVEL.format('p')} < {_LEVEL.format('c')}), -1) AS parent FROM conversations c
 """)
 def section_hierarchy(t: Tables) -> DataFrame:
     level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3)
     rows = t.conversations.select("conv_id", "turn", level.alias("level"))
-    return layout.parents(rows.withColumn("id", F.col("turn")), "conv_id", "turn", "level", "id", 3).drop("id")
+    return layout.parents(rows.withColumn("id", F.col("turn")), "conv_id", "turn", "level", "id", 3).drop("id").na.fill(-1, ["parent"])
 
 
 @query(f"""

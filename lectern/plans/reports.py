@@ -80,12 +80,12 @@ def mean_of_last_hundred(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT s_nationkey, mode(k) AS modal_class, round(avg(s_acctbal), 4) AS mean_balance, avg(CASE WHEN s_acctbal > 0 THEN 1.0 ELSE 0 END) > 0.5 AS mostly_positive
-FROM (SELECT *, CAST(floor(s_acctbal / 100000) AS BIGINT) AS k FROM supplier) GROUP BY s_nationkey
+WITH k AS (SELECT *, CAST(floor(s_acctbal / 100000) AS BIGINT) AS k FROM supplier), n AS (SELECT s_nationkey, k, row_number() OVER (PARTITION BY s_nationkey ORDER BY count(*) DESC, k) AS r FROM k GROUP BY s_nationkey, k)
+SELECT k.s_nationkey, min(n.k) AS modal_class, round(avg(s_acctbal), 4) AS mean_balance, avg(CASE WHEN s_acctbal > 0 THEN 1.0 ELSE 0 END) > 0.5 AS mostly_positive FROM k JOIN n ON k.s_nationkey = n.s_nationkey AND r = 1 GROUP BY k.s_nationkey
 """)
 def representative_style(t: Tables) -> DataFrame:
     k = F.floor(F.col("s_acctbal") / 100000).cast("long")
-    return t.supplier.groupBy("s_nationkey").agg(F.mode(k).alias("modal_class"), F.round(F.avg("s_acctbal"), 4).alias("mean_balance"), (F.avg(F.when(F.col("s_acctbal") > 0, 1.0).otherwise(0.0)) > 0.5).alias("mostly_positive"))
+    return t.supplier.groupBy("s_nationkey").agg(F.mode(k, deterministic=True).alias("modal_class"), F.round(F.avg("s_acctbal"), 4).alias("mean_balance"), (F.avg(F.when(F.col("s_acctbal") > 0, 1.0).otherwise(0.0)) > 0.5).alias("mostly_positive"))
 
 
 @query("""

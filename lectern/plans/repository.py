@@ -173,12 +173,12 @@ def upsert_latest_wins(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT o_custkey, o_orderkey, row_number() OVER w AS version_number, lag(o_orderkey) OVER w AS parent_id, lead(o_orderkey) OVER w IS NULL AS is_current
+SELECT o_custkey, o_orderkey, row_number() OVER w AS version_number, coalesce(lag(o_orderkey) OVER w, -1) AS parent_id, lead(o_orderkey) OVER w IS NULL AS is_current
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
 """)
 def version_numbering(t: Tables) -> DataFrame:
     rows = t.orders.select("o_custkey", "o_orderkey", "o_orderdate")
-    return R.versioned(rows, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey").drop("o_orderdate")
+    return R.versioned(rows, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey").drop("o_orderdate").na.fill(-1, ["parent_id"])
 
 
 @query("""
