@@ -348,3 +348,20 @@ def test_word_hashes_do_not_depend_on_place():
     words, docs = license_scan.word_spans(col)
     assert docs.tolist() == [0, 0, 3, 3, 3] and words[0] == words[3] and words[1] == words[2] == words[4]
     assert textops.views(pa.array(["x", "yz"]).slice(1))[1].tolist() == [0, 2]
+
+
+def test_media_recall_against_brute_force(spark):
+    rng = random.Random(5)
+    line = lambda n: [f"word{rng.randint(0, 3000)}" for _ in range(n)]
+    html = lambda x: "<article>" + "".join(f"<p>{' '.join(w)}</p>" for w in x) + "</article>"
+    common, rows = [line(18) for _ in range(3)], []
+    for i in range(60):
+        base = common * (i % 3 == 0) + [line(18) for _ in range(12)]
+        rows += [(4 * i, html(base)), (4 * i + 1, html(base[3:])), (4 * i + 2, html([w if rng.random() > 0.1 else line(18) for w in base])), (4 * i + 3, html([line(18) for _ in range(14)]))]
+    pages = media.page_images(spark.createDataFrame(rows, "page_id long, html string"))
+    drawn = {r["image_id"]: media.describe(np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"])) for r in pages.collect()}
+    found = {r["class_id"]: set(r["links"] or []) for r in media.copies(pages).where("is_query").collect()}
+    want = {q: {p for p in drawn if p != q and media.consensus(*drawn[q], *drawn[p])[0] >= media.needed(len(drawn[q][1]))} for q in found}
+    total = sum(map(len, want.values()))
+    assert total >= 20 and all(found[q] <= want[q] for q in found)
+    assert sum(len(found[q] & want[q]) for q in found) >= 0.9 * total
