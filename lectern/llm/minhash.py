@@ -39,7 +39,7 @@ BANDS, ROWS = 48, 5
 #: An odd number: the distance that one circular shift moves.
 STEP = np.uint32(0x9E3779B1)
 #: Rounds against leaders before the prefix filter.
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 3
 #: How many of the most frequent shingles are told apart by the order of the prefix filter; it only saves work.
 COMMON = 100_000
 #: Pairs that one copy of a leader's text serves at most.
@@ -169,11 +169,13 @@ def prefix_pairs(open_docs: DataFrame, held: DataFrame) -> DataFrame:
             number = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
             keep = number < np.repeat(n - -(-n * PERCENT // 100) + 1, n)
             who = pa.array(owner[sort][keep])
-            yield pa.RecordBatch.from_arrays([pa.array(values[sort][keep].view(np.int64)), part.column("rep").take(who), part.column("component").take(who), pa.array(np.repeat(n, n)[keep], pa.int64())], ["shingle", "rep", "component", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(values[sort][keep].view(np.int64)), part.column("rep").take(who), part.column("component").take(who), pa.array(np.repeat(n, n)[keep], pa.int64()), pa.array(number[keep], pa.int64())], ["shingle", "rep", "component", "n", "place"])
 
-    keys = materialize(rows.mapInArrow(prefixes, "shingle long, rep long, component long, n long"), "prefixes")
-    other = keys.select("shingle", F.col("rep").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"))
-    fit = F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT
+    keys = materialize(rows.mapInArrow(prefixes, "shingle long, rep long, component long, n long, place long"), "prefixes")
+    other = keys.select("shingle", F.col("rep").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("place").alias("other_place"))
+    # from the first shingle that both have on, they share at most what is left of either; a link needs p / (1 + p) of both sizes
+    left = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("other_place"))
+    fit = (F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT) & (left * (100 + PERCENT) >= (F.col("n") + F.col("m")) * PERCENT)
     return keys.join(other, "shingle").where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("c")) & fit).select(F.col("rep").alias("a"), "b").distinct()
 
 
