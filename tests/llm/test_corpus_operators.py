@@ -365,3 +365,19 @@ def test_media_recall_against_brute_force(spark):
     total = sum(map(len, want.values()))
     assert total >= 20 and all(found[q] <= want[q] for q in found)
     assert sum(len(found[q] & want[q]) for q in found) >= 0.9 * total
+
+
+def test_media_draws_every_row(spark):
+    rng = random.Random(6)
+    lines = lambda n: [[f"word{rng.randint(0, 3000)}" for _ in range(20)] for _ in range(n)]
+    html = lambda x: "<article>" + "".join(f"<p>{' '.join(w)}</p>" for w in x) + "</article>"
+    head, tail = lines(16), lines(24)
+    pages = [(0, html(head + tail)), (1, html(head + lines(24))), (20, html(tail)), (3, html(lines(18) + tail)), (4, html(lines(40)))]
+    assert media.draw(head + tail).shape == (40 * media.TILE[0], 20 * media.TILE[1])
+    got = {r["image_id"]: r for r in media.copies(media.page_images(spark.createDataFrame(pages, "page_id long, html string"))).collect()}
+    assert [got[i]["class_size"] for i in (0, 1)] == [1, 1]
+    assert {3, 20} <= set(got[0]["links"]) and 4 not in got[0]["links"] and {0, 3} <= set(got[20]["links"])
+    tall = np.full((33_000, 120), 255, np.uint8)
+    tall[-128:] = media.draw(lines(16))
+    points = np.frombuffer(media.descriptors(spark.createDataFrame([(0, *tall.shape, bytearray(tall.tobytes()))], "image_id long, height int, width int, pixels binary")).first()["points"], "<i4").reshape(-1, 4)
+    assert len(points) and points[:, 0].min() > 32_767
