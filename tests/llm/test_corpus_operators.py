@@ -381,3 +381,28 @@ def test_media_draws_every_row(spark):
     tall[-128:] = media.draw(lines(16))
     points = np.frombuffer(media.descriptors(spark.createDataFrame([(0, *tall.shape, bytearray(tall.tobytes()))], "image_id long, height int, width int, pixels binary")).first()["points"], "<i4").reshape(-1, 4)
     assert len(points) and points[:, 0].min() > 32_767
+
+
+def test_media_recall_of_planted_crops(spark):
+    rng = random.Random(8)
+    draw = lambda n: media.draw([[f"word{rng.randint(0, 3000)}" for _ in range(20)] for _ in range(n)])
+    images, want = [], {}
+    for i in range(12):
+        tall, at = draw(60 + 10 * i), rng.randint(0, 52)
+        crop = tall[8 * at : 8 * at + 64]
+        images += [(40 * i, tall), (40 * i + 20, crop), (40 * i + 1, np.concatenate([draw(20), crop, draw(20)])), (40 * i + 2, draw(40))]
+        want |= {40 * i: {40 * i + 1, 40 * i + 20}, 40 * i + 20: {40 * i, 40 * i + 1}}
+    rows = [(i, *x.shape, bytearray(x.tobytes())) for i, x in images]
+    got = media.copies(spark.createDataFrame(rows, "image_id long, height int, width int, pixels binary")).where("is_query").collect()
+    found = {r["image_id"]: set(r["links"] or []) for r in got}
+    assert all(found[q] <= want[q] for q in found) and sum(len(found[q] & want[q]) for q in want) >= 0.95 * sum(map(len, want.values()))
+
+
+def test_media_crops_keep_the_corners_of_their_original():
+    rng = random.Random(9)
+    image = media.draw([[f"word{rng.randint(0, 99)}" for _ in range(20)] for _ in range(70)])
+    points, codes = media.describe(image)
+    y, x, h, w = 136, 10, 200, 90
+    inner = [(p[0] - y, p[1] - x, *p[2:], c.tobytes()) for p, c in zip(points.tolist(), codes, strict=True) if all((a - o) >> p[2] in range(media.PATCH, (n >> p[2]) - media.PATCH) for a, o, n in ((p[0], y, h), (p[1], x, w)))]
+    kept = [(*p, c.tobytes()) for p, c in zip(*(v.tolist() if v.shape[1] == 4 else v for v in media.describe(image[y : y + h, x : x + w])), strict=True)]
+    assert len(kept) > 50 and sorted(kept) == sorted(inner)
