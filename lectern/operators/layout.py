@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.relational import settled_rows
+
 
 def islands(df: DataFrame, keys: list[str], order: list[str], apart: Column, name: str = "island") -> DataFrame:
     """Numbers runs of rows that are not ``apart`` from the row before; ``apart`` may use lag over the same order."""
@@ -67,18 +71,20 @@ def margins(elements: DataFrame, width: float, height: float) -> DataFrame:
     return elements.groupBy("page").agg(F.min("x0").alias("left"), (F.lit(width) - F.max("x1")).alias("right"), F.min("y").alias("bottom"), (F.lit(height) - F.max("y")).alias("top"))
 
 
-def dependency_levels(tasks: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+def dependency_levels(tasks: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """(task, level): 0 without dependencies, else one more than the highest of them; tasks in or behind a cycle are left out.
 
-    ``edges`` has task and needs. Each round settles the tasks all of whose needs are settled.
+    ``edges`` has task and needs. Each round settles the tasks all of whose needs are settled, until there are none.
+    ``most`` is a bound on the level for callers who know one: higher levels raise, and nothing is left out.
     """
-    settled = tasks.join(edges.select("task").distinct(), "task", "left_anti").select("task", F.lit(0).alias("level"))
+    settled = settled_rows(tasks.join(edges.select("task").distinct(), "task", "left_anti").select("task", F.lit(0).alias("level")))
     open_ = edges.select("task", "needs").distinct()
-    for level in range(1, most + 1):
+    for level in count(1):
         waiting = open_.join(settled.select(F.col("task").alias("needs"), F.lit(1).alias("ok")), "needs", "left")
         done = waiting.groupBy("task").agg(F.count_if(F.col("ok").isNull()).alias("missing")).where("missing = 0").select("task")
-        ready = done.join(settled.select("task"), "task", "left_anti").withColumn("level", F.lit(level)).persist()
+        ready = settled_rows(done.join(settled.select("task"), "task", "left_anti").withColumn("level", F.lit(level)))
         if ready.isEmpty():
-            break
+            return settled
+        if most is not None and level > most:
+            raise ValueError(f"the tasks have more than {most} levels")
         settled = settled.unionByName(ready)
-    return settled

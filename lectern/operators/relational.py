@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,18 +127,23 @@ def unmatched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(right.select(*on), on, "left_anti")
 
 
-def closure(edges: DataFrame, most: int = 32) -> DataFrame:
+def settled_rows(df: DataFrame) -> DataFrame:
+    """The rows of one round of a loop without the plan that made them, which would double with each round."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+
+
+def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(child, parent) for all ancestors, with the shortest distance; cycles end as no new pair appears.
 
-    Each round joins the newest pairs with the edges; ``most`` bounds the depth.
+    Each round joins the newest pairs with the edges, until there are none. ``most`` is a bound on the depth for callers who
+    know one: deeper edges raise, and nothing is left out.
     """
-    known = edges.select("child", "parent").distinct().withColumn("depth", F.lit(1))
-    newest_ = known
+    known = newest_ = settled_rows(edges.select("child", "parent").distinct().withColumn("depth", F.lit(1)))
     step = edges.select(F.col("child").alias("parent"), F.col("parent").alias("next")).distinct()
-    for depth in range(2, most + 1):
-        newest_ = newest_.join(step, "parent").select("child", F.col("next").alias("parent")).distinct().join(known.select("child", "parent"), ["child", "parent"], "left_anti").withColumn("depth", F.lit(depth))
-        newest_ = newest_.checkpoint() if newest_.sparkSession.conf.get("spark.checkpoint.dir", None) else newest_.cache()
+    for depth in count(2):
+        newest_ = settled_rows(newest_.join(step, "parent").select("child", F.col("next").alias("parent")).distinct().join(known.select("child", "parent"), ["child", "parent"], "left_anti").withColumn("depth", F.lit(depth)))
         if newest_.isEmpty():
-            break
+            return known
+        if most is not None and depth > most:
+            raise ValueError(f"the edges are deeper than {most}")
         known = known.unionByName(newest_)
-    return known

@@ -126,3 +126,11 @@ def test_trend_and_fuzzy(spark):
     assert {r["k"]: r["direction"] for r in reports.trend(rows, "k", ["i"], "v").collect()} == {"a": "up", "b": "new"}
     docs = spark.createDataFrame([(1, "colour theory"), (2, "color wheel"), (3, "sound")], "id int, t string")
     assert [r["id"] for r in reports.fuzzy(docs, "t", "colour").orderBy("id").collect()] == [1, 2]
+
+
+def test_dependency_levels_raise_at_a_bound(spark):
+    tasks = spark.createDataFrame([(i,) for i in range(6)], "task int")
+    edges = spark.createDataFrame([(i + 1, i) for i in range(5)], "task int, needs int")
+    assert {r["task"]: r["level"] for r in layout.dependency_levels(tasks, edges).collect()} == {i: i for i in range(6)}
+    with pytest.raises(ValueError, match="more than 3 levels"):
+        layout.dependency_levels(tasks, edges, most=3)

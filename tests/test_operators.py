@@ -115,3 +115,12 @@ def test_query_equals_its_sql(spark, sf, name):
     at = [[d[0] for d in want.description].index(c) for c in columns]
     shown = lambda r: tuple("" if x is None or x != x else f"{x:.9g}" if isinstance(x, float) else str(x) for x in r)
     assert sorted(shown(r[c] for c in columns) for r in got.collect()) == sorted(shown(r[i] for i in at) for r in want.fetchall())
+
+
+def test_closure_has_no_silent_depth(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(36)], "child int, parent int").coalesce(1)
+    got = R.closure(edges).agg(F.count("*").alias("n"), F.max("depth").alias("depth")).first()
+    assert (got["n"], got["depth"]) == (36 * 37 // 2, 36)
+    with pytest.raises(ValueError, match="deeper than 2"):
+        R.closure(edges.where("child < 4"), most=2)
+    assert R.closure(edges.where("child < 2"), most=2).count() == 3
