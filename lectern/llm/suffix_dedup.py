@@ -10,7 +10,7 @@ sequence of its phrases, and equal phrases are stored and compared once: the dic
 
 Order: the suffixes of the corpus that matter, those that share at least GRAM bytes from a trigger on, are brought
 together by one distributed sort of (trigger hash, phrase hash, doc_id), a row for each phrase instead of each byte.
-In that order the first row of a phrase is its smallest document; all later ones are covered whole. Phrases that share
+This is hash order, not suffix order: it only brings equal strings together. The first row of a phrase is its smallest document; all later ones are covered whole. Phrases that share
 a trigger, and a side of it, with a different phrase can still share windows; only they are spread out into windows,
 sorted by (window hash, doc_id), and read the same way. So repetitive text costs one row a phrase, and text that
 nothing else shares never gets beyond the first sort.
