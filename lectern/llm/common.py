@@ -36,6 +36,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): each row as one struct beside its id and text, so that helper columns clash with none of its names.
+
+    ``select("row.*")`` gives the columns of ``docs`` back.
+    """
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text only; a null text is an empty one, further columns are ignored."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -45,7 +53,7 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES, column: s
     """Cut Arrow batches so that the text of each part has at most ``most`` bytes, or is one row."""
     for batch in batches:
         col = batch.column(column)
-        lengths = pc.binary_length(col).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(col), 0).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(lengths):
             if held and held + n > most:

@@ -3,13 +3,16 @@
 Every rolling 3-word hash of every text is joined with the positions of the same hash in the license templates. A hit
 at word ``pos`` of a text and word ``tpos`` of a template votes for the diagonal ``pos - tpos``; a template that stands
 in the text word for word puts all its votes on one diagonal. Short phrases must have them all. For longer templates,
-neighbouring diagonals are merged, since words put in or left out shift what follows, and the span is verified by the
-share of the template's hashes that it holds. The template table is a fixed list, so its broadcast is bounded; nothing
-else is broadcast, and texts are never shuffled.
-
-Defined cases: a null text is an empty one, without words; a text of one or two words has no hashes; phrases that
-overlap or repeat count at every place; null and repeated doc_ids are rows of their own; an empty table gives an empty
-result; further columns are ignored.
+neighbouring diagonals are merged, since words put in or left out shift what follows. Merged spans are bounded: hits are
+dealt to overlapping windows of three template lengths, and diagonals are merged within one. A span is a candidate if it
+holds enough different positions of the template, however often one is hit, and it is verified by the words that the
+longest chain of hits covers whose positions rise in the text and in the template. The template table is a fixed list, so
+its broadcast is bounded; nothing else is broadcast, and texts are never shuffled.
+
+Defined cases: a null text is an empty one, without words; a text of one or two words has no hashes; very long texts are
+scanned whole; phrases that overlap or repeat count at every place; labels that tie are listed once each, in order; null and
+repeated doc_ids are rows of their own; an empty table gives an empty result; further columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import slices, texts
+from lectern.llm.common import materialize, slices, texts
 from lectern.llm.textops import lower_ascii, prefix_sums, runs, shingles, span_hash, views
 
 #: Words in a rolling hash.
@@ -85,8 +88,8 @@ def template_table(spark: SparkSession, base: list, more: list) -> DataFrame:
     return spark.createDataFrame(rows, "hash long, template int, tpos long, n_grams int, is_base boolean, label string")
 
 
-def votes(docs: DataFrame, base: list, more: list) -> DataFrame:
-    """(row, doc_id, template, label, is_base, n_grams, diagonal, votes): all diagonals, and a header for each row."""
+def hits(docs: DataFrame, base: list, more: list) -> DataFrame:
+    """(row, doc_id, template, label, is_base, n_grams, pos, tpos, diagonal): all hits, and a header for each row."""
 
     def rolling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -99,29 +102,66 @@ def votes(docs: DataFrame, base: list, more: list) -> DataFrame:
 
     named = texts(docs).withColumn("row", F.monotonically_increasing_id())
     hashes = named.mapInArrow(rolling, "row long, doc_id long, pos long, hash long")
-    hits = hashes.join(F.broadcast(template_table(docs.sparkSession, base, more)), "hash")
-    return hits.withColumn("diagonal", F.col("pos") - F.col("tpos")).groupBy("row", "doc_id", "template", "label", "is_base", "n_grams", "diagonal").agg(F.count(F.lit(1)).alias("votes"))
-
-
-def spans(found: DataFrame, near: int = NEAR) -> DataFrame:
-    """Merge neighbouring diagonals of a row and template, other than base phrases, and sum their votes."""
-    order = Window.partitionBy("row", "template").orderBy("diagonal")
-    step = F.when(F.col("is_base") | (F.col("template") < 0) | (F.col("diagonal") - F.lag("diagonal", 1, -(1 << 40)).over(order) > near), 1).otherwise(0)
-    marked = found.withColumn("step", step).withColumn("span", F.sum("step").over(order))
-    keys = ["row", "doc_id", "template", "label", "is_base", "n_grams", "span"]
-    return marked.groupBy(*keys).agg(F.min("diagonal").alias("start"), F.sum("votes").alias("votes"))
+    met = hashes.join(F.broadcast(template_table(docs.sparkSession, base, more)), "hash").drop("hash")
+    return met.withColumn("diagonal", F.col("pos") - F.col("tpos"))
+
+
+def exact_phrases(hits: DataFrame) -> DataFrame:
+    """(row, doc_id, label, is_base, start, share): base phrases by diagonal, and the header of each row (start: its words)."""
+    keys = ["row", "doc_id", "template", "label", "is_base", "n_grams", "diagonal"]
+    counted = hits.where(F.col("is_base") | (F.col("template") < 0)).groupBy(*keys).agg(F.count(F.lit(1)).alias("votes"))
+    return counted.select("row", "doc_id", "template", "label", "is_base", F.col("diagonal").alias("start"), F.when(F.col("template") >= 0, F.col("votes") / F.col("n_grams")).otherwise(0.0).alias("share"))
+
+
+def chained(spots: list[tuple[int, int]], k: int = K) -> int:
+    """Words of the template that the longest chain of (pos, tpos) with both rising covers, each word once."""
+    best: dict[int, int] = {}  # by last tpos: words covered so far
+    for _, tpos in sorted(spots, key=lambda s: (s[0], -s[1])):
+        before = max((covered + min(k, tpos - last) for last, covered in best.items() if last < tpos), default=k)
+        best[tpos] = max(best.get(tpos, 0), before)
+    return max(best.values(), default=0)
+
+
+def spans(hits: DataFrame, near: int = NEAR, enough: float = ENOUGH) -> DataFrame:
+    """(row, doc_id, template, label, is_base, start, share): merged spans of longer templates, with their verified share.
+
+    Each window holds at most as many hits as it has words times the places of a word in its template, so what a task
+    collects is bounded by the templates.
+    """
+    longer = hits.where(~F.col("is_base") & (F.col("template") >= 0))
+    size = F.col("n_grams") + K - 1
+    window = F.floor(F.col("pos") / size)
+    dealt = longer.withColumn("window", F.explode(F.array(window, window - 1, window - 2)))
+    keys = ["row", "doc_id", "template", "label", "n_grams", "window"]
+    by_diagonal = dealt.groupBy(*keys, "diagonal").agg(F.collect_list(F.struct("pos", "tpos")).alias("spots"))
+    order = Window.partitionBy("row", "template", "window").orderBy("diagonal")
+    step = F.when(F.col("diagonal") - F.lag("diagonal", 1, -(1 << 40)).over(order) > near, 1).otherwise(0)
+    merged = by_diagonal.withColumn("step", step).withColumn("span", F.sum("step").over(order)).groupBy(*keys, "span")
+    merged = merged.agg(F.min("diagonal").alias("start"), F.flatten(F.collect_list("spots")).alias("spots"))
+    places = F.size(F.array_distinct(F.transform("spots", lambda x: x["tpos"])))
+    candidates = merged.withColumn("distinct", places / F.col("n_grams"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = zip(batch.column("spots").to_pylist(), batch.column("n_grams").to_pylist(), batch.column("distinct").to_pylist(), strict=True)
+            share = [chained([(x["pos"], x["tpos"]) for x in found]) / (n + K - 1) if d >= enough else min(d, 0.5) * 0.5 for found, n, d in lists]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "template", "label", "start")), pa.array(share, pa.float64())], ["row", "doc_id", "template", "label", "start", "share"])
+
+    checked = candidates.select("row", "doc_id", "template", "label", "start", "spots", "n_grams", "distinct")
+    checked = checked.mapInArrow(verify, "row long, doc_id long, template int, label string, start long, share double")
+    return checked.select("row", "doc_id", "template", "label", F.lit(False).alias("is_base"), "start", "share")
 
 
 def scan_licenses(docs: DataFrame, base: list | None = None, more: list | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for each row of ``docs``."""
-    merged = spans(votes(docs, BASE if base is None else base, TEMPLATES if more is None else more))
+    found = materialize(hits(docs, BASE if base is None else base, TEMPLATES if more is None else more), "license-hits")
+    every = exact_phrases(found).unionByName(spans(found))
     header = F.col("template") < 0
-    share = F.when(header, 0.0).otherwise(F.least(F.lit(1.0), F.col("votes") / F.greatest(F.col("n_grams"), F.lit(1))))
-    exact = F.col("is_base") & (F.col("votes") == F.col("n_grams"))
-    more_found = ~header & ~F.col("is_base") & (share >= ENOUGH)
+    exact = F.col("is_base") & (F.col("share") >= 1)
+    more_found = ~header & ~F.col("is_base") & (F.col("share") >= ENOUGH)
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     return (
-        merged.groupBy("row")
+        every.groupBy("row")
         .agg(
             F.max("doc_id").alias("doc_id"),
             F.max(F.when(header, F.col("start"))).alias("n_words"),
@@ -130,7 +170,7 @@ def scan_licenses(docs: DataFrame, base: list | None = None, more: list | None =
             F.max(F.when(exact, F.col("start"))).alias("last_word"),
             listed(exact).alias("base_labels"),
             listed(exact | more_found).alias("labels"),
-            F.max(F.when(F.col("is_base") & ~exact, 0.5 * share).otherwise(share)).alias("score"),
+            F.coalesce(F.max(F.when(F.col("is_base") & ~exact, 0.5 * F.col("share")).otherwise(F.least(F.lit(1.0), "share"))), F.lit(0.0)).alias("score"),
         )
         .drop("row")
     )

@@ -1,10 +1,12 @@
 """Near-duplicate detection by circulant MinHash, banding and exact verification.
 
-A shingle x is placed at sigma(x), the first permutation, and coordinate k of the signature is the smallest
+A shingle is placed at sigma of its 32-bit hash x, the first permutation, and coordinate k of the signature is the smallest
 pi(sigma(x) + k * STEP) over a document's shingles: one second permutation, shifted circularly by k. Both are bijective
-mixers, so the two permutations need no tables. Bands of coordinates are the keys of candidate buckets.
+mixers, so the two permutations need no tables (64-bit shingles are hashed to the 32-bit places first). Bands of coordinates
+are the keys of candidate buckets.
 
-Documents with the same shingle set form a class and take part once, by their smallest doc_id. A bucket may hold any
+Documents with the same shingle set form a class, a node that takes part once; classes have numbers of their own, so rows
+that share a doc_id stay apart. A bucket may hold any
 number of classes, so its pairs are never listed outright. In a first round each class is checked against one leader,
 the one that leads most of its buckets; components of the confirmed links then show which buckets still hold more than
 one component, and only pairs across components of one bucket go on: against leaders in another order, and at last all
@@ -15,9 +17,11 @@ shingle sets (64-bit hashes).
 With 48 bands of 5 coordinates a link at the threshold of 0.75 meets in no band about twice in a million.
 
 Defined cases: documents without words have an empty set and are linked with nothing; fewer than five words are one
-shingle; null texts are empty; rows with a null doc_id stay alone, with a null component and kept; repeated rows are in
-the same component as each other; an empty table gives an empty result; further columns are ignored by
-``near_duplicates`` and kept by ``drop_near_duplicates``.
+shingle; null texts are empty; very long texts are read whole; rows with a null doc_id take part, and a component of such
+rows only has a null id; repeated rows are in the same component as each other; rows of one doc_id with different texts are
+linked by their texts alone; an empty table gives an empty result; further columns, whatever their names, are ignored by
+``near_duplicates`` and kept by ``drop_near_duplicates``, which keeps one row of each component: the smallest doc_id, nulls
+last, and of rows with that id and equal text one.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import join_by_key, materialize, slices, texts
+from lectern.llm.common import boxed, join_by_key, materialize, slices, texts
 from lectern.llm.components import components
 from lectern.llm.textops import distinct_per_doc, lower_ascii, mix, prefix_sums, runs, shingles, span_hash, views
 
@@ -68,12 +72,25 @@ def permuted(y: np.ndarray, k: int) -> np.ndarray:
 
 def signatures(values: np.ndarray, begin: np.ndarray, coordinates: int) -> np.ndarray:
     """coordinates x documents, for sets that start at ``begin`` (none empty)."""
-    y = (mix(values ^ np.uint64(0xA5A5A5A55A5A5A5A)) >> np.uint64(32)).astype(np.uint32)  # sigma
+    x = (values >> np.uint64(32)).astype(np.uint32)
+    y = permuted(x * np.uint32(0x2C1B3C6D) ^ np.uint32(0xA5A5A5A5), 0)  # sigma, a bijection of 32-bit numbers
     return np.stack([np.minimum.reduceat(permuted(y, k), begin) for k in range(coordinates)])
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """Rows of (doc_id, text, ..) with ``text_hash``: with the id, it tells rows apart that differ."""
+    return docs.withColumn("text_hash", F.xxhash64("text"))
+
+
+def flagged(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text_hash, ..) with ``often``: whether several documents have that id and text."""
+    many = repeated.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.lit(True).alias("often"))
+    both = rows.join(many, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    return both.withColumn("often", F.coalesce("often", F.lit(False))).drop("_id", "_hash")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sig, bands); set_key and the others are null for empty sets."""
+    """(doc_id, text_hash, n_shingles, set_key, sig, bands); set_key and the others are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -94,9 +111,16 @@ def sketches(docs: DataFrame) -> DataFrame:
                 h = np.ascontiguousarray(h.T).view(np.int64)
                 for i, d in enumerate(full.tolist()):
                     keys[d], sigs[d], bands[d] = sums[i].tobytes(), short[i].tobytes(), h[i]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "set_key", "sig", "bands"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>")
+    return hashed(texts(docs)).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_key binary, sig binary, bands array<long>")
+
+
+def salted(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs as (a, salt, b), and (a, salts): a leader ``a`` of any number of pairs is dealt as one copy for SALT_PAIRS of them."""
+    salts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", "n", F.ceil(F.col("n") / SALT_PAIRS).cast("int").alias("salts"))
+    dealt = join_by_key(pairs, salts, "a", "n", pairs.count()).select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
+    return dealt, salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -110,17 +134,15 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, size) for c in ("sig_a", "sig_b"))
             yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
 
-    one = lambda s: classes.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
+    dealt, leaders = salted(pairs)
+    one = lambda s: classes.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
     fit = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
-    return pairs.join(one("a"), "a").join(one("b"), "b").where(fit).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    both = dealt.join(one("b"), "b").join(leaders.join(one("a"), "a"), ["a", "salt"])
+    return both.where(fit).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; ``held`` has doc_id and text of all classes in pairs.
-
-    A leader ``a`` may be in any number of pairs, so its text is copied once for SALT_PAIRS of them and the pairs are
-    dealt over the copies.
-    """
+    """The pairs (a, b) whose full shingle sets are similar enough; ``held`` has node and text of all classes in pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, column="text_b"):
@@ -133,17 +155,16 @@ def confirmed(pairs: DataFrame, held: DataFrame) -> DataFrame:
             union = np.bincount(d, minlength=part.num_rows) - both
             yield part.select(["a", "b"]).filter(pa.array((100 * both >= PERCENT * union) & (both > 0)))
 
-    copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_PAIRS).cast("int").alias("copies"))
-    salted = pairs.join(copies, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).select("a", "b", "salt")
-    left = held.join(salted, held["doc_id"] == salted["b"]).select("a", "salt", "b", F.col("text").alias("text_b"))
-    leaders = held.join(copies, held["doc_id"] == copies["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.col("text").alias("text_a"))
-    return left.join(leaders, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    dealt, leaders = salted(pairs)
+    left = held.join(dealt, held["node"] == dealt["b"]).select("a", "salt", "b", F.col("text").alias("text_b"))
+    right = held.join(leaders, held["node"] == leaders["a"]).select("a", "salt", F.col("text").alias("text_a"))
+    return left.join(right, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def prefix_pairs(open_docs: DataFrame, held: DataFrame) -> DataFrame:
     """Pairs (a, b) across the components of ``open_docs`` (rep, component) that share a shingle of their prefixes."""
     spark = held.sparkSession
-    rows = materialize(held.join(open_docs, held["doc_id"] == open_docs["rep"]).select("rep", "component", "text"), "open-texts")
+    rows = materialize(held.join(open_docs, held["node"] == open_docs["rep"]).select("rep", "component", "text"), "open-texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -179,31 +200,41 @@ def prefix_pairs(open_docs: DataFrame, held: DataFrame) -> DataFrame:
     return keys.join(other, "shingle").where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("c")) & fit).select(F.col("rep").alias("a"), "b").distinct()
 
 
-def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, component) over all classes that are linked with another one."""
+def links_of(docs: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(node, component) over all classes that are linked with another one.
+
+    ``classes`` has node, doc_id and text_hash (of one of its rows), bands and sig; ``repeated`` the (doc_id, text_hash) that
+    several rows have.
+    """
     spark = docs.sparkSession
-    banded = classes.select("rep", F.explode("bands").alias("key"))
+    banded = classes.select(F.col("node").alias("rep"), F.explode("bands").alias("key"))
     by_key = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     shared = materialize(by_key.where("n > 1"), "shared-keys")
-    members = materialize(banded.join(shared, "key").select("key", "rep"), "members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    members = materialize(banded.join(shared, "key").select("key", "rep", "n"), "members")
+    n_members = members.count()
+    wanted = classes.join(members.select(F.col("rep").alias("node")).distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
+    wanted = materialize(flagged(wanted, repeated).select("node", F.col("doc_id").alias("at"), F.col("text_hash").alias("th"), "often"), "wanted")
+    rows = hashed(texts(docs))
+    match = F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("text_hash") == F.col("th"))
+    once = rows.join(wanted.where("not often"), match).select("node", "text")
+    often = rows.join(wanted.where("often"), match).groupBy("node").agg(F.first("text").alias("text"))
     table = f"candidate_texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts(docs).join(wanted, "doc_id", "left_semi").write.format("parquet").option("compression", "zstd").bucketBy(buckets, "doc_id").sortBy("doc_id").saveAsTable(table)
+    once.unionByName(often).write.format("parquet").option("compression", "zstd").bucketBy(buckets, "node").sortBy("node").saveAsTable(table)
     held = spark.table(table)
     tried = found = nodes = None
     for number in range(LEADER_ROUNDS + 1):
-        if nodes is None:
-            open_ = members.withColumn("component", F.col("rep"))
-        else:
-            labelled = members.join(nodes, members["rep"] == nodes["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-            mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-            open_ = materialize(labelled.join(mixed, "key", "left_semi"), "open-members")
-            if open_.isEmpty():
-                break
+        labelled = members.withColumn("component", F.col("rep"))
+        if nodes is not None:
+            labelled = materialize(members.join(nodes, members["rep"] == nodes["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component")), "labelled")
+        first = F.min(F.struct(F.xxhash64("rep", F.lit(number)).alias("o"), F.col("rep").alias("a"), F.col("component").alias("c")))
+        keyed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), first.alias("lead"), F.count(F.lit(1)).alias("held")).where("x <> y").select("key", "lead", "held")
+        # a bucket that still holds several components is open; a bucket key may be as hot as its group is large
+        open_ = materialize(join_by_key(labelled.select("key", "rep", "component"), materialize(keyed, "open-keys"), "key", "held", n_members).where("lead is not null"), "open-members")
+        if open_.isEmpty():
+            break
         if number < LEADER_ROUNDS:
-            first = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(number)).alias("o"), F.col("rep").alias("a"), F.col("component").alias("c"))).alias("lead"))
-            led = open_.join(materialize(first, "leaders"), "key").where("lead.c <> component").select(F.col("lead.a").alias("a"), F.col("rep").alias("b"))
+            led = open_.where("lead.c <> component").select(F.col("lead.a").alias("a"), F.col("rep").alias("b"))
             votes = led.groupBy("b", "a").agg(F.count(F.lit(1)).alias("n"))
             pairs = votes.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("best.a", "b") if number == 0 else votes.select("a", "b")
         else:
@@ -216,23 +247,43 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
         tried = pairs if tried is None else tried.union(pairs)
         found = new if found is None else found.union(new)
         nodes = components(found)
-    return nodes
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    return classes.select("node").limit(0).withColumn("component", F.col("node")) if nodes is None else nodes
+
+
+def resolved(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketches; for each class its set_key, copies, node, first row (doc_id, text_hash) and component with that one's
+    first row (component_doc, component_hash, component_node); and the (doc_id, text_hash) that several rows have."""
+    seen = materialize(sketches(docs), "sketches")
+    repeated = materialize(seen.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_hash"), "repeated-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    classes = seen.where("n_shingles > 0").groupBy("set_key").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = materialize(classes.select("set_key", "copies", "n_shingles", "sig", "bands", "first.doc_id", "first.text_hash", F.monotonically_increasing_id().alias("node")), "classes")
+    nodes = links_of(docs, classes, repeated)
+    labelled = materialize(classes.select("set_key", "copies", "node", "doc_id", "text_hash").join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled-classes")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "node"))
+    heads = labelled.groupBy("component").agg(least.alias("head"), F.count(F.lit(1)).alias("size"))
+    heads = heads.select("component", "size", F.col("head.doc_id").alias("component_doc"), F.col("head.text_hash").alias("component_hash"), F.col("head.node").alias("component_node"))
+    return seen, join_by_key(labelled, heads, "component", "size", labelled.count()), repeated
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
-    seen = materialize(sketches(docs), "sketches")
-    rows = seen.count()
-    full = seen.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
-    nodes = links_of(docs, classes)
-    answer = classes.select("set_key", "copies", "rep").join(nodes, F.col("rep") == F.col("node"), "left").select("set_key", "copies", F.coalesce("component", "rep").alias("class_component"))
-    alone = seen.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = join_by_key(full.select("doc_id", "n_shingles", "set_key"), answer, "set_key", "copies", rows).select("doc_id", "n_shingles", F.col("class_component").alias("component_id"))
+    seen, classes, _ = resolved(docs)
+    alone = seen.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    full = seen.where("n_shingles > 0").select("doc_id", "n_shingles", "set_key")
+    out = join_by_key(full, classes.select("set_key", "copies", "component_doc"), "set_key", "copies", seen.count()).select("doc_id", "n_shingles", F.col("component_doc").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the smallest of their component, with all their columns."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """One row of each component of ``docs``, with all its columns, and every row without words."""
+    seen, classes, repeated = resolved(docs)
+    heads = classes.where("node = component_node").select("doc_id", "text_hash")
+    wordless = seen.where("n_shingles = 0").select("doc_id", "text_hash").distinct().withColumn("often", F.lit(False))
+    keep = materialize(flagged(heads, repeated).unionByName(wordless).select(F.col("doc_id").alias("at"), F.col("text_hash").alias("th"), "often"), "kept-rows")
+    rows = hashed(boxed(docs))
+    match = F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("text_hash") == F.col("th"))
+    once = rows.join(keep.where("not often"), match, "left_semi").select("row")
+    often = rows.join(keep.where("often"), match, "left_semi").groupBy("doc_id", "text_hash").agg(F.first("row").alias("row")).select("row")
+    return once.unionByName(often).select("row.*")

@@ -5,28 +5,35 @@ blob and rule version that has been scanned, with its findings; a scan anti-join
 reads the text of blobs that have an unseen pair once, appends what it finds, and joins the findings back to all paths
 that hold the blob. All of it is DataFrame code.
 
+A table is brought to the ledger in batches, so what a batch scanned is not scanned again by the next one, nor by any later
+table if the ledger's path is kept.
+
 Positions come from two built-ins that walk the same matches: ``split`` gives the gaps between matches and
-``regexp_extract_all`` the matches themselves, so their running lengths are the offsets, in code points.
+``regexp_extract_all`` the matches themselves, so their running lengths (a window sum over exploded matches, linear in their
+number) are the offsets, in code points and in bytes.
 
-Defined cases: a null text is an empty blob without findings; copies of a text are one blob, scanned once; null ids are
-paths like any other and are listed once for each row; rows repeated in the input come back repeated; an empty table
-gives an empty result; further columns are ignored.
+Defined cases: a null text is an empty blob without findings; very long texts and texts with any number of findings are
+scanned whole; copies of a text are one blob, scanned once; of findings that start together, the rule listed first comes
+first; null ids are paths like any other and are listed once for each row; rows repeated in the input come back repeated; an
+empty table gives an empty result; further columns, whatever their names, are ignored by ``scan`` and kept by ``redact``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import join_by_key, materialize, scratch_path
+from lectern.llm.common import boxed, join_by_key, materialize, scratch_path
 
-#: Kind, pattern, group whose length counts, and the least length of a match that is a finding.
+#: Kind, pattern, group whose length counts, and the least length of a match that is a finding. Access and hex
+#: runs are matched with their least length at once: a greedy run starts at its first character, so no other match can differ.
 BASE_RULES = [
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", r"[0-9a-f]+", 0, 24),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
 ]
 #: Further kinds, which only add spans.
 MORE_RULES = [
@@ -39,8 +46,10 @@ MORE_RULES = [
 RULES = BASE_RULES + MORE_RULES
 #: Raise it when a pattern changes: the ledger then takes every blob as unseen by the new version.
 RULE_VERSION = 1
+#: Batches in which a table is brought to the ledger.
+BATCHES = 2
 
-FINDING = "struct<start:bigint,kind_no:int,kind:string,stop:bigint>"
+FINDING = "struct<start:bigint,kind_no:int,kind:string,stop:bigint,first_byte:bigint,last_byte:bigint>"
 
 
 #: Strings (in lower case) of which a text with a finding has at least one; a pattern for hex.
@@ -67,74 +76,92 @@ def hinted(text: Column, low: Column, kind: str, pattern: str, group: int, least
     return out
 
 
-def spans_of(text: Column, no: int, kind: str, pattern: str, group: int, least: int) -> Column:
-    """All findings of one rule in a text, as an array of (start, kind_no, kind, stop)."""
+def matches(text: Column, no: int, kind: str, pattern: str, group: int, least: int) -> Column:
+    """All matches of one rule in a text, in order: what stands before each one and how long it is, in characters and bytes."""
     size = lambda c: F.coalesce(F.char_length(c), F.lit(0)).cast("long")
-    matches = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
-    steps = F.zip_with(F.split(text, pattern, -1), matches(0), lambda gap, hit: F.struct(size(gap).alias("gap"), size(hit).alias("hit")))
-    steps = F.zip_with(steps, matches(group), lambda x, part: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), size(part).alias("part")))
-    none = F.array().cast(f"array<{FINDING}>")
+    width = lambda c: F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    all_of = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+
+    def one(gap: Column, hit: Column) -> Column:
+        return F.struct(size(gap).alias("gap"), size(hit).alias("hit"), width(gap).alias("gap_bytes"), width(hit).alias("hit_bytes"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["gap"]
-        end = at + x["hit"]
-        found = F.struct(at.alias("start"), F.lit(no).alias("kind_no"), F.lit(kind).alias("kind"), end.alias("stop")).cast(FINDING)
-        return F.struct(end.alias("at"), F.when(x["part"] >= least, F.concat(acc["found"], F.array(found))).otherwise(acc["found"]).alias("found"))
+    steps = F.zip_with(F.split(text, pattern, -1), all_of(0), one)
+    return F.zip_with(steps, all_of(group), lambda x, part: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), x["gap_bytes"].alias("gap_bytes"), x["hit_bytes"].alias("hit_bytes"), (size(part) >= least).alias("counts")))
 
-    return F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+
+def findings(rows: DataFrame) -> DataFrame:
+    """(blob, kind, found) from (blob, kind, kind_no, matches): the places of the matches that count, in order."""
+    each = rows.select("blob", "kind", "kind_no", F.posexplode("matches").alias("no", "x")).select("blob", "kind", "kind_no", "no", "x.*")
+    upto = Window.partitionBy("blob", "kind").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    placed = each.withColumn("stop", F.sum(F.col("gap") + F.col("hit")).over(upto)).withColumn("last_byte", F.sum(F.col("gap_bytes") + F.col("hit_bytes")).over(upto)).where("counts")
+    finding = F.struct((F.col("stop") - F.col("hit")).alias("start"), "kind_no", "kind", "stop", (F.col("last_byte") - F.col("hit_bytes")).alias("first_byte"), "last_byte").cast(FINDING)
+    return placed.groupBy("blob", "kind").agg(F.array_sort(F.collect_list(finding)).alias("found"))
 
 
 class BlobLedger:
-    """Which blob has been scanned by which rule version, and what was found: a Parquet table in the shared folder."""
+    """Which blob has been scanned by which rule version, and what was found: a Parquet table that lives under its path."""
 
     SCHEMA = f"blob binary, kind string, version int, found array<{FINDING}>"
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.filled = spark, path or scratch_path(spark, "blob-ledger"), path is not None
+        self.spark, self.path = spark, path or scratch_path(spark, "blob-ledger")
+
+    def exists(self) -> bool:
+        try:
+            self.read()
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return False
+            raise
+        return True
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.SCHEMA).parquet(self.path)
 
     def unseen(self, blobs: DataFrame, rules: list, version: int) -> DataFrame:
         """(at, blob, kinds): blobs that some rule version has not seen yet, with those rules."""
-        pairs = blobs.select("at", "blob", F.explode(F.array(*[F.lit(r[0]) for r in rules])).alias("kind"))
-        if self.filled:
-            seen = self.read().where(F.col("version") == version).select("blob", "kind")
-            pairs = pairs.join(seen, ["blob", "kind"], "left_anti")
-            return pairs.groupBy("blob", "at").agg(F.collect_set("kind").alias("kinds"))
-        return blobs.select("at", "blob", F.array(*[F.lit(r[0]) for r in rules]).alias("kinds"))
-
-    def scan(self, versions: DataFrame, rules: list = RULES, version: int = RULE_VERSION) -> DataFrame:
-        """Bring the ledger up to date with ``versions`` (doc_id, text; a row for each path and version of it).
-
-        Returns (doc_id, blob, found): all findings of the rules in each row's text, by start and then rule order.
-        """
-        paths = materialize(versions.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob")), "paths")
-        rows = paths.count()
-        blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("at"), F.count(F.lit(1)).alias("n_paths"))
-        todo = self.unseen(blobs, rules, version).withColumnRenamed("at", "_at")
-        owners = versions.select(F.col("doc_id").cast("long").alias("at"), F.coalesce("text", F.lit("")).alias("text"))
+        every = blobs.select("at", "blob", F.array(*[F.lit(r[0]) for r in rules]).alias("kinds"))
+        if not self.exists():
+            return every
+        seen = self.read().where(F.col("version") == version).groupBy("blob").agg(F.collect_set("kind").alias("seen"))
+        both = every.join(seen, "blob", "left")
+        return both.select("at", "blob", F.array_except("kinds", F.coalesce("seen", F.array().cast("array<string>"))).alias("kinds")).where(F.size("kinds") > 0)
+
+    def update(self, versions: DataFrame, blobs: DataFrame, rules: list, version: int) -> None:
+        """Scan the blobs (blob, at) that have an unseen rule version, each in one of the ``versions`` (doc_id, blob, text) that hold it."""
+        todo = self.unseen(blobs, rules, version).withColumnsRenamed({"at": "_at", "blob": "_blob"})
         # the text of one path of each blob; the digest is checked as ids may repeat
-        picked = owners.join(todo, F.col("at").eqNullSafe(F.col("_at"))).where(F.unhex(F.sha2("text", 256)) == F.col("blob"))
+        picked = versions.join(todo, F.col("doc_id").eqNullSafe(F.col("_at")) & (F.col("blob") == F.col("_blob")))
         # one look at every text; only those with a hint keep it for the exact scan
         low = picked.withColumn("low", F.lower("text"))
         flags = F.array(*[F.array_contains("kinds", r[0]) & hinted(F.col("text"), F.col("low"), *r) for r in rules])
-        seen = low.select("blob", "kinds", flags.alias("flags"), "text")
-        seen = seen.select("blob", "kinds", "flags", F.when(F.array_contains("flags", True), F.col("text")).alias("text"))
-        seen = materialize(seen, "hinted")
-        none = F.array().cast(f"array<{FINDING}>")
-        each = [F.struct(F.lit(r[0]).alias("kind"), F.when(F.col("flags")[no], spans_of(F.col("text"), no, *r)).otherwise(none).alias("found")) for no, r in enumerate(rules)]
-        exact = seen.where(F.col("text").isNotNull()).select("blob", "kinds", F.explode(F.array(*each)).alias("x"))
-        exact = exact.where(F.array_contains("kinds", F.col("x.kind"))).select("blob", "x.kind", "x.found")
-        clean = seen.where(F.col("text").isNull()).select("blob", F.explode("kinds").alias("kind")).withColumn("found", none)
-        done = exact.unionByName(clean).withColumn("version", F.lit(version).cast("int"))
+        looked = low.select("blob", "kinds", flags.alias("flags"), "text")
+        looked = materialize(looked.select("blob", "kinds", "flags", F.when(F.array_contains("flags", True), F.col("text")).alias("text")), "hinted")
+        none = F.array().cast("array<struct<gap:bigint,hit:bigint,gap_bytes:bigint,hit_bytes:bigint,counts:boolean>>")
+        each = [F.struct(F.lit(r[0]).alias("kind"), F.lit(no).alias("kind_no"), F.when(F.col("flags")[no], matches(F.col("text"), no, *r)).otherwise(none).alias("matches")) for no, r in enumerate(rules)]
+        # a text stands as often as its blob and id repeat, but its blob is scanned once
+        exact = looked.where(F.col("text").isNotNull()).dropDuplicates(["blob"]).select("blob", F.explode(F.array(*each)).alias("x")).select("blob", "x.*").where(F.size("matches") > 0)
+        scanned = looked.groupBy("blob").agg(F.first("kinds").alias("kinds")).select("blob", F.explode("kinds").alias("kind"))
+        done = scanned.join(findings(exact), ["blob", "kind"], "left").withColumn("version", F.lit(version).cast("int"))
+        done = done.withColumn("found", F.coalesce("found", F.array().cast(f"array<{FINDING}>")))
         done.select("blob", "kind", "version", "found").write.mode("append").parquet(self.path)
-        self.filled = True
+
+    def scan(self, versions: DataFrame, rules: list = RULES, version: int = RULE_VERSION, batches: int = BATCHES) -> DataFrame:
+        """Bring the ledger up to date with ``versions`` (doc_id, text; a row for each path and version of it), in batches.
+
+        Returns (doc_id, blob, found): all findings of the rules in each row's text, by start and then rule order.
+        """
+        text = F.coalesce("text", F.lit(""))
+        named = versions.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"), F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(batches)), F.lit(0)).alias("batch"))
+        paths = materialize(named.select("doc_id", "blob", "batch"), "paths")
+        for k in range(batches):
+            mine = F.col("batch") == k
+            self.update(named.where(mine).select("doc_id", "blob", "text"), paths.where(mine).groupBy("blob").agg(F.min("doc_id").alias("at")), rules, version)
         kinds = [r[0] for r in rules]
         hits = self.read().where((F.col("version") == version) & F.col("kind").isin(kinds) & (F.size("found") > 0))
         per_blob = hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
-        answers = blobs.select("blob", "n_paths").join(per_blob, "blob", "left")
-        out = join_by_key(paths, answers, "blob", "n_paths", rows)
+        answers = paths.groupBy("blob").agg(F.count(F.lit(1)).alias("n_paths")).join(per_blob, "blob", "left")
+        out = join_by_key(paths.select("doc_id", "blob"), answers, "blob", "n_paths", paths.count())
         return out.select("doc_id", "blob", F.coalesce("found", F.array().cast(f"array<{FINDING}>")).alias("found"))
 
 
@@ -154,26 +181,33 @@ def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame
     return out.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
+def cuts_of(found: DataFrame) -> DataFrame:
+    """(blob, doc_id, cuts): the findings of each row as disjoint ranges of bytes, overlapping ones joined, in order."""
+    each = found.select("doc_id", "blob", F.explode("found").alias("x")).select("doc_id", "blob", F.col("x.first_byte").alias("a"), F.col("x.last_byte").alias("b"))
+    order = Window.partitionBy("doc_id", "blob").orderBy("a", "b")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    opened = each.withColumn("new", F.when(F.col("a") < F.max("b").over(before), 0).otherwise(1))
+    numbered = opened.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = numbered.groupBy("doc_id", "blob", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return islands.groupBy("doc_id", "blob").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("cuts"))
+
+
 def redact(docs: DataFrame, ledger: BlobLedger | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every finding replaced by ``mark`` (overlapping ones by one mark); all columns and rows stay.
 
-    A column n_chars follows the new text.
-
-    The findings of a text replace it wherever the text stands, so they are looked up by the text's digest.
+    A column n_chars follows the new text. The findings of a text replace it wherever the text stands, so they are looked up
+    by the text's digest. The text is put together from the byte ranges between the findings, once.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
-    found = ledger.scan(docs).where(F.size("found") > 0).groupBy("doc_id", "blob").agg(F.first("found").alias("_found"))
-    found = found.withColumnsRenamed({"doc_id": "_id", "blob": "_blob"})
-    text = F.coalesce(F.col("text"), F.lit(""))
-    both = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.unhex(F.sha2(text, 256)) == F.col("_blob")), "left")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
-        new = x["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(new, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate("_found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    new = both.withColumn("_new", F.when(F.col("_found").isNotNull(), clean))
-    follow = {"text": F.coalesce("_new", "text"), "n_chars": F.coalesce(F.char_length("_new").cast("long"), "n_chars") if "n_chars" in docs.columns else None}
-    return new.select(*[follow[c].alias(c) if c in follow else docs[c] for c in docs.columns])
+    found = ledger.scan(docs).where(F.size("found") > 0).dropDuplicates(["doc_id", "blob"])
+    cuts = cuts_of(found).withColumnsRenamed({"doc_id": "at", "blob": "of"})
+    rows = boxed(docs).withColumn("blob", F.unhex(F.sha2("text", 256)))
+    both = rows.join(cuts, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("blob") == F.col("of")), "left")
+    data = F.encode("text", "utf-8")
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("cuts", lambda x: x["b"]))
+    begins = F.concat(F.transform("cuts", lambda x: x["a"]), F.array(F.octet_length("text").cast("long")))
+    piece = lambda b, a: F.decode(F.substring(data, (b + 1).cast("int"), (a - b).cast("int")), "utf-8")
+    clean = F.array_join(F.zip_with(ends, begins, piece), mark)
+    new = both.select("row", F.when(F.col("cuts").isNotNull(), clean).alias("new"))
+    follow = {"text": F.coalesce("new", "row.text"), "n_chars": F.coalesce(F.char_length("new").cast("long"), "row.n_chars") if "n_chars" in docs.columns else None}
+    return new.select(*[(follow[c] if c in follow else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -1,7 +1,8 @@
 """Token-ID output: one concatenated id array a block, with Elias-Fano encoded document boundaries.
 
-A block is self-contained: the header (magic, width, n_docs, n_ids, and how many ids of its shard stand before it),
-the nullable doc_ids, the boundaries and the ids. The boundaries are a non-decreasing sequence of n_docs + 1 numbers up
+A block is self-contained: the header (magic, width, n_docs, n_ids, the first doc_id, and how many ids of its shard stand
+before it), which doc_ids are null, the doc_ids (they rise, so they are Elias-Fano coded as well), the boundaries and the
+ids; there are no 64-bit tables. A reader gets each document's offsets by ``select``. The boundaries are a non-decreasing sequence of n_docs + 1 numbers up
 to n_ids; each is split into ``low_bits`` low bits, packed one after another, and a unary coded high part, so that they
 take about 2 + log2(n_ids / n_docs) bits each instead of 64. ``EliasFano.get`` selects the i-th one bit through samples
 taken every 256 ones, so an offset is found without unpacking the rest.
@@ -10,8 +11,9 @@ Documents are dealt by ranges of doc_id and sorted, so shard numbers and block n
 corpus. Blocks are stored as rows of a Parquet table: Spark's commit protocol makes each shard appear once even if
 tasks are repeated, and any store that Spark reaches will do.
 
-Defined cases: a null text is an empty one (the end id alone); null doc_ids come first; repeated rows are documents of
-their own, next to each other; an empty table gives an empty output; further columns are ignored.
+Defined cases: a null text is an empty one (the end id alone); a very long text is one document of one block; null doc_ids
+come first; repeated rows are documents of their own, next to each other, ties in doc_id by text; an empty table gives an
+empty output; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import scratch_path, texts
 from lectern.llm.wordcache import encoded
 
-MAGIC = b"LTI1"
-HEADER = "<4sBBHIQQQ"
+MAGIC = b"LTI2"
+HEADER = "<4sBxxxIqQQ"
 #: Distance of the select samples, in ones.
 SAMPLE = 256
 BLOCKS = "shard int, block int, n_docs long, n_ids long, payload binary"
@@ -45,13 +47,13 @@ class EliasFano:
 
     @classmethod
     def encode(cls, values: np.ndarray, universe: int) -> EliasFano:
-        values = np.asarray(values, np.int64)
+        values = np.asarray(values, np.uint64)
         n = len(values)
         low_bits = max(0, int(universe // max(1, n)).bit_length() - 1)
-        bits = (values[:, None] >> np.arange(low_bits)) & 1 if low_bits else np.zeros((n, 0), np.int64)
+        bits = (values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1) if low_bits else np.zeros((n, 0), np.uint64)
         low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
         unary = np.zeros(n + (universe >> low_bits) + 1, np.uint8)
-        unary[(values >> low_bits) + np.arange(n)] = 1
+        unary[(values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)] = 1
         return cls(n, low_bits, low, np.packbits(unary, bitorder="little"))
 
     def to_bytes(self) -> bytes:
@@ -85,37 +87,47 @@ class EliasFano:
 
     def decode(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)) << self.low_bits
+        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits and self.n:
             bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            out |= bits.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+            out |= bits.astype(np.uint64) @ (np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64))
         return out
 
 
 def write_block(doc_ids: list, counts: np.ndarray, ids: np.ndarray, before: int) -> bytes:
+    """``doc_ids`` must not fall, other than nulls; ``counts`` are the ids of each document in ``ids``."""
     wide = 2 if not len(ids) or ids.max() < 1 << 16 else 4
     none = np.array([d is None for d in doc_ids], np.uint8)
-    named = np.array([0 if d is None else d for d in doc_ids], np.int64)
+    named = [d for d in doc_ids if d is not None]
+    first = named[0] if named else 0
+    steps = EliasFano.encode(np.array([d - first for d in named], np.uint64), named[-1] - first if named else 0)
     bounds = EliasFano.encode(np.concatenate([[0], np.cumsum(counts)]), int(counts.sum()))
-    head = struct.pack(HEADER, MAGIC, wide, 0, 0, 0, len(doc_ids), len(ids), before)
-    return head + np.packbits(none).tobytes() + named.astype("<i8").tobytes() + bounds.to_bytes() + ids.astype(f"<u{wide}").tobytes()
+    head = struct.pack(HEADER, MAGIC, wide, len(doc_ids), first, len(ids), before)
+    return head + np.packbits(none).tobytes() + steps.to_bytes() + bounds.to_bytes() + ids.astype(f"<u{wide}").tobytes()
 
 
 class Block:
     """A block as it was read: ``doc_ids``, ``bounds`` (Elias-Fano) and ``ids``."""
 
     def __init__(self, data: bytes):
-        magic, wide, _, _, _, n, n_ids, self.before = struct.unpack_from(HEADER, data, 0)
+        magic, wide, self.n_docs, first, n_ids, self.before = struct.unpack_from(HEADER, data, 0)
         if magic != MAGIC:
             raise ValueError("not a token-id block")
         at = struct.calcsize(HEADER)
-        none = np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), at))[:n].astype(bool)
-        at += -(-n // 8)
-        named = np.frombuffer(data, "<i8", n, at)
-        self.doc_ids = [None if a else int(b) for a, b in zip(none, named, strict=True)]
-        self.bounds, at = EliasFano.from_bytes(data, at + 8 * n)
+        none = np.unpackbits(np.frombuffer(data, np.uint8, -(-self.n_docs // 8), at))[: self.n_docs].astype(bool)
+        steps, at = EliasFano.from_bytes(data, at + -(-self.n_docs // 8))
+        named = iter(steps.decode().tolist())
+        self.doc_ids = [None if a else first + next(named) for a in none.tolist()]
+        self.bounds, at = EliasFano.from_bytes(data, at)
         self.ids = np.frombuffer(data, f"<u{wide}", n_ids, at)
 
+    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(doc_id, offset, ids) of each document, its offsets selected one by one."""
+        end = self.bounds.get(0)
+        for i, doc_id in enumerate(self.doc_ids):
+            start, end = end, self.bounds.get(i + 1)
+            yield doc_id, start, self.ids[start:end]
+
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.bounds.get(i) : self.bounds.get(i + 1)]
 
@@ -124,7 +136,7 @@ def write_token_ids(docs: DataFrame, out: str, path: str | None = None, end_id:
     """Encode all texts, end each with ``end_id`` and write them as blocks below ``out``, in ascending doc_id order."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts(docs).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id").withColumn("shard", F.spark_partition_id())
+    dealt = texts(docs).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
@@ -154,10 +166,9 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for shard, payload in zip(batch.column("shard").to_pylist(), batch.column("payload"), strict=True):
                 block = Block(payload.as_buffer().to_pybytes())
-                ends = block.bounds.decode()
-                wide = block.ids.astype("<u4")
-                crc = [zlib.crc32(wide[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids, pa.int64()), pa.array(ends[:-1] + (first[shard] + block.before)), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                before = first[shard] + block.before
+                rows = [(doc_id, before + start, len(ids), zlib.crc32(ids.astype("<u4"))) for doc_id, start, ids in block.documents()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return table.select("shard", "payload").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

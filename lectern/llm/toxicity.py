@@ -1,7 +1,8 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Units are whole words and their first four to eight bytes, so that inflected forms share evidence. Unit counts of
-labelled documents (near copies, by one MinHash of their shingles, count once) give log-odds under an informative Dirichlet prior (the prior is the pooled corpus); units that are
+labelled documents (of those with one MinHash, the ones that are verified near copies of one of them count once) give log-odds under
+an informative Dirichlet prior (the prior is the pooled corpus); units that are
 surely more frequent in toxic documents keep their log-odds as weight, every other word has a small negative one. The
 linear-time scan of Ruzzo and Tompa then finds all maximal scoring segments of a text. Karlin-Altschul statistics turn
 a segment's score into the number of such segments expected by chance in a clean text of that length (lambda is the
@@ -10,9 +11,10 @@ evidence, the sum over its significant segments, becomes a probability by a logi
 evidence counts too: how far the sum of all weights lies above what a clean text of that length has, in deviations.
 
 The model learns from at most ``max_labelled`` labelled rows (chosen by a hash of their id; the bound keeps the
-broadcast of labels bounded) and has at most ``max_units`` units. All texts are scored whole.
+broadcast of labels, and the units that such a sample can single out, bounded). All texts are scored whole.
 
-Defined cases: a null or empty text has no segment and gets the score of no evidence; rows of labels without a doc_id
+Defined cases: very long texts are scored whole, in slices of their own; texts with the same evidence tie in score, whatever
+their ids; a null or empty text has no segment and gets the score of no evidence; rows of labels without a doc_id
 or toxic value are left out, and of contradicting labels for one id the higher counts; null and repeated doc_ids are
 rows like others (a null id is never held out); without labels of both classes every score is 0; an empty table gives
 an empty result; further columns are ignored, and lang, source and doc_id are never looked at for a score.
@@ -30,13 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import materialize, slices, texts
-from lectern.llm.minhash import shingle_sets
+from lectern.llm.minhash import PERCENT, shingle_sets
 from lectern.llm.textops import distinct_per_doc, lower_ascii, mix, prefix_sums, runs, span_hash, views
 
 #: Labelled rows that a model learns from at most.
 MAX_LABELLED = 20_000
-#: Units that a model keeps at most.
-MAX_UNITS = 8192
 #: Least z-score and log-odds of a unit.
 MIN_Z, MIN_LOG_ODDS = 3.5, 1.5
 #: Bytes of the prefixes that are units.
@@ -123,10 +123,13 @@ class Model:
         return sum(x for x in excess if x > 0), sum(x > 0 for x in excess)
 
     def features(self, n_words: np.ndarray, total: np.ndarray, found: list) -> np.ndarray:
-        """Two columns, rounded to sixths and bounded: segment evidence and total evidence."""
+        """Two columns: segment evidence and total evidence."""
         first = np.sqrt([self.evidence(int(n), f)[0] for n, f in zip(n_words, found, strict=True)]) if len(found) else np.zeros(0)
-        second = (total - n_words * self.mean) / np.sqrt(n_words * self.variance + 1)
-        return np.rint(np.stack([np.minimum(first, 20), np.clip(second, -5, 20)], 1) * 6) / 6
+        return np.stack([first, (total - n_words * self.mean) / np.sqrt(n_words * self.variance + 1)], 1)
+
+    def binned(self, n_words: np.ndarray, total: np.ndarray, found: list) -> np.ndarray:
+        """The features in sixths between -5 and 20: for the fit alone, so that it reads a histogram of bounded size."""
+        return np.rint(np.clip(self.features(n_words, total, found), -5, 20) * 6) / 6
 
     def probability(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.fit[0] + features @ np.array(self.fit[1:]), -30, 30)))
@@ -184,7 +187,7 @@ def root(weights: np.ndarray, share: np.ndarray, background: float) -> float:
 
 
 def training(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
-    """(text, toxic) of the training rows; of texts with the same MinHash and label one is taken."""
+    """(text, toxic) of the training rows; verified near copies of one text with the same MinHash and label count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -198,12 +201,28 @@ def training(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame
 
     sample = sample_of(labels, max_labelled)
     rows = texts(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
-    keyed = rows.mapInArrow(run, "text string, toxic int, key long").groupBy("key", "toxic").agg(F.min("text").alias("text"))
-    return materialize(keyed.select("text", "toxic"), "training")
+    keyed = materialize(rows.mapInArrow(run, "text string, toxic int, key long"), "labelled")
+    leaders = keyed.groupBy("key", "toxic").agg(F.min("text").alias("lead"))
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            (va, da), (vb, db) = shingle_sets(part.column("text")), shingle_sets(part.column("lead"))
+            v, d = np.concatenate([va, vb]), np.concatenate([da, db])
+            order = np.lexsort((v, d))
+            v, d = v[order], d[order]
+            shared = np.bincount(d[1:][(v[1:] == v[:-1]) & (d[1:] == d[:-1])], minlength=part.num_rows)
+            union = np.bincount(d, minlength=part.num_rows) - shared
+            yield part.select(["text", "toxic"]).filter(pa.array(100 * shared < PERCENT * union))
 
+    others = keyed.join(leaders, ["key", "toxic"]).where("text <> lead").select("text", "toxic", "lead").mapInArrow(apart, "text string, toxic int")
+    return materialize(leaders.select(F.col("lead").alias("text"), "toxic").unionByName(others), "training")
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_units: int = MAX_UNITS) -> Model:
-    """Learn from the training rows of ``labels``. The driver holds at most ``max_units`` units and two histograms."""
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
+    """Learn from the training rows of ``labels``.
+
+    The driver holds the units that stand out in the bounded sample, and two histograms.
+    """
     train = training(docs, labels, max_labelled)
     counts = materialize(unit_counts(train), "unit-counts")
     totals = {r["unit"]: (int(r["toxic_docs"]), int(r["clean_docs"])) for r in counts.where("unit in (0, 1)").collect()}
@@ -214,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     a0 = F.col("clean_docs") + PRIOR * (F.col("toxic_docs") + F.col("clean_docs")) / (n1 + n0)
     odds = lambda a, n: F.log(a / F.greatest(F.lit(n + PRIOR) - a, F.lit(0.5)))
     scored = counts.where("unit not in (0, 1) and toxic_docs > 1").withColumn("log_odds", odds(a1, n1) - odds(a0, n0)).withColumn("z", F.col("log_odds") / F.sqrt(1 / a1 + 1 / a0))
-    top = scored.where((F.col("z") >= MIN_Z) & (F.col("log_odds") >= MIN_LOG_ODDS)).orderBy(F.desc("z"), "unit").limit(max_units).collect()
+    top = scored.where((F.col("z") >= MIN_Z) & (F.col("log_odds") >= MIN_LOG_ODDS)).select("unit", "log_odds", "clean_docs").collect()
     if not top:
         return EMPTY
     units = np.array([r["unit"] for r in top], np.int64).view(np.uint64)
@@ -228,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     model.log_k = math.log(max(1e-6, sum(math.exp(min(b, 20.0)) * n for (_, b, _), n in clean.items()) / n_docs))
     model.mean = sum(x * n for (_, _, x), n in clean.items()) / n_docs
     model.variance = sum((x - model.mean) ** 2 * n for (_, _, x), n in clean.items()) / n_docs * max(1.0, clean_words / n_docs)
-    model.fit = logistic(histogram(train, model, lambda m, *seen: m.features(*seen)))
+    model.fit = logistic(histogram(train, model, Model.binned))
     return model
 
 

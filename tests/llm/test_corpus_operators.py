@@ -406,3 +406,71 @@ def test_media_crops_keep_the_corners_of_their_original():
     inner = [(p[0] - y, p[1] - x, *p[2:], c.tobytes()) for p, c in zip(points.tolist(), codes, strict=True) if all((a - o) >> p[2] in range(media.PATCH, (n >> p[2]) - media.PATCH) for a, o, n in ((p[0], y, h), (p[1], x, w)))]
     kept = [(*p, c.tobytes()) for p, c in zip(*(v.tolist() if v.shape[1] == 4 else v for v in media.describe(image[y : y + h, x : x + w])), strict=True)]
     assert len(kept) > 50 and sorted(kept) == sorted(inner)
+
+
+def test_license_spans_are_verified(spark):
+    rows = [(1, "gnu general public license " * 12), (2, "software and associated documentation " * 12), (3, license_scan.TEMPLATES[5][0]), (4, " ".join(reversed(license_scan.TEMPLATES[5][0].split())))]
+    got = by_id(license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i]["labels"] for i in (1, 2, 3, 4)] == ["", "", "gpl", ""] and got[3]["score"] == 1.0 and max(got[i]["score"] for i in (1, 2, 4)) < 0.5
+
+
+def test_rows_stay_apart_by_text_not_by_id(spark):
+    one, two = " ".join(f"left{i}" for i in range(30)), " ".join(f"right{i}" for i in range(30))
+    rows = [(3, one), (5, one), (5, two), (9, two), (1, "x y"), (1, "x y"), (None, "n n n"), (None, "n n n"), (None, None), (4, None)]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, _id long, _gone long, digest long, row long")
+    left = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    near, exact = minhash.drop_near_duplicates(docs), exact_dedup.drop_duplicates(docs)
+    assert near.columns == exact.columns == docs.columns
+    # texts without words are linked with nothing, so both stay among near copies
+    assert left(near) == sorted([(3, one), (5, two), (1, "x y"), (None, "n n n"), (None, None), (4, None)], key=str)
+    assert left(exact) == sorted([(3, one), (5, two), (1, "x y"), (None, "n n n"), (4, None)], key=str)
+
+
+def test_digest_index_outlives_a_call(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=2)
+    first = spark.createDataFrame([(1, "a b c"), (2, "abc"), (3, "d")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_duplicates(first, index).collect()) == [1, 3]
+    later = spark.createDataFrame([(4, "d"), (5, "e")], "doc_id long, text string")
+    assert [r["doc_id"] for r in exact_dedup.drop_duplicates(later, exact_dedup.DigestIndex(spark, index.table)).collect()] == [5]
+    index.drop()
+    assert not index.exists()
+
+
+def test_ledger_starts_under_a_new_path_and_takes_many_findings(spark, tmp_path):
+    ledger = secret_scan.BlobLedger(spark, str(tmp_path / "ledger"))
+    text = "é" + " ".join("%024x" % (i * 7919) for i in range(4000)) + " token=abcdef12"
+    docs = spark.createDataFrame([(1, text, "c", 0), (1, text, "c", 0), (2, "x", "c", 0)], "doc_id long, text string, _id string, n_chars long")
+    got = [r for r in secret_scan.scan_secrets(docs, ledger).collect() if r["doc_id"] == 1]
+    found = secrets_by_hand(text)
+    assert len(got) == 2 and got[0]["n_hex"] == 4000 and got[0]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in found).encode()).hexdigest()
+    again = secret_scan.BlobLedger(spark, str(tmp_path / "ledger"))
+    before = again.read().count()
+    out = secret_scan.redact(docs, again)
+    assert again.read().count() == before and out.columns == docs.columns
+    assert {r["text"] for r in out.collect()} == {"é" + " ".join(["[SECRET]"] * 4001), "x"}
+
+
+def test_toxicity_against_the_definition(spark):
+    """Scores recomputed word by word: the largest weight of a word's units, segments by splitting, and the formulas."""
+    rng, words = random.Random(3), ["calm", "river", "stone", "paper", "green", "window", "table", "bright", "é"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) + (" vile loserling idiotic vile " if i % 4 == 0 else "") + rng.choice(words)) for i in range(400)] + [(900, ""), (901, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    weight = dict(zip(model.units.tolist(), model.weights.tolist(), strict=True))
+    hashes = lambda w: [int(h[0]) for h in toxicity.unit_hashes(pa.array([w]))[0]]
+    of_word = {w: max((weight.get(h, 0.0) for h in hashes(w)), default=0.0) for _, t in rows for w in (t or "").split()}
+    assert len(weight) > 3 and of_word["vile"] > 0 and of_word["calm"] == 0
+
+    def split(score, a, b):
+        best = max(((sum(score[i:j]), -(j - i), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0, 0))
+        return split(score, a, best[2]) + [best[0]] + split(score, best[3], b) if best[0] > 1e-9 else []
+
+    for i, t in rows[::9] + rows[-2:]:
+        plain = [of_word[w] for w in (t or "").split()]
+        sums = split([x or toxicity.BACKGROUND for x in plain], 0, len(plain))
+        excess = [model.decay * s - model.log_k - np.log(max(1, len(plain))) for s in sums]
+        a = np.sqrt(sum(x for x in excess if x > 0))
+        b = (sum(plain) - len(plain) * model.mean) / np.sqrt(len(plain) * model.variance + 1)
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(model.fit[0] + model.fit[1] * a + model.fit[2] * b, -30, 30)))) < 1e-9
