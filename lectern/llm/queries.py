@@ -34,7 +34,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.copies(media.page_images(_table(spark, sf_dir, "pages"))).withColumnRenamed("image_id", "page_id")
+    return media.copies(media.page_sketches(_table(spark, sf_dir, "pages"))).withColumnRenamed("image_id", "page_id")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
