@@ -9,16 +9,16 @@ from lectern.functions import text as X
 
 #: Keywords of section titles, in the order that decides, and weights of the sections.
 SECTIONS = [
-    ("abstract", ["abstract", "summary"]),
-    ("introduction", ["introduction", "background"]),
-    ("methodology", ["method", "materials", "approach"]),
-    ("results", ["result", "finding"]),
-    ("discussion", ["discussion", "analysis"]),
-    ("conclusion", ["conclusion", "concluding"]),
-    ("references", ["reference", "bibliography"]),
-    ("appendix", ["appendix", "supplement"]),
+    ("abstract", ["abstract", "summary", "overview"]),
+    ("introduction", ["introduction", "background", "motivation"]),
+    ("literature_review", ["literature review", "related work", "previous work"]),
+    ("methodology", ["methodology", "methods", "approach", "experimental design"]),
+    ("results", ["results", "findings", "outcomes", "analysis"]),
+    ("discussion", ["discussion", "interpretation", "implications"]),
+    ("conclusion", ["conclusion", "conclusions", "summary", "final remarks"]),
+    ("references", ["references", "bibliography", "works cited"]),
 ]
-WEIGHTS = {"abstract": 10, "introduction": 15, "methodology": 20, "results": 20, "discussion": 15, "conclusion": 10, "references": 5, "appendix": 5}
+WEIGHTS = {"title": 10, "abstract": 15, "introduction": 20, "methodology": 20, "results": 15, "discussion": 10, "conclusion": 5, "references": 5}
 CONTENT = {
     "introduction": ["in this paper", "we propose", "motivation", "problem"],
     "methodology": ["we used", "procedure", "participants", "algorithm"],
@@ -39,7 +39,7 @@ def completeness(types: Column) -> Column:
 
 
 def missing_sections(types: Column) -> Column:
-    return F.array_except(F.array(*[F.lit(n) for n in WEIGHTS if n not in ("appendix", "abstract")]), types)
+    return F.array_except(F.array(*[F.lit(n) for n in WEIGHTS if n not in ("title", "abstract")]), types)
 
 
 def imrad(title: Column, content: Column) -> Column:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from lectern.functions.text import any_of, first_match
 
 #: Tokens of the request and file scans, and class names in the order that decides.
-SQL_TOKENS = ["union select", "drop table", "insert into", "delete from", "or 1=1", "exec(", "xp_cmdshell", "--", ";--", "/*"]
-XSS_TOKENS = ["<script", "javascript:", "onerror=", "onload=", "<iframe", "<object", "<embed", "vbscript:", "data:text/html"]
-SUSPICIOUS = ["eval(", "exec(", "system(", "shell_exec", "cmd.exe", "powershell", "base64_decode", "wget ", "curl ", "/bin/sh", "<script", "document.cookie"]
+SQL_TOKENS = ["union select", "drop table", "insert into", "delete from", "update set", "--", "/*", "*/", "xp_", "sp_"]
+XSS_TOKENS = ["<script", "javascript:", "onerror=", "onload=", "onclick=", "onmouseover=", "<iframe", "<object", "<embed"]
+TRAVERSAL = ["../", "..%2f", "..%5c"]
+SUSPICIOUS = ["eval(", "exec(", "system(", "shell_exec", "cmd.exe", "powershell", "base64_decode", "gzinflate", "str_rot13", "createobject", "wscript.shell", "microsoft.xmlhttp"]
 THREATS = [("trojan", ["trojan"]), ("worm", ["worm"]), ("ransomware", ["ransom", "crypt"]), ("spyware", ["spy", "keylog"]), ("adware", ["adware"]), ("virus", ["virus", "infect"])]
 ERRORS = [("timeout", ["timeout", "timed out"]), ("memory", ["memory", "oom"]), ("format", ["format", "unsupported"]), ("quota", ["quota", "limit"]), ("network", ["network", "connection"]), ("processing", ["process", "render"])]
 ACADEMIC_SUFFIXES = [".edu", ".ac.uk", ".edu.au", ".ac.jp", ".ac.in", ".edu.cn"]
@@ -18,7 +19,7 @@ ACADEMIC_SUFFIXES = [".edu", ".ac.uk", ".edu.au", ".ac.jp", ".ac.in", ".edu.cn"]
 
 def request_threat(text: Column) -> Column:
     """The first kind of attack of which a request has a token."""
-    return first_match(F.lower(text), [("sql_injection", SQL_TOKENS), ("xss", XSS_TOKENS), ("path_traversal", ["../", "..\\"])])
+    return first_match(F.lower(text), [("sql_injection", SQL_TOKENS), ("xss", XSS_TOKENS), ("path_traversal", TRAVERSAL)])
 
 
 def suspicion(text: Column) -> Column:

@@ -7,19 +7,33 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Word lists of the scorers.
-CONNECTORS = ["however", "therefore", "furthermore", "moreover", "consequently", "nevertheless", "additionally", "similarly", "thus", "hence"]
-HEDGES = ["may", "might", "could", "would", "suggests", "indicates", "appears", "seems"]
-WEAK = ["very", "really", "quite", "just", "things", "stuff", "lots"]
-WORDY = ["in order to", "due to the fact that", "at this point in time", "for the purpose of", "in the event that", "a number of", "it is important to note", "as a matter of fact"]
+#: Words and phrases of the scorers, in lower case.
+CONNECTORS = ["however", "therefore", "furthermore", "moreover", "nevertheless", "consequently"]
+CONNECTOR_PHRASES = ["in addition", "on the other hand", "in contrast", "as a result"]
+HEDGES = ["may", "might", "could", "would", "should", "possibly", "potentially", "likely", "suggest", "indicate", "appear", "seem", "tend"]
+WEAK = ["very", "really", "quite", "rather", "pretty", "somewhat", "fairly"]
+WEAK_PHRASES = ["in my opinion"]
+NOMINAL_ENDINGS = ["tion", "sion", "ment", "ance", "ence", "ity", "ness"]
+WORDY = [
+    "in order to", "due to the fact that", "it is important to note that", "it should be mentioned that",
+    "it is worth noting that", "the fact that", "in the event that", "for the purpose of",
+]
+#: Words that open a paragraph which takes up the one before it.
+LINKS = ["however", "therefore", "furthermore", "moreover", "nevertheless", "consequently", "additionally", "similarly", "finally", "meanwhile", "subsequently", "thus", "hence"]
+#: Words and phrases that make a paragraph count as linked.
+TRANSITION_PARTS = ["however", "therefore", "furthermore", "moreover", "nevertheless", "consequently", "additionally", "similarly", "in contrast", "on the other hand", "as a result", "in addition", "finally"]
+#: Common words of each language; those of the first five are patterns, too.
 COMMON_WORDS = {
-    "en": ["the", "and", "of", "to", "in", "that", "is", "for", "with", "as"],
-    "es": ["el", "la", "de", "que", "y", "en", "los", "se", "del", "las"],
-    "fr": ["le", "la", "de", "et", "les", "des", "en", "un", "une", "que"],
+    "en": ["the", "and", "of", "to", "a", "in", "is", "it", "you", "that"],
+    "es": ["el", "de", "que", "y", "a", "en", "un", "es", "se", "no"],
+    "fr": ["le", "de", "et", "à", "un", "il", "être", "en", "avoir"],
     "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich"],
 }
+#: Stop words of each language, where they are not its common words.
+LANGUAGE_STOP_WORDS = {"en": ["the", "be", "to", "of", "and", "a", "in", "that", "have", "i"]}
 STOP_WORDS = ["the", "and", "for", "are", "with", "that", "this", "from", "was", "were", "have", "has", "not", "but", "its"]
 TRANSITIONS = ["next", "now", "first", "second", "finally", "however", "therefore", "in addition", "for example", "in conclusion"]
+PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 
 def text_of(c: str | Column) -> Column:
@@ -45,12 +59,42 @@ def lines(text: Column, separator: str = "\n\n") -> Column:
 
 
 def syllables(word: Column) -> Column:
-    """Vowel runs, one less for a final e, at least one; none for an empty word."""
-    bare = F.regexp_replace(F.lower(word), r"[^a-z]", "")
+    """Vowel runs, one less for a final e, at least one; none for a word of ASCII punctuation."""
+    bare = F.regexp_replace(F.lower(word), PUNCTUATION, "")
     n = F.regexp_count(bare, F.lit("[aeiouy]+")) - F.when(bare.endswith("e"), 1).otherwise(0)
     return F.when(bare == "", 0).otherwise(F.greatest(F.lit(1), n))
 
 
+def padded(text: Column) -> Column:
+    """Lower-case words of letters, digits and underscores, each with a blank on both sides: so that whole words are counted by one pattern."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", "  "), F.lit(" "))
+
+
+def bare_words(text: Column) -> Column:
+    """Lower-case words without ASCII punctuation, each with a blank on both sides."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(F.lower(text), PUNCTUATION, ""), r"\s+", "  "), F.lit(" "))
+
+
+def word_hits(padded_: Column, listed: list[str]) -> Column:
+    return F.regexp_count(padded_, F.lit(f" (?:{'|'.join(listed)}) "))
+
+
+def ending_hits(padded_: Column, endings: list[str]) -> Column:
+    return F.regexp_count(padded_, F.lit(f" [^ ]+(?:{'|'.join(endings)}) "))
+
+
+def all_syllables(bare: Column) -> Column:
+    """Syllables of all words of ``bare_words``, without taking them apart: vowel runs, less final e's, and one for each word
+    that would have none (no vowel at all, or only one run that ends in its final e)."""
+    count = lambda p: F.regexp_count(bare, F.lit(p))
+    return (count("[aeiouy]+") - count("e ") + count(" [^aeiouy ]+ ") + count(" [^aeiouy ]*[aeiouy]*e ")).cast("long")
+
+
+def phrase_count(text: Column, phrases: list[str]) -> Column:
+    """How often the phrases stand in the text as whole words."""
+    return F.regexp_count(F.lower(text), F.lit(r"(?:^|[^\p{L}\p{N}_])(?:" + "|".join(phrases) + r")(?:[^\p{L}\p{N}_]|$)"))
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 
@@ -100,8 +144,8 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def transition_quality(a: Column, b: Column) -> Column:
-    """0.4 for a connector among the first ten tokens of b, 0.6 by the overlap of both."""
-    leads = F.arrays_overlap(F.slice(b, 1, 10), F.array(*map(F.lit, CONNECTORS)))
+    """0.4 for a linking word among the first ten tokens of b, 0.6 by the overlap of both."""
+    leads = F.arrays_overlap(F.slice(b, 1, 10), F.array(*map(F.lit, LINKS)))
     return F.when(leads, 0.4).otherwise(0.0) + 0.6 * overlap(a, b)
 
 
@@ -117,7 +161,8 @@ def level(score: Column, names: list[tuple[float, str]], other: str) -> Column:
     return out.otherwise(other)
 
 
-QUALITY_LEVELS = [(90.0, "excellent"), (70.0, "good"), (50.0, "acceptable"), (30.0, "needs_improvement")]
+#: The least score of each level.
+QUALITY_LEVELS = [(90.0, "excellent"), (70.0, "good"), (50.0, "fair"), (30.0, "poor")]
 
 
 def first_match(text: Column, cases: list[tuple[str, list[str]]], other: str | None = None) -> Column:

@@ -1,21 +1,31 @@
-"""Document scorers: readability, tone, clarity, structure and an overall quality level for each text."""
+"""Document scorers: readability, tone, clarity, structure and an overall quality level for each text.
+
+Counts are taken by patterns over the whole text (see ``functions.text.padded``), not over arrays of its words, so a scorer
+reads each text a fixed number of times and holds none of its words.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import academic
+from lectern.functions import citations as C
 from lectern.functions import text as X
 
 #: Weights of the overall score.
-WEIGHTS = {"readability": 0.25, "tone": 0.2, "clarity": 0.2, "conciseness": 0.15, "vocabulary": 0.2}
+WEIGHTS = {"readability": 0.15, "coherence": 0.2, "completeness": 0.15, "tone": 0.15, "citations": 0.1, "structure": 0.1, "clarity": 0.1, "conciseness": 0.05}
 
 
 def counted(df: DataFrame, column: str = "text") -> DataFrame:
-    """Adds words, sentences and the counts that most scorers need, once."""
+    """Adds the counts that most scorers need, and the texts that they are counted in (``padded``, ``bare``), once."""
     t = X.text_of(column)
-    out = df.withColumns({"words": X.words(t), "sentences": X.sentences(t)})
-    return out.withColumns({"n_words": F.size("words").cast("long"), "n_sentences": F.size("sentences").cast("long"), "n_syllables": X.total(F.transform("words", lambda w: X.syllables(w).cast("long"))), "n_points": F.char_length(t)})
+    count = lambda c, p: F.regexp_count(c, F.lit(p)).cast("long")
+    out = df.withColumns({"padded": X.padded(t), "bare": X.bare_words(t)})
+    return out.withColumns({
+        "n_words": count(t, r"\S+"), "n_sentences": count(t, r"[^.!?]*[^\s.!?][^.!?]*"), "n_spoken": count(t, r"[^\s.!?]+"), "n_tokens": count(F.col("padded"), " [^ ]+ "),
+        "n_syllables": X.all_syllables(F.col("bare")), "n_long": count(t, r"\S{7,}"), "n_points": F.char_length(t), "n_trimmed": F.char_length(F.trim(t)),
+    })
 
 
 def readability(df: DataFrame) -> DataFrame:
@@ -24,29 +34,55 @@ def readability(df: DataFrame) -> DataFrame:
     return df.withColumns({"ease": ease, "grade": X.grade(F.col("n_words"), F.col("n_sentences"), F.col("n_syllables")), "readability": X.academic_readability(ease, F.col("n_points"))})
 
 
-def languages(tokens: Column) -> Column:
-    """Shares of the tokens that are common words of each language, largest first; ties go to the listed order."""
-    shares = [F.struct(X.ratio(X.hits(tokens, listed), F.size(tokens)).alias("share"), F.lit(-i).alias("rank"), F.lit(name).alias("lang")) for i, (name, listed) in enumerate(X.COMMON_WORDS.items())]
-    return F.sort_array(F.array(*shares), asc=False)
+def languages() -> Column:
+    """(score, rank, lang) of each language in a counted table, the highest first; ties go to the listed order.
+
+    0.4 for the share of common words, 0.3 for that of the first five of them (at most 1), 0.3 for that of stop words.
+    """
+    share = lambda listed: X.ratio(X.word_hits(F.col("padded"), listed), F.col("n_tokens"))
+    scores = []
+    for i, (name, listed) in enumerate(X.COMMON_WORDS.items()):
+        score = 0.4 * share(listed) + 0.3 * F.least(F.lit(1.0), share(listed[:5])) + 0.3 * share(X.LANGUAGE_STOP_WORDS.get(name, listed))
+        scores.append(F.struct(score.alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("lang")))
+    return F.sort_array(F.array(*scores), asc=False)
 
 
-def tone(df: DataFrame, column: str = "text") -> Column:
+def tone(column: str = "text") -> Column:
     """Connectors, hedges and nominalisations for, weak words and contractions against, each by word."""
-    tok = X.tokens(X.text_of(column))
-    good = X.hits(tok, X.CONNECTORS) + X.hits(tok, X.HEDGES) + F.size(F.filter(tok, lambda w: w.rlike("(tion|ment|ness|ity)$")))
-    bad = X.hits(tok, X.WEAK) + F.regexp_count(F.lower(X.text_of(column)), F.lit("[a-z]+'(t|re|ve|ll|s)"))
-    return X.clamp(100 * X.ratio(good, F.size(tok)) - 50 * X.ratio(bad, F.size(tok)))
+    t, p = X.text_of(column), F.col("padded")
+    good = X.word_hits(p, X.CONNECTORS) + X.phrase_count(t, X.CONNECTOR_PHRASES) + X.word_hits(p, X.HEDGES) + X.ending_hits(p, X.NOMINAL_ENDINGS)
+    bad = X.word_hits(p, X.WEAK) + X.phrase_count(t, X.WEAK_PHRASES) + F.regexp_count(t, F.lit(r"[\p{L}\p{N}_]+'[\p{L}\p{N}_]+"))
+    return X.clamp(100 * X.ratio(good, F.col("n_words")) - 50 * X.ratio(bad, F.col("n_words")))
 
 
 def clarity() -> Column:
-    """Sentences of 15 to 25 words, and a share of 20 to 40 per cent of words longer than six characters."""
-    mean = X.ratio(F.col("n_words"), F.col("n_sentences"))
-    long_words = 100 * X.ratio(F.size(F.filter("words", lambda w: F.char_length(w) > 6)), F.col("n_words"))
-    return 0.6 * X.band(mean, 15, 25, 3) + 0.4 * X.band(long_words, 20, 40, 2)
+    """0.6 by the mean length of sentences (best 15 to 25 words), 0.4 by the share of words longer than six characters (best 30 to 50 %)."""
+    mean, share = X.ratio(F.col("n_spoken"), F.col("n_sentences")), X.ratio(F.col("n_long"), F.col("n_words"))
+    length = F.when(mean.between(15, 25), 100.0).when(mean.between(10, 35), 80.0).otherwise(F.greatest(F.lit(0.0), 100 - 2 * F.abs(mean - 20)))
+    hard = F.when(share.between(0.3, 0.5), 100.0).otherwise(F.greatest(F.lit(0.0), 100 - 200 * F.abs(share - 0.4)))
+    return F.when(F.col("n_sentences") == 0, 0.0).otherwise(0.6 * length + 0.4 * hard)
 
 
 def conciseness(column: str = "text") -> Column:
-    return X.clamp(100 - 10 * 100 * X.ratio(X.phrase_hits(X.text_of(column), X.WORDY), F.col("n_words")))
+    """100 less ten for each wordy phrase in a hundred words; 0 for an empty text."""
+    found = sum((X.phrase_count(X.text_of(column), [p]) for p in X.WORDY), F.lit(0))
+    return F.when(F.col("n_points") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 100 - 10 * found / F.greatest(F.col("n_words") / 100, F.lit(1.0))))
+
+
+def coherence(df: DataFrame, key: str, column: str = "text", separator: str = "\n") -> DataFrame:
+    """(key, coherence): 0.4 for the share of paragraphs with a linking phrase, 0.6 for the mean share of the document's twenty
+    most frequent words (ASCII letters, four or more, repeated; the earlier one on ties) that a paragraph contains; 50 for fewer
+    than two paragraphs. Words are counted by partial aggregation, and a document gathers twenty of them."""
+    parts = df.select(key, X.lines(X.text_of(column), separator).alias("parts"))
+    words = parts.where(F.size("parts") > 1).select(key, F.posexplode(F.split(X.padded(F.array_join("parts", " ")), " ")).alias("at", "w")).where(F.col("w").rlike("^[a-z]{4,}$"))
+    counts = words.groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at")).where("n > 1")
+    order = Window.partitionBy(key).orderBy(F.desc("n"), "at")
+    top = counts.withColumn("r", F.row_number().over(order)).where("r <= 20").groupBy(F.col(key).alias("_key")).agg(F.collect_list("w").alias("top"))
+    both = parts.join(top, F.col(key) == F.col("_key"), "left").drop("_key")
+    linked = F.size(F.filter("parts", lambda p: X.any_of([F.lower(p).contains(w) for w in X.TRANSITION_PARTS])))
+    held = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.size(F.filter("top", lambda w: F.lower(p).contains(w))))
+    topic = F.when(F.col("top").isNull(), 0.0).otherwise(held / F.size("top") / F.size("parts"))
+    return both.select(key, F.when(F.size("parts") < 2, 50.0).otherwise(X.clamp(100 * (0.4 * linked / F.size("parts") + 0.6 * topic))).alias("coherence"))
 
 
 def vocabulary(column: str = "text") -> Column:
@@ -57,11 +93,21 @@ def vocabulary(column: str = "text") -> Column:
     return 40 * long_ + 30 * X.ratio(F.size(F.array_distinct(tok)), F.size(tok)) + 30 * academic
 
 
-def overall(df: DataFrame) -> DataFrame:
-    """Adds the single scores, their weighted sum and its level to a counted table."""
-    scored = readability(df).withColumns({"tone": tone(df), "clarity": clarity(), "conciseness": conciseness(), "vocabulary": vocabulary()})
+def overall(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """Adds the eight single scores, their weighted sum and its level to a table with one row for each ``key``.
+
+    A text is one section whose title is its first line; without a known title it has the score of an untitled one.
+    """
+    t = X.text_of(column)
+    title = academic.section_type(F.substring_index(t, "\n", 1))
+    cited = sum((F.regexp_count(t, F.lit(p)) for p in C.STYLES.values()), F.lit(0))
+    counts = readability(counted(df, column)).join(coherence(df, key, column), key)
+    scored = counts.withColumns({
+        "tone": tone(column), "clarity": clarity(), "conciseness": conciseness(column), "completeness": academic.completeness(F.array(title)),
+        "citations": academic.citation_quality(cited, F.col("n_words")), "structure": F.when(title == "unknown", 0.0).otherwise(70.0) + 30.0,
+    })
     mean = sum((F.col(c) * w for c, w in WEIGHTS.items()), F.lit(0.0))
-    return scored.withColumn("overall", mean).withColumn("level", X.level(F.col("overall"), X.QUALITY_LEVELS, "poor"))
+    return scored.withColumn("overall", mean).withColumn("level", X.level(F.col("overall"), X.QUALITY_LEVELS, "critical"))
 
 
 def keywords(df: DataFrame, keys: list[str], column: str, top: int) -> DataFrame:
@@ -77,11 +123,24 @@ def keywords(df: DataFrame, keys: list[str], column: str, top: int) -> DataFrame
 
 
 def entropy(df: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """Shannon entropy of the characters of each text, in bits."""
-    chars = df.select(key, F.explode(F.filter(F.split(X.text_of(column), ""), lambda c: c != "")).alias("c"))
-    counts = chars.groupBy(key, "c").agg(F.count(F.lit(1)).alias("n"))
-    n = F.sum("n")
-    return counts.groupBy(key).agg((F.log2(n) - F.sum(F.col("n") * F.log2("n")) / n).alias("entropy"))
+    """Shannon entropy of the bytes of each text, in bits, counted within the row: nothing is shuffled."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lectern.functions.arrow import byte_views
+
+    def run(batches):
+        for batch in batches:
+            raw, ends = byte_views(batch.column("text"))
+            out = []
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                n = np.bincount(raw[a:b], minlength=256)
+                n = n[n > 0] / max(1, b - a)
+                out.append(float(-(n * np.log2(n)).sum()) if len(n) else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.float64())], [key, "entropy"])
+
+    named = df.select(key, X.text_of(column).alias("text"))
+    return named.mapInArrow(run, named.drop("text").schema.add("entropy", "double"))
 
 
 def chunks(column: str, separator: str, most: int) -> Column:

@@ -9,11 +9,12 @@ from lectern.functions import text as X
 from lectern.operators import scoring as S
 from lectern.plans.registry import Tables, query
 
+# The SQL states words and weights as literals of its own and takes texts apart into lists, where the library counts patterns.
 _COUNTS = r"""
 w AS (SELECT doc_id, lang, text, length(text) AS n_points, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS words,
   list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS sentences,
-  list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '') AS tok FROM documents),
-b AS (SELECT *, list_transform(words, lambda x: regexp_replace(lower(x), '[^a-z]', '', 'g')) AS bare FROM w),
+  list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '') AS tok, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS wtok FROM documents),
+b AS (SELECT *, list_transform(words, lambda x: regexp_replace(lower(x), '[!-/:-@\[-`{-~]', '', 'g')) AS bare FROM w),
 c AS (SELECT *, len(words) AS n_words, len(sentences) AS n_sentences,
   CAST(coalesce(list_sum(list_transform(bare, lambda x: CASE WHEN x = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN ends_with(x, 'e') THEN 1 ELSE 0 END) END)), 0) AS BIGINT) AS n_syllables FROM b)
 """
@@ -30,21 +31,37 @@ def _share(expr: str, total: str) -> str:
     return f"(CASE WHEN {total} = 0 THEN 0.0 ELSE {expr} * 1.0 / {total} END)"
 
 
-def _band(x: str, low: int, high: int, step: int) -> str:
-    return f"greatest(0.0, least(100.0, CASE WHEN {x} < {low} THEN 100 - {step} * ({low} - {x}) WHEN {x} > {high} THEN 100 - {step} * ({x} - {high}) ELSE 100.0 END))"
-
-
-_HAS = lambda listed: f"len(list_filter(tok, lambda x: list_contains({_listed(listed)}, x)))"
-_NOMINAL = "len(list_filter(tok, lambda x: regexp_matches(x, '(tion|ment|ness|ity)$')))"
-_CONTRACTED = "len(regexp_extract_all(lower(text), '[a-z]+''(t|re|ve|ll|s)'))"
-_GOOD, _BAD = f"({_HAS(X.CONNECTORS)} + {_HAS(X.HEDGES)} + {_NOMINAL})", f"({_HAS(X.WEAK)} + {_CONTRACTED})"
-_TONE = f"greatest(0.0, least(100.0, 100 * {_share(_GOOD, 'len(tok)')} - 50 * {_share(_BAD, 'len(tok)')}))"
-_CLARITY = f"(0.6 * {_band(_share('n_words', 'n_sentences'), 15, 25, 3)} + 0.4 * {_band('100 * ' + _share('len(list_filter(words, lambda x: length(x) > 6))', 'n_words'), 20, 40, 2)})"
-_CONCISE = "greatest(0.0, least(100.0, 100 - 10 * 100 * " + _share("(" + " + ".join(f"CASE WHEN contains(lower(text), '{p}') THEN 1 ELSE 0 END" for p in X.WORDY) + ")", "n_words") + "))"
+_HAS = lambda listed: f"len(list_filter(wtok, lambda x: list_contains([{listed}], x)))"
+_PHRASES = lambda listed: rf"len(regexp_extract_all(lower(text), '(?:^|[^\p{{L}}\p{{N}}_])(?:{listed})(?:[^\p{{L}}\p{{N}}_]|$)'))"
+_GOOD = "(" + " + ".join([
+    _HAS("'however', 'therefore', 'furthermore', 'moreover', 'nevertheless', 'consequently'"), _PHRASES("in addition|on the other hand|in contrast|as a result"),
+    _HAS("'may', 'might', 'could', 'would', 'should', 'possibly', 'potentially', 'likely', 'suggest', 'indicate', 'appear', 'seem', 'tend'"),
+    "len(list_filter(wtok, lambda x: regexp_matches(x, '.(tion|sion|ment|ance|ence|ity|ness)$')))",
+]) + ")"
+_BAD = "(" + _HAS("'very', 'really', 'quite', 'rather', 'pretty', 'somewhat', 'fairly'") + " + " + _PHRASES("in my opinion") + r" + len(regexp_extract_all(text, '[\p{L}\p{N}_]+''[\p{L}\p{N}_]+')))"
+_TONE = f"greatest(0.0, least(100.0, 100 * {_share(_GOOD, 'n_words')} - 50 * {_share(_BAD, 'n_words')}))"
+_MEAN = "list_avg(list_transform(sentences, lambda x: len(regexp_split_to_array(x, ' '))))"
+_HARD = _share("len(list_filter(words, lambda x: length(x) > 6))", "n_words")
+_CLARITY = f"""(CASE WHEN n_sentences = 0 THEN 0.0 ELSE 0.6 * CASE WHEN {_MEAN} BETWEEN 15 AND 25 THEN 100.0 WHEN {_MEAN} BETWEEN 10 AND 35 THEN 80.0 ELSE greatest(0.0, 100 - 2 * abs({_MEAN} - 20)) END
+  + 0.4 * CASE WHEN {_HARD} BETWEEN 0.3 AND 0.5 THEN 100.0 ELSE greatest(0.0, 100 - 200 * abs({_HARD} - 0.4)) END END)"""
+_WORDY = ["in order to", "due to the fact that", "it is important to note that", "it should be mentioned that", "it is worth noting that", "the fact that", "in the event that", "for the purpose of"]
+_CONCISE = f"(CASE WHEN n_points = 0 THEN 0.0 ELSE greatest(0.0, 100 - 10 * ({' + '.join(map(_PHRASES, _WORDY))}) / greatest(n_words / 100.0, 1.0)) END)"
 _ACADEMIC = "len(list_filter(tok, lambda x: regexp_matches(x, '(tion|ment|ness|ity|ism|ance|ence)$')))"
 _VOCAB = f"(40 * {_share('len(list_filter(tok, lambda x: length(x) >= 7))', 'len(tok)')} + 30 * {_share('len(list_distinct(tok))', 'len(tok)')} + 30 * {_share(_ACADEMIC, 'len(tok)')})"
-_OVERALL = f"(0.25 * {_READ} + 0.2 * {_TONE} + 0.2 * {_CLARITY} + 0.15 * {_CONCISE} + 0.2 * {_VOCAB})"
-_LEVEL = f"CASE WHEN {_OVERALL} >= 90 THEN 'excellent' WHEN {_OVERALL} >= 70 THEN 'good' WHEN {_OVERALL} >= 50 THEN 'acceptable' WHEN {_OVERALL} >= 30 THEN 'needs_improvement' ELSE 'poor' END"
+_SECTION = " ".join(
+    "WHEN " + " OR ".join(f"contains(lower(string_split(text, chr(10))[1]), '{k}')" for k in keys) + f" THEN {weight}"
+    for weight, keys in [(15, ["abstract", "summary", "overview"]), (20, ["introduction", "background", "motivation"]), (0, ["literature review", "related work", "previous work"]), (20, ["methodology", "methods", "approach", "experimental design"]), (15, ["results", "findings", "outcomes", "analysis"]), (10, ["discussion", "interpretation", "implications"]), (5, ["conclusion", "final remarks"]), (5, ["references", "bibliography", "works cited"])]
+)
+_CITED = r"(len(regexp_extract_all(text, '\[\d+(?:\s*[-,]\s*\d+)*\]')) + len(regexp_extract_all(text, '\([A-Z][A-Za-z]+(?: et al\.)?,? \d{4}[a-z]?\)')) + len(regexp_extract_all(text, '\([A-Z][A-Za-z]+ (?:&|and) [A-Z][A-Za-z]+, \d{4}\)')))"
+_COHERENCE = r"""
+l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents),
+f AS (SELECT doc_id, w, count(*) AS n, min(i) AS pos FROM (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(array_to_string(parts, ' ')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS t FROM l WHERE len(parts) > 1)) WHERE regexp_full_match(w, '[a-z]{4,}') GROUP BY 1, 2 HAVING count(*) > 1),
+k AS (SELECT doc_id, list(w) AS top FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS r FROM f) WHERE r <= 20 GROUP BY 1),
+h AS (SELECT l.doc_id, CASE WHEN len(parts) < 2 THEN 50.0 ELSE greatest(0.0, least(100.0, 40.0 * len(list_filter(parts, lambda p: regexp_matches(lower(p), 'however|therefore|furthermore|moreover|nevertheless|consequently|additionally|similarly|in contrast|on the other hand|as a result|in addition|finally'))) / len(parts)
+  + 60.0 * CASE WHEN top IS NULL THEN 0.0 ELSE list_sum(list_transform(parts, lambda p: len(list_filter(top, lambda w: contains(lower(p), w))))) / len(top) / len(parts) END)) END AS coherence FROM l LEFT JOIN k USING (doc_id))
+"""
+_OVERALL = f"""(0.15 * {_READ} + 0.2 * coherence + 0.15 * (100.0 * CASE {_SECTION} ELSE 0 END / 100) + 0.15 * {_TONE} + 0.1 * (CASE WHEN {_CITED} = 0 THEN 30.0 ELSE least(80.0, 10 * {_share('1000 * ' + _CITED, 'n_words')}) + 14 END)
+  + 0.1 * (30.0 + CASE WHEN CASE {_SECTION} ELSE -1 END < 0 THEN 0.0 ELSE 70.0 END) + 0.1 * {_CLARITY} + 0.05 * {_CONCISE})"""
 
 
 @query(f"""WITH {_COUNTS} SELECT lang, count(*) AS documents, CAST(sum(n_words) AS BIGINT) AS words, CAST(sum(n_sentences) AS BIGINT) AS sentences, CAST(sum(n_syllables) AS BIGINT) AS syllables,
@@ -58,23 +75,27 @@ def readability_by_lang(t: Tables) -> DataFrame:
 
 
 @query(r"""
-WITH w AS (SELECT unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS x FROM documents), b AS (SELECT regexp_replace(lower(x), '[^a-z]', '', 'g') AS x FROM w)
+WITH w AS (SELECT unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS x FROM documents), b AS (SELECT regexp_replace(lower(x), '[!-/:-@\[-`{-~]', '', 'g') AS x FROM w)
 SELECT CAST(CASE WHEN x = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN ends_with(x, 'e') THEN 1 ELSE 0 END) END AS BIGINT) AS syllables, count(*) AS n FROM b GROUP BY 1
 """)
 def syllable_histogram(t: Tables) -> DataFrame:
-    words = t.documents.select(F.explode(X.words(X.text_of("text"))).alias("w"))
-    return words.groupBy(X.syllables(F.col("w")).cast("long").alias("syllables")).agg(F.count(F.lit(1)).alias("n"))
+    words = t.documents.select(F.explode(X.words(X.text_of("text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k"))
+    return words.groupBy(X.syllables(F.col("w")).cast("long").alias("syllables")).agg(F.sum("k").alias("n"))
 
 
-_LANG = ", ".join("struct_pack(s := " + _share(_HAS(listed), "len(tok)") + f", r := {-i}, l := '{name}')" for i, (name, listed) in enumerate(X.COMMON_WORDS.items()))
+_ONE = lambda listed, first, stop: f"0.4 * {_share(_HAS(listed), 'len(wtok)')} + 0.3 * least(1.0, {_share(_HAS(first), 'len(wtok)')}) + 0.3 * {_share(_HAS(stop), 'len(wtok)')}"
+_ES, _FR, _DE = "'el', 'de', 'que', 'y', 'a', 'en', 'un', 'es', 'se', 'no'", "'le', 'de', 'et', 'à', 'un', 'il', 'être', 'en', 'avoir'", "'der', 'die', 'und', 'in', 'den', 'von', 'zu', 'das', 'mit', 'sich'"
+_LANG = f"""struct_pack(s := {_ONE("'the', 'and', 'of', 'to', 'a', 'in', 'is', 'it', 'you', 'that'", "'the', 'and', 'of', 'to', 'a'", "'the', 'be', 'to', 'of', 'and', 'a', 'in', 'that', 'have', 'i'")}, r := 0, l := 'en'),
+  struct_pack(s := {_ONE(_ES, "'el', 'de', 'que', 'y', 'a'", _ES)}, r := -1, l := 'es'), struct_pack(s := {_ONE(_FR, "'le', 'de', 'et', 'à', 'un'", _FR)}, r := -2, l := 'fr'), struct_pack(s := {_ONE(_DE, "'der', 'die', 'und', 'in', 'den'", _DE)}, r := -3, l := 'de')"""
 
 
-@query(f"""WITH {_COUNTS}, g AS (SELECT doc_id, lang, n_points, n_words, list_sort([{_LANG}], 'DESC') AS s FROM c)
-SELECT doc_id, CASE WHEN n_points < 50 OR n_words < 10 THEN 'unknown' ELSE s[1].l END AS detected, round(s[1].s, 4) AS share, CASE WHEN s[2].s > 0.1 THEN s[2].l END AS secondary FROM g""")
+@query(f"""WITH {_COUNTS}, g AS (SELECT doc_id, length(trim(text)) AS n_trimmed, len(wtok) AS n, list_sort([{_LANG}], 'DESC') AS s FROM c)
+SELECT doc_id, CASE WHEN n_trimmed < 50 OR n < 10 THEN 'unknown' ELSE s[1].l END AS detected, round(s[1].s, 4) AS score, CASE WHEN s[2].s > 0.1 THEN s[2].l END AS secondary, round(CASE WHEN s[1].s > 0 THEN s[2].s / s[1].s ELSE 0 END, 4) AS mixed FROM g""")
 def language_detection(t: Tables) -> DataFrame:
-    ranked = S.counted(t.documents.select("doc_id", "text")).withColumn("r", S.languages(X.tokens(X.text_of("text"))))
+    ranked = S.counted(t.documents.select("doc_id", "text")).withColumn("r", S.languages())
     first, second = F.col("r")[0], F.col("r")[1]
-    return ranked.select("doc_id", F.when((F.col("n_points") < 50) | (F.col("n_words") < 10), "unknown").otherwise(first["lang"]).alias("detected"), F.round(first["share"], 4).alias("share"), F.when(second["share"] > 0.1, second["lang"]).alias("secondary"))
+    known = F.when((F.col("n_trimmed") < 50) | (F.col("n_tokens") < 10), "unknown").otherwise(first["lang"])
+    return ranked.select("doc_id", known.alias("detected"), F.round(first["score"], 4).alias("score"), F.when(second["score"] > 0.1, second["lang"]).alias("secondary"), F.round(X.ratio(second["score"], first["score"]), 4).alias("mixed"))
 
 
 def _single(name: str, sql: str, column):
@@ -85,22 +106,25 @@ def _single(name: str, sql: str, column):
     return query(f"WITH {_COUNTS} SELECT doc_id, round({sql}, 4) AS score FROM c")(f)
 
 
-academic_tone = _single("academic_tone", _TONE, lambda: S.tone(None))
+academic_tone = _single("academic_tone", _TONE, S.tone)
 clarity_score = _single("clarity_score", _CLARITY, S.clarity)
 conciseness_score = _single("conciseness_score", _CONCISE, S.conciseness)
 vocabulary_sophistication = _single("vocabulary_sophistication", _VOCAB, S.vocabulary)
 
 
-@query(f"WITH {_COUNTS} SELECT doc_id, round({_OVERALL}, 3) AS overall FROM c")
+@query(f"WITH {_COUNTS}, {_COHERENCE} SELECT doc_id, round({_OVERALL}, 3) AS overall FROM c JOIN h USING (doc_id)")
 def intelligence_overall(t: Tables) -> DataFrame:
-    return S.overall(S.counted(t.documents.select("doc_id", "text"))).select("doc_id", F.round("overall", 3).alias("overall"))
+    return S.overall(t.documents.select("doc_id", "text")).select("doc_id", F.round("overall", 3).alias("overall"))
+
 
+_LEVEL = "CASE WHEN overall >= 90 THEN 'excellent' WHEN overall >= 70 THEN 'good' WHEN overall >= 50 THEN 'fair' WHEN overall >= 30 THEN 'poor' ELSE 'critical' END"
 
-@query(f"""WITH {_COUNTS}, q AS (SELECT lang, {_LEVEL} AS level, {_OVERALL} AS overall FROM c)
-SELECT l.lang, v.level, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT DISTINCT lang FROM documents) l CROSS JOIN (VALUES ('excellent'), ('good'), ('acceptable'), ('needs_improvement'), ('poor')) v(level) LEFT JOIN (SELECT lang, level, count(*) AS n FROM q GROUP BY 1, 2) q ON q.lang = l.lang AND q.level = v.level""")
+
+@query(f"""WITH {_COUNTS}, {_COHERENCE}, q AS (SELECT lang, {_LEVEL} AS level FROM (SELECT lang, {_OVERALL} AS overall FROM c JOIN h USING (doc_id)))
+SELECT l.lang, v.level, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT DISTINCT lang FROM documents) l CROSS JOIN (VALUES ('excellent'), ('good'), ('fair'), ('poor'), ('critical')) v(level) LEFT JOIN (SELECT lang, level, count(*) AS n FROM q GROUP BY 1, 2) q ON q.lang = l.lang AND q.level = v.level""")
 def quality_level_distribution(t: Tables) -> DataFrame:
-    levels = [name for _, name in X.QUALITY_LEVELS] + ["poor"]
-    scored = S.overall(S.counted(t.documents.select("doc_id", "lang", "text")))
+    levels = [name for _, name in X.QUALITY_LEVELS] + ["critical"]
+    scored = S.overall(t.documents.select("doc_id", "lang", "text"))
     wide = scored.groupBy("lang").agg(*(F.count_if(F.col("level") == v).alias(v) for v in levels))
     return wide.select("lang", F.explode(F.array(*(F.struct(F.lit(v).alias("level"), F.col(v).alias("n")) for v in levels))).alias("x")).select("lang", "x.*")
 
@@ -133,9 +157,9 @@ def passive_voice_share(t: Tables) -> DataFrame:
   CASE WHEN len(list_filter(sentences, lambda x: len(regexp_split_to_array(x, ' ')) > 40)) > 0 THEN ['run_on'] ELSE [] END,
   CASE WHEN n_points < 100 THEN ['too_short'] ELSE [] END)) AS issue FROM c) SELECT issue, count(*) AS documents, min(doc_id) AS first_doc FROM i GROUP BY issue""")
 def clarity_issues(t: Tables) -> DataFrame:
-    d = S.counted(t.documents.select("doc_id", "text")).withColumn("tok", X.tokens(X.text_of("text")))
+    d = S.counted(t.documents.select("doc_id", "text")).withColumns({"tok": X.tokens(X.text_of("text")), "sentences": X.sentences(X.text_of("text"))})
     issues = [
-        F.when(F.size(F.filter("words", lambda w: F.char_length(w) > 12)) > 0.05 * F.col("n_words"), "long_words"),
+        F.when(F.regexp_count("text", F.lit(r"\S{13,}")) > 0.05 * F.col("n_words"), "long_words"),
         F.when(F.size(F.filter("tok", lambda w: w.rlike("(tion|ment|ness|ity)$"))) > 0.15 * F.size("tok"), "technical_terms"),
         F.when(F.exists("sentences", lambda s: F.size(F.split(s, " ")) > 40), "run_on"),
         F.when(F.col("n_points") < 100, "too_short"),
@@ -144,18 +168,21 @@ def clarity_issues(t: Tables) -> DataFrame:
     return rows.groupBy("issue").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
-@query(rf"""WITH k AS (SELECT lang, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}]+'), lambda x: length(x) >= 4 AND NOT list_contains({_listed(X.STOP_WORDS)}, x))) AS term FROM documents),
+_STOP = ["the", "and", "for", "are", "with", "that", "this", "from", "was", "were", "have", "has", "not", "but", "its"]
+
+
+@query(rf"""WITH k AS (SELECT lang, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}]+'), lambda x: length(x) >= 4 AND NOT list_contains({_listed(_STOP)}, x))) AS term FROM documents),
 n AS (SELECT lang, term, count(*) AS n FROM k GROUP BY 1, 2) SELECT lang, term, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rank FROM n) WHERE rank <= 20""")
 def topk_keywords_per_lang(t: Tables) -> DataFrame:
     return S.keywords(t.documents, ["lang"], "text", 20)
 
 
 @query("""
-WITH c AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, ''), lambda x: x <> '')) AS c FROM documents), n AS (SELECT doc_id, c, count(*) AS n FROM c GROUP BY 1, 2)
-SELECT doc_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 3) AS entropy FROM n GROUP BY doc_id
+WITH h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), c AS (SELECT doc_id, unnest(regexp_extract_all(h, '..')) AS c FROM h), n AS (SELECT doc_id, c, count(*) AS n FROM c GROUP BY 1, 2)
+SELECT d.doc_id, coalesce(entropy, 0) AS entropy FROM documents d LEFT JOIN (SELECT doc_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 3) AS entropy FROM n GROUP BY doc_id) USING (doc_id)
 """)
 def character_entropy(t: Tables) -> DataFrame:
-    return S.entropy(t.documents, "doc_id").select("doc_id", F.round("entropy", 3).alias("entropy"))
+    return S.entropy(t.documents, "doc_id").select("doc_id", (F.round("entropy", 3) + 0.0).alias("entropy"))
 
 
 @query(r"""

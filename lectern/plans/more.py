@@ -9,7 +9,6 @@ from lectern.functions import academic, security
 from lectern.functions import text as X
 from lectern.operators import deck, layout
 from lectern.operators import timeline as T
-from lectern.plans.documents import _listed
 from lectern.plans.registry import Tables, query
 
 
@@ -18,7 +17,11 @@ def _case(text: str, cases: list[tuple[str, list[str]]], other: str) -> str:
     return f"CASE {whens} ELSE {other} END"
 
 
-_ATTACKS = [("sql_injection", security.SQL_TOKENS), ("xss", security.XSS_TOKENS), ("path_traversal", ["../", "..\\"])]
+_ATTACKS = [
+    ("sql_injection", ["union select", "drop table", "insert into", "delete from", "update set", "--", "/*", "*/", "xp_", "sp_"]),
+    ("xss", ["<script", "javascript:", "onerror=", "onload=", "onclick=", "onmouseover=", "<iframe", "<object", "<embed"]),
+    ("path_traversal", ["../", "..%2f", "..%5c"]),
+]
 
 
 @query(f"SELECT coalesce({_case('lower(html)', _ATTACKS, 'NULL')}, 'none') AS attack, count(*) AS n, min(page_id) AS first_page FROM pages GROUP BY 1")
@@ -26,7 +29,7 @@ def request_threats(t: Tables) -> DataFrame:
     return t.pages.groupBy(F.coalesce(security.request_threat(F.col("html")), F.lit("none")).alias("attack")).agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page"))
 
 
-_SUSPECT = " + ".join(f"CASE WHEN contains(lower(html), '{s}') THEN 1 ELSE 0 END" for s in security.SUSPICIOUS)
+_SUSPECT = " + ".join(f"CASE WHEN contains(lower(html), '{s}') THEN 1 ELSE 0 END" for s in ["eval(", "exec(", "system(", "shell_exec", "cmd.exe", "powershell", "base64_decode", "gzinflate", "str_rot13", "createobject", "wscript.shell", "microsoft.xmlhttp"])
 
 
 @query(f"SELECT page_id, round(least(1.0, 0.2 * ({_SUSPECT})), 4) AS suspicion FROM pages")
@@ -84,7 +87,7 @@ def dependency_levels(t: Tables) -> DataFrame:
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l, text FROM documents),
 c AS (SELECT doc_id, len(list_filter(l, lambda x: x <> '')) AS bullets, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS nw, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}]+'), lambda x: x <> '') AS tok FROM l),
 v AS (SELECT doc_id, unnest(list_concat(CASE WHEN bullets > 5 THEN ['text.bullet_count'] ELSE [] END, CASE WHEN nw > 100 THEN ['text.density'] ELSE [] END,
-  CASE WHEN nw > 50 AND NOT list_has_any(tok, {_listed(X.CONNECTORS)}) THEN ['tone.transitions'] ELSE [] END)) AS rule_id FROM c)
+  CASE WHEN nw > 50 AND NOT list_has_any(tok, ['however', 'therefore', 'furthermore', 'moreover', 'nevertheless', 'consequently']) THEN ['tone.transitions'] ELSE [] END)) AS rule_id FROM c)
 SELECT rule_id, count(*) AS n FROM v GROUP BY rule_id
 """)
 def deck_rules_on_lines(t: Tables) -> DataFrame:

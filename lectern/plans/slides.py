@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import rules, scoring, slides
-from lectern.plans.documents import _listed
+from lectern.plans.documents import _STOP, _listed
 from lectern.plans.registry import Tables, query
 
 _TOK = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '')"
 _WORDS = r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))"
-_CONNECT = _listed(X.CONNECTORS)
+_CONNECT = "['however', 'therefore', 'furthermore', 'moreover', 'nevertheless', 'consequently', 'additionally', 'similarly', 'finally', 'meanwhile', 'subsequently', 'thus', 'hence']"
 _SECONDS = f"CAST(floor(15 + {_WORDS} / 130 * 60 + CASE WHEN role = 'assistant' THEN 10 ELSE 0 END + 3) AS BIGINT)"
 
 
@@ -31,7 +31,7 @@ def adjacent_turn_flow(t: Tables) -> DataFrame:
 
 
 @query(rf"""
-WITH t AS (SELECT conv_id, turn, list_filter({_TOK}, lambda x: length(x) >= 4 AND NOT list_contains({_listed(X.STOP_WORDS)}, x)) AS a FROM conversations),
+WITH t AS (SELECT conv_id, turn, list_filter({_TOK}, lambda x: length(x) >= 4 AND NOT list_contains({_listed(_STOP)}, x)) AS a FROM conversations),
 n AS (SELECT conv_id, term, count(*) AS n FROM (SELECT conv_id, unnest(a) AS term FROM t) GROUP BY 1, 2),
 k AS (SELECT conv_id, list(term) AS top FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, term) AS r FROM n) WHERE r <= 10 GROUP BY conv_id)
 SELECT t.conv_id, round(avg(len(list_intersect(list_distinct(a), top)) * 1.0 / len(top)), 4) AS coherence FROM t JOIN k USING (conv_id) GROUP BY t.conv_id
