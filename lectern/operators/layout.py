@@ -63,7 +63,7 @@ def columns_of(elements: DataFrame, width: float, share: float = 0.05) -> DataFr
 def reading_order(elements: DataFrame, columns: DataFrame) -> DataFrame:
     """Adds ``place``: column by column from the left, from top to bottom (y grows upwards)."""
     side = F.when(F.col("split").isNotNull() & (F.col("x0") >= F.col("split")), 1).otherwise(0)
-    both = elements.join(F.broadcast(columns), "page", "left").withColumn("column", side)
+    both = elements.join(columns, "page", "left").withColumn("column", side)
     return both.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("column", F.desc("y"), "x0"))).drop("n_columns", "split")
 
 

@@ -8,6 +8,8 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.sources.files import scratch
+
 
 def page(df: DataFrame, order: list[Column], skip: int, limit: int) -> DataFrame:
     """One page in a given order. At scale prefer ``after_key``: an offset has to sort and skip all earlier rows."""
@@ -128,8 +130,10 @@ def unmatched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 
 def settled_rows(df: DataFrame) -> DataFrame:
-    """The rows of one round of a loop without the plan that made them, which would double with each round."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+    """The rows of one round of a loop, written to the shared folder: without the plan that made them, and safe from lost executors."""
+    path = scratch(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def closure(edges: DataFrame, most: int | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.operators.layout import dependency_levels
+from lectern.operators.relational import settled_rows
 
 
 def dimension_report(df: DataFrame, keys: list[str], dimensions: list[str]) -> DataFrame:
@@ -57,21 +59,24 @@ def after_heading(elements: DataFrame, key: str, order: str, is_heading: Column,
     return elements.withColumn("_in", inside).where((F.col("_in") == 1) & ~is_heading & ~ends).drop("_in")
 
 
-def expand_includes(files: DataFrame, most: int = 16) -> DataFrame:
-    """(path, text) with each \\input{x} or \\include{x} replaced by that file's text, to a bounded depth; a file
-    stays as it is from its first unknown name on."""
-    out, pattern = files, r"\\(?:input|include)\{([^}]*)\}"
-    table = files.select(F.col("path").alias("_p"), F.col("text").alias("_t"))
-    for _ in range(most):
-        wanted = out.withColumn("_name", F.regexp_extract("text", pattern, 1))
-        both = wanted.join(table, wanted["_name"] == table["_p"], "left")
-        whole = F.concat(F.lit("\\input{"), F.col("_name"), F.lit("}"))
-        other = F.concat(F.lit("\\include{"), F.col("_name"), F.lit("}"))
-        next_ = both.select("path", F.when(F.col("_t").isNotNull() & (F.col("_name") != F.col("path")), F.replace(F.replace(F.col("text"), whole, F.col("_t")), other, F.col("_t"))).otherwise(F.col("text")).alias("text"), (F.col("_t").isNotNull() & (F.col("_name") != F.col("path"))).alias("_more")).persist()
-        more = next_.where("_more").limit(1).count()
-        out = next_.drop("_more")
-        if not more:
-            break
+def expand_includes(files: DataFrame) -> DataFrame:
+    """(path, text) with each \\input{x} or \\include{x} replaced by that file's text, until nothing changes.
+
+    Unknown names stay as they are, and so do names of files that lie on a cycle or lead to one, which would never end.
+    """
+    pattern = r"\\(?:input|include)\{([^}]*)\}"
+    named = files.select(F.col("path").alias("task"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).alias("needs"))
+    edges = settled_rows(named.join(files.select(F.col("path").alias("needs")), "needs", "left_semi").select("task", "needs"))
+    levels = dependency_levels(files.select(F.col("path").alias("task")), edges)
+    # each file is put together once everything that it includes is; so every round settles one level
+    out = settled_rows(files.select("path", "text"))
+    for level in range(1, (levels.agg(F.max("level")).first()[0] or 0) + 1):
+        now = levels.where(F.col("level") == level).select("task")
+        parts = edges.join(now, "task", "left_semi").select(F.col("task").alias("child"), F.col("needs").alias("_p")).join(out.select(F.col("path").alias("_p"), F.col("text").alias("_t")), "_p")
+        listed = parts.groupBy("child").agg(F.collect_list(F.struct("_p", "_t")).alias("parts"))
+        put = lambda t, x: F.replace(F.replace(t, F.concat(F.lit("\\input{"), x["_p"], F.lit("}")), x["_t"]), F.concat(F.lit("\\include{"), x["_p"], F.lit("}")), x["_t"])
+        joined = out.join(listed, F.col("path") == F.col("child"), "left")
+        out = settled_rows(joined.select("path", F.when(F.col("parts").isNotNull(), F.aggregate("parts", F.col("text"), put)).otherwise(F.col("text")).alias("text")))
     return out
 
 

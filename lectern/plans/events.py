@@ -37,13 +37,16 @@ FROM events GROUP BY user_id
 """)
 def user_activity_summary(t: Tables) -> DataFrame:
     kind = F.col("event_type")
-    top = F.slice(F.sort_array(F.collect_list(F.struct("ts", "event_id")), asc=False), 1, 10)
     failed = F.count_if(kind == "error")
-    return t.events.groupBy("user_id").agg(
+    recent = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    # ten rows of a user reach the list, however many the user has
+    latest = t.events.select("user_id", "ts", "event_id").withColumn("r", F.row_number().over(recent)).where("r <= 10")
+    listed = latest.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "event_id"))), lambda x: x["event_id"].cast("string")), ",").alias("recent"))
+    counts = t.events.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("events"), F.count_if(kind == "purchase").alias("logins"), failed.alias("failed"),
         F.date_format(F.max(F.when(kind == "purchase", F.col("ts"))), "yyyy-MM-dd HH:mm:ss").alias("last_login"), (failed >= 10).alias("suspicious"),
-        F.array_join(F.transform(top, lambda x: x["event_id"].cast("string")), ",").alias("recent"),
     )
+    return counts.join(listed, "user_id")
 
 
 @query("""
@@ -77,15 +80,15 @@ def top_users(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT event_type, CAST(user_id % 3 AS BIGINT) AS model, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(sum(value), 2) AS cost, count(*) AS requests,
-  CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens, round(sum(value) / count(*), 4) AS mean_cost, count(*) FILTER (WHERE CAST(json_extract(props, '$.k') AS BIGINT) % 2 = 0) AS cache_hits
+SELECT event_type, CAST(user_id % 3 AS BIGINT) AS model, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(round(sum(CAST(value AS DECIMAL(18,6))), 2) AS DOUBLE) AS cost, count(*) AS requests,
+  CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens, round(CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) / count(*), 8) AS mean_cost, count(*) FILTER (WHERE CAST(json_extract(props, '$.k') AS BIGINT) % 2 = 0) AS cache_hits
 FROM events GROUP BY 1, 2, 3
 """)
 def usage_report_by_day(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
-    rows = t.events.select("event_type", (F.col("user_id") % 3).alias("model"), F.to_date("ts").cast("string").alias("day"), "value", k.alias("k"))
+    rows = t.events.select("event_type", (F.col("user_id") % 3).alias("model"), F.to_date("ts").cast("string").alias("day"), F.col("value").cast("decimal(18,6)").alias("value"), k.alias("k"))
     return rows.groupBy("event_type", "model", "day").agg(
-        F.round(F.sum("value"), 2).alias("cost"), F.count(F.lit(1)).alias("requests"), F.sum("k").alias("tokens"), F.round(F.sum("value") / F.count(F.lit(1)), 4).alias("mean_cost"), F.count_if(F.col("k") % 2 == 0).alias("cache_hits")
+        F.round(F.sum("value"), 2).cast("double").alias("cost"), F.count(F.lit(1)).alias("requests"), F.sum("k").alias("tokens"), F.round(F.sum("value").cast("double") / F.count(F.lit(1)), 8).alias("mean_cost"), F.count_if(F.col("k") % 2 == 0).alias("cache_hits")
     )
 
 
@@ -147,8 +150,11 @@ WITH o AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GR
 SELECT user_id, round(list_reduce(v, lambda a, x: 0.9 * a + 0.1 * x), 4) AS average FROM o
 """)
 def moving_average_by_user(t: Tables) -> DataFrame:
-    values = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"])
-    return t.events.groupBy("user_id").agg(values.alias("v")).select("user_id", F.round(T.moving_average(F.col("v"), 0.1), 4).alias("average"))
+    """Seeded with the first value: the k-th latest one weighs 0.1 * 0.9**(k - 1), the first one 0.9**(n - 1); summed by rank, no list is held."""
+    by = Window.partitionBy("user_id")
+    ranked = t.events.select("user_id", "value", F.row_number().over(by.orderBy(F.desc("ts"), F.desc("event_id"))).alias("k"), F.row_number().over(by.orderBy("ts", "event_id")).alias("first"))
+    weight = F.pow(F.lit(0.9), F.col("k") - 1) * F.when(F.col("first") == 1, 1.0).otherwise(0.1)
+    return ranked.groupBy("user_id").agg(F.round(F.sum(F.col("value") * weight), 4).alias("average"))
 
 
 @query("""

@@ -56,16 +56,19 @@ def alerts(events: DataFrame, kinds: list[str], least: float) -> DataFrame:
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process everything there is and return the result table; restarts go on from the checkpoint."""
+    """Process everything there is and return the result table; restarts go on from the checkpoint.
+
+    Each batch has a folder of its own number, which a repeated batch writes anew; so no row is doubled.
+    """
     spark = stream.sparkSession
     out = scratch(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark, f"{name}-progress")).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out) if mode == "complete" else spark.read.schema(stream.schema).option("basePath", out).parquet(f"{out}/batch=*").drop("batch")
 
 
 def to_folders(stream: DataFrame, path: str, progress: str):
