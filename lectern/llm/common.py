@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,16 +15,10 @@ SLICE_BYTES = 1 << 20
 #: A key is hot if it holds more than one part in this many of all rows; so there are fewer hot keys than this.
 HOT_PARTS = 1000
 
-_own_folder: dict[str, str] = {}
-
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that all executors share (``spark.checkpoint.dir``); a local one only if none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _own_folder.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-")
-        _own_folder[app] = base
+    """A new path below the folder that all executors share: ``spark.checkpoint.dir``, or the warehouse if none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

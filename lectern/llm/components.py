@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import join_by_key, materialize
+from lectern.llm.common import materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,25 +13,21 @@ def components(links: DataFrame) -> DataFrame:
 
     Rounds of contraction: every component points at its smallest neighbour if that is smaller than itself, pointers
     are followed twice, links are relabelled and those within a component dropped. At least every second component
-    that still has a link to another one disappears in a round. Each round is written to the shared folder.
+    that still has a link to another one disappears in a round. Each round is written to the shared folder. All rows are two
+    numbers, and no aggregation follows a join, so a label that a large part of the nodes shares is split by the adaptive
+    skew join; joining hot labels by broadcast cost the driver of op2_minhash more memory than it has (see README).
     """
     edges = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     nodes = materialize(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node")), "nodes")
-    n_nodes = nodes.count()
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = materialize(both.groupBy("a").agg(F.min("b").alias("to"), F.count(F.lit(1)).alias("degree")).select(F.col("a").alias("from"), F.least("a", "to").alias("to"), "degree"), "pointers")
+        step = materialize(both.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("from"), F.least("a", "to").alias("to")), "pointers")
         for _ in range(2):
-            pointed = step.groupBy("to").agg(F.count(F.lit(1)).alias("n"))
-            after = step.select(F.col("from").alias("to"), F.col("to").alias("next")).join(pointed, "to")
-            step = materialize(join_by_key(step, after, "to", "n", n_nodes).select("from", F.col("next").alias("to"), "degree"), "pointers")
-        held = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-        relabel = held.join(step.select(F.col("from").alias("component"), "to"), "component")
-        nodes = materialize(join_by_key(nodes, relabel, "component", "n", n_nodes).select("node", F.coalesce("to", "component").alias("component")), "nodes")
-        n_edges = edges.count()
-        moved = edges
-        for end in ("a", "b"):  # hot ends of links are joined apart; degrees sum up to twice the links
-            moved = join_by_key(moved, step.select(F.col("from").alias(end), F.col("to").alias(f"{end}2"), F.col("degree").alias(f"{end}n")), end, f"{end}n", n_edges)
-        moved = moved.where("a2 <> b2")
+            after = step.select(F.col("from").alias("to"), F.col("to").alias("next"))
+            step = materialize(step.join(after, "to").select("from", F.col("next").alias("to")), "pointers")
+        relabel = step.select(F.col("from").alias("component"), "to")
+        nodes = materialize(nodes.join(relabel, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "nodes")
+        a, b = step.select(F.col("from").alias("a"), F.col("to").alias("a2")), step.select(F.col("from").alias("b"), F.col("to").alias("b2"))
+        moved = edges.join(a, "a").join(b, "b").where("a2 <> b2")
         edges = materialize(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "links")
     return nodes

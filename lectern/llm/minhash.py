@@ -116,15 +116,14 @@ def sketches(docs: DataFrame) -> DataFrame:
     return hashed(texts(docs)).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_key binary, sig binary, bands array<long>")
 
 
-def salted(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pairs as (a, salt, b), and (a, salts): a leader ``a`` of any number of pairs is dealt as one copy for SALT_PAIRS of them."""
-    salts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", "n", F.ceil(F.col("n") / SALT_PAIRS).cast("int").alias("salts"))
-    dealt = join_by_key(pairs, salts, "a", "n", pairs.count()).select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
-    return dealt, salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+def salted(pairs: DataFrame) -> DataFrame:
+    """(a, salt, b): a leader ``a`` of any number of pairs is dealt as one copy for SALT_PAIRS of them."""
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_PAIRS).cast("int").alias("salts"))
+    return pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and signatures allow a link."""
+    """The pairs (a, salt, b) whose sizes and signatures allow a link."""
     size = BANDS * ROWS
     p = PERCENT / 100
     least = int(size * (p - 5.6 * (p * (1 - p) / size) ** 0.5))
@@ -132,17 +131,17 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, size) for c in ("sig_a", "sig_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+            yield batch.select(["a", "salt", "b"]).filter(pa.array((x == y).sum(1) >= least))
 
-    dealt, leaders = salted(pairs)
     one = lambda s: classes.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
     fit = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
-    both = dealt.join(one("b"), "b").join(leaders.join(one("a"), "a"), ["a", "salt"])
-    return both.where(fit).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    leaders = pairs.select("a", "salt").distinct().join(one("a"), "a")
+    both = pairs.join(one("b"), "b").join(leaders, ["a", "salt"])
+    return both.where(fit).select("a", "salt", "b", "sig_a", "sig_b").mapInArrow(run, "a long, salt int, b long")
 
 
 def confirmed(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; ``held`` has node and text of all classes in pairs."""
+    """The pairs (a, b) of (a, salt, b) whose full shingle sets are similar enough; ``held`` has node and text of all classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, column="text_b"):
@@ -155,8 +154,8 @@ def confirmed(pairs: DataFrame, held: DataFrame) -> DataFrame:
             union = np.bincount(d, minlength=part.num_rows) - both
             yield part.select(["a", "b"]).filter(pa.array((100 * both >= PERCENT * union) & (both > 0)))
 
-    dealt, leaders = salted(pairs)
-    left = held.join(dealt, held["node"] == dealt["b"]).select("a", "salt", "b", F.col("text").alias("text_b"))
+    leaders = pairs.select("a", "salt").distinct()
+    left = held.join(pairs, held["node"] == pairs["b"]).select("a", "salt", "b", F.col("text").alias("text_b"))
     right = held.join(leaders, held["node"] == leaders["a"]).select("a", "salt", F.col("text").alias("text_a"))
     return left.join(right, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
@@ -242,8 +241,9 @@ def links_of(docs: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFr
         if tried is not None:
             done = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        pairs = materialize(salted(pairs), "pairs")
         new = materialize(confirmed(materialize(likely(pairs, classes), "likely"), held), "confirmed")
+        pairs = pairs.select("a", "b")
         tried = pairs if tried is None else tried.union(pairs)
         found = new if found is None else found.union(new)
         nodes = components(found)
