@@ -41,6 +41,24 @@ def matching(df: DataFrame, **wanted) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, parts)) if parts else df
 
 
+def compiled(df: DataFrame, filters: dict, limit: int, order: list[Column], most: int = 100) -> DataFrame:
+    """Filters by the shape of their value: a list is an IN, a dict a range (gt, gte, lt, lte) or {exists}, a scalar an equality.
+
+    A page never has more than ``most`` rows.
+    """
+    bounds = {"gt": lambda c, v: c > v, "gte": lambda c, v: c >= v, "lt": lambda c, v: c < v, "lte": lambda c, v: c <= v}
+    for name, value in filters.items():
+        c = F.col(name)
+        if isinstance(value, list):
+            df = df.where(c.isin(value))
+        elif isinstance(value, dict):
+            for key, bound in value.items():
+                df = df.where((c.isNotNull() if bound else c.isNull()) if key == "exists" else bounds[key](c, F.lit(bound)))
+        else:
+            df = df.where(c == F.lit(value))
+    return df.orderBy(*order).limit(min(limit, most))
+
+
 def search(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
     """Rows of which a column contains the text, whatever the case; nulls don't match."""
     return df.where(reduce(lambda a, b: a | b, [F.lower(F.col(c)).contains(text.lower()) for c in columns]))
