@@ -4,16 +4,22 @@ How far ahead must the encoder see before a token is final? A boundary moves onl
 otherwise; that merge of rank r can change what its left operand (or its product) does in a merge of a later rank, that
 one again its own left operand, and so on to the left. ``lookahead`` finds the longest such chain of merges of rising
 rank by one pass over the merge list from its end, in bytes. Tokens that end further than this from the end of the
-bytes read so far are stable: they are emitted, and only the bytes behind them are kept. Memory is constant: the buffer
-has a fixed size however long the text is. Ahead of that, a text is cut where the vocabulary's split pattern always cuts
-(see ``wordcache``); the units between are encoded once each and kept in a bounded cache.
+bytes read so far are stable: they are emitted, and only the bytes behind them are kept. The end of a piece makes all of its
+tokens stable.
+
+Memory is constant, however long a text is: texts are read in portions of at most PORTION bytes. A portion ends where the
+vocabulary's split pattern always cuts (white space after something else, so one character of lookahead is enough), or, in
+a longer run without such a place, anywhere: the state of the open piece is then carried on. Every piece goes through the
+transducer; what it gave for a piece (or for a unit of some, see ``wordcache``) is kept in a bounded cache. Digests and the
+decoder are fed portion by portion.
 
 Decoding is a two-step state machine: ids to bytes by table, bytes to text by an incremental UTF-8 decoder that holds
 at most three bytes between calls and replaces what is no UTF-8.
 
-Defined cases: a null text is an empty one (no ids); ids are as the library gives them, special token strings in a text
-included; null and repeated doc_ids are rows like others; an empty table gives an empty result; further columns are
-ignored.
+Defined cases: a null text is an empty one (no ids); very long texts are encoded in portions, also those of one piece; ids
+are as the library gives them, special token strings in a text included (a text with such a string in a run longer than a
+portion without white space is encoded at once); null and repeated doc_ids are rows like others; an empty table gives an
+empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +36,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 
 from lectern.llm.common import slices, texts
-from lectern.llm.textops import gather
-from lectern.llm.wordcache import UnitEncoder, byte_characters
+from lectern.llm.textops import gather, views
+from lectern.llm.wordcache import UnitEncoder, byte_characters, safe_cuts
 
+#: Bytes of text that are encoded at a time.
+PORTION = 1 << 20
 #: Fixed value: the split pattern of byte-level vocabularies of this kind.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -96,24 +104,44 @@ class Vocabulary:
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Ids of one piece that comes in chunks, each emitted as soon as it is stable."""
-        held = b""
+        transducer = Transducer(self)
         for chunk in chunks:
-            for at in range(0, len(chunk), self.buffer):
-                held += chunk[at : at + self.buffer]
-                if len(held) < self.buffer:
-                    continue
-                stable, end = len(held) - self.lookahead, 0
-                for token in self.merge(held):
-                    if end + len(token) > stable:
-                        break
-                    end += len(token)
-                    yield self.ids[token]
-                held = held[end:]
-        yield from (self.ids[t] for t in self.merge(held))
+            yield from transducer.feed(chunk)
+        yield from transducer.end()
 
     def piece(self, piece: bytes) -> list[int]:
-        whole = self.ids.get(piece) if len(piece) < 3 else None
-        return [whole] if whole is not None and len(piece) == 1 else [self.ids[t] for t in self.merge(piece)] if len(piece) <= self.buffer else list(self.stream([piece]))
+        transducer = Transducer(self)
+        return [*transducer.feed(piece), *transducer.end()]
+
+
+class Transducer:
+    """The state of one open piece: the bytes whose tokens are not stable yet, never more than a buffer of them."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.held = vocabulary, b""
+
+    def feed(self, data: bytes) -> list[int]:
+        v, out = self.vocabulary, []
+        for at in range(0, len(data), v.buffer):
+            self.held += data[at : at + v.buffer]
+            if len(self.held) < v.buffer:
+                continue
+            stable, end = len(self.held) - v.lookahead, 0
+            for token in v.merge(self.held):
+                if end + len(token) > stable:
+                    break
+                end += len(token)
+                out.append(v.ids[token])
+            self.held = self.held[end:]
+        return out
+
+    def end(self) -> list[int]:
+        """The piece ends here: all that is held is stable."""
+        v, held, self.held = self.vocabulary, self.held, b""
+        if not held:
+            return []
+        whole = v.ids.get(held) if len(held) == 1 else None
+        return [whole] if whole is not None else [v.ids[t] for t in v.merge(held)]
 
 
 _encoders: dict[str, tuple[Vocabulary, UnitEncoder, ByteTable]] = {}
@@ -145,6 +173,76 @@ class Decoder:
         return self.state.decode(b"", True)
 
 
+def open_run(vocabulary: Vocabulary, chunks: Iterable[str]) -> Iterator[list[int]]:
+    """Ids of a run of text that comes in chunks, cut anywhere: pieces that are complete, and what is stable of an open one.
+
+    The last piece of a chunk may go on. A short one is kept as text; a long one is fed to a transducer and goes on as long
+    as characters of its kind follow, but for the last character of white space, which may belong to what comes next.
+    """
+    import regex
+
+    pieces = regex.compile(PIECES)
+    kinds = {"space": regex.compile(r"\s+"), "letter": regex.compile(r"\p{L}+"), "number": regex.compile(r"\p{N}+"), "mark": regex.compile(r"[^\s\p{L}\p{N}]+")}
+    kind_of = lambda c: next(k for k, p in kinds.items() if p.match(c))
+    kept, kind, transducer = "", None, Transducer(vocabulary)
+    for chunk in chunks:
+        text, out = kept + chunk, []
+        kept = ""
+        if kind:
+            more = kinds[kind].match(text)
+            end = more.end() if more else 0
+            if kind == "space":
+                end = max(0, end - 1)
+            out += transducer.feed(text[:end].encode())
+            if end == len(text) or kind == "space" and more and more.end() == len(text):
+                kept = text[end:]
+                yield out
+                continue
+            out += transducer.end()
+            text, kind = text[end:], None
+        found = [m.span() for m in pieces.finditer(text)]
+        # the last two pieces may look different with more text behind them
+        open_from = found[-2][0] if len(found) > 1 else 0
+        if found and found[-1][1] - found[-1][0] > 4096:
+            open_from = found[-1][0]
+        for a, b in found:
+            if b <= open_from:
+                out += vocabulary.piece(text[a:b].encode())
+        rest = text[open_from:]
+        if found and len(rest) > 4096:
+            kind = kind_of(rest[-1])
+            cut = len(rest) - 1 if kind == "space" else len(rest)
+            out += transducer.feed(rest[:cut].encode())
+            rest = rest[cut:]
+        kept = rest
+        yield out
+    out = []
+    if kind:
+        out += transducer.feed(kept.encode()) + transducer.end()
+    else:
+        for p in pieces.findall(kept):
+            out += vocabulary.piece(p.encode())
+    yield out
+
+
+def portions(raw: np.ndarray, start: int, end: int) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whether a piece ends there) of the portions of one text of more than PORTION bytes."""
+    while start < end:
+        stop = min(end, start + PORTION)
+        if stop < end:
+            cuts = np.flatnonzero(safe_cuts(raw[start:stop]))
+            if len(cuts):
+                stop = start + int(cuts[-1])
+            else:  # cut between characters at least
+                while raw[stop] & 0xC0 == 0x80:
+                    stop -= 1
+                yield start, stop, False
+                start = stop
+                continue
+        yield start, stop, True
+        start = stop
+
+
 def byte_encoder(path: str) -> tuple[Vocabulary, UnitEncoder, ByteTable]:
     if path in _encoders:
         return _encoders[path]
@@ -202,20 +300,65 @@ def text_of(table: ByteTable, ids: np.ndarray, portion: int = 1 << 16) -> str:
     return "".join([*(decoder.feed(ids[at : at + portion]) for at in range(0, len(ids), portion)), decoder.end()])
 
 
+class Digests:
+    """Number of ids, digest of the ids and digest of the decoded text of one document, fed portion by portion."""
+
+    def __init__(self, table: ByteTable, decimals: ByteTable):
+        self.decimals, self.decoder = decimals, Decoder(table)
+        self.n, self.ids, self.text = 0, hashlib.sha256(), hashlib.sha256()
+
+    def feed(self, ids: np.ndarray) -> None:
+        if not len(ids):
+            return
+        self.ids.update(b"," * (self.n > 0) + self.decimals.bytes_of(ids)[:-1])
+        self.text.update(self.decoder.feed(ids).encode())
+        self.n += len(ids)
+
+    def end(self) -> tuple[int, str, str]:
+        self.text.update(self.decoder.end().encode())
+        return self.n, self.ids.hexdigest(), self.text.hexdigest()
+
+
+def encoded_portions(encoder: UnitEncoder, vocabulary: Vocabulary, text: str, raw: np.ndarray) -> Iterator[np.ndarray]:
+    """Ids of one text of more than PORTION bytes, portion by portion."""
+    special = any(s in text for s in vocabulary.special)
+    run: list[tuple[int, int]] = []
+    for a, b, whole in portions(raw, 0, len(raw)):
+        run.append((a, b))
+        if not whole:
+            continue
+        parts = (raw[x:y].tobytes().decode() for x, y in run)
+        if len(run) == 1 or special:
+            yield encoder(pa.array(["".join(parts)]))[0]
+        else:
+            for ids in open_run(vocabulary, parts):
+                yield np.array(ids, np.int32)
+        run = []
+
+
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text, encoded and decoded again."""
     path = path or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, encoder, table = byte_encoder(path)
+        vocabulary, encoder, table = byte_encoder(path)
         decimals = ByteTable({i: b"%d," % i for i in range(len(table.length))})
-        for part in slices(batches):
-            ids, counts = encoder(part.column("text"))
-            ends = np.concatenate([[0], np.cumsum(counts)]).tolist()
-            shown, plain = [], []
-            for a, b in zip(ends[:-1], ends[1:], strict=True):
-                shown.append(hashlib.sha256(decimals.bytes_of(ids[a:b])[:-1]).hexdigest())
-                plain.append(hashlib.sha256(text_of(table, ids[a:b]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(shown), pa.array(plain)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for part in slices(batches, PORTION):
+            col, out = part.column("text"), []
+            raw, off = views(col)
+            if len(raw) > PORTION:  # one long text, read in portions
+                seen = Digests(table, decimals)
+                for ids in encoded_portions(encoder, vocabulary, col[0].as_py(), raw):
+                    seen.feed(ids)
+                out.append(seen.end())
+            else:
+                ids, counts = encoder(col)
+                ends = np.concatenate([[0], np.cumsum(counts)]).tolist()
+                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                    seen = Digests(table, decimals)
+                    seen.feed(ids[a:b])
+                    out.append(seen.end())
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

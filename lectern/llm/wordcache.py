@@ -54,6 +54,20 @@ def units(col: pa.Array, words_only: bool) -> tuple[pa.Array, np.ndarray]:
     return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))]), counts
 
 
+#: The last bytes of white space outside ASCII, with what stands before them.
+_ODD_ENDS = [(0xC2, 0x85), (0xC2, 0xA0), (0x9A, 0x80), *((0x80, x) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0x81, 0x9F)]
+
+
+def safe_cuts(raw: np.ndarray) -> np.ndarray:
+    """Whether a text of these bytes may be cut before each one: at ASCII white space after what may be no white space at all."""
+    space = _SPACE[raw]
+    cut = np.zeros(len(raw), bool)
+    cut[1:] = space[1:] & ~space[:-1]
+    for a, b in _ODD_ENDS:
+        cut[2:] &= ~((raw[:-2] == a) & (raw[1:-1] == b))
+    return cut
+
+
 class UnitEncoder:
     """Token ids of whole texts, from a function that encodes many distinct units at once.
 
