@@ -9,8 +9,10 @@ each class has: the sweep runs over at most ``capacity`` classes, whatever the n
 come from a distributed sort: rows are dealt by (length, block), numbered within the block, and shifted by the sizes of
 the blocks before it.
 
-Defined cases: a null text is an empty one, so it is one piece, the end id alone; null doc_ids are packed like others;
-repeated rows are pieces of their own; an empty table gives an empty result; further columns are ignored.
+Defined cases: a null text is an empty one, so it is one piece, the end id alone; very long texts are cut into pieces of the
+capacity; pieces of one length are ranked by id, piece and content, so rows that tie in all of these are the same; null
+doc_ids are packed like others; repeated rows are pieces of their own; an empty table gives an empty result; further columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -94,7 +96,7 @@ def ranked(items: DataFrame) -> DataFrame:
     sizes = dealt.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    within = Window.partitionBy("length", "block").orderBy("doc_id", "piece")
+    within = Window.partitionBy("length", "block").orderBy(*[c for c in ("doc_id", "piece", "start", "ids_crc32") if c in items.columns])
     numbered = dealt.withColumn("within", F.row_number().over(within) - 1)
     return numbered.join(shifts, ["length", "block"]).withColumn("rank", F.col("shift") + F.col("within")).drop("block", "shift", "within")
 

@@ -18,9 +18,10 @@ nothing else shares never gets beyond the first sort.
 Hashes have 64 bits. The sorted runs are read as streams, so a run may be of any length: a trigger or phrase that a
 third of all documents holds is no group in memory, and has one row for each document at most.
 
-Defined cases: texts shorter than SPAN bytes and null texts (empty) lose nothing; rows with a null doc_id lose nothing
-and cover nothing; rows that share a doc_id never cover each other; an empty table gives an empty result; further
-columns are ignored by ``repeats`` and kept by ``remove_repeats``.
+Defined cases: texts shorter than SPAN bytes and null texts (empty) lose nothing; very long texts are parsed whole; of texts
+that tie, as equal ones, the smallest doc_id keeps its bytes; rows with a null doc_id lose nothing and cover nothing; rows
+that share a doc_id never cover each other; an empty table gives an empty result; further columns, whatever their names,
+are ignored by ``repeats`` and kept by ``remove_repeats``.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialize, slices, texts
+from lectern.llm.common import boxed, materialize, slices, texts
 from lectern.llm.textops import mix, powers, prefix_sums, runs, span_hash, views
 
 #: Bytes of a string whose repetition counts, and bytes of the rolling hash; each string has SPAN - GRAM + 1 of them.
@@ -220,26 +221,20 @@ def marked(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, off, np.cumsum(change[:-1]) > 0
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` (all columns) with ``covered`` (phrases) and ``windows``: what is repeated in it."""
-    spark = docs.sparkSession
+def judged(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, text, covered, windows) of ``boxed`` rows: the phrases of a text, and its windows, that are repeated."""
+    spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = parse(docs).repartition(parts, F.shiftright("trigger", 16)).sortWithinPartitions("trigger", "phrase", "doc_id")
-    found = materialize(rows.mapInArrow(read_runs, "doc_id long, phrase long, covered boolean"), "phrases")
-    listed = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.when(F.col("covered"), F.col("phrase"))).alias("covered"), F.collect_list(F.when(~F.col("covered"), F.col("phrase"))).alias("alike"))
+    sorted_ = parse(rows).repartition(parts, F.shiftright("trigger", 16)).sortWithinPartitions("trigger", "phrase", "doc_id")
+    found = materialize(sorted_.mapInArrow(read_runs, "doc_id long, phrase long, covered boolean"), "phrases")
+    listed = found.groupBy("doc_id").agg(F.collect_list(F.when(F.col("covered"), F.col("phrase"))).alias("covered"), F.collect_list(F.when(~F.col("covered"), F.col("phrase"))).alias("alike"))
     table = f"parsed_texts_{uuid.uuid4().hex}"
-    both = docs.withColumn("_id", F.col("doc_id").cast("long")).join(listed, "_id", "left").withColumnRenamed("covered", "_covered").withColumnRenamed("alike", "_alike")
-    both.write.format("parquet").option("compression", "zstd").bucketBy(parts, "_id").sortBy("_id").saveAsTable(table)
+    rows.join(listed, "doc_id", "left").write.format("parquet").option("compression", "zstd").bucketBy(parts, "doc_id").sortBy("doc_id").saveAsTable(table)
     held = spark.table(table)
-    parsed = held.select(F.col("_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("_alike").alias("alike"))
-    spread = windows(parsed).repartition(parts, "window").sortWithinPartitions("window", "doc_id")
+    spread = windows(held.select("doc_id", "text", "alike")).repartition(parts, "window").sortWithinPartitions("window", "doc_id")
     seen = materialize(spread.mapInArrow(read_windows, "doc_id long, window long"), "windows")
-    per_doc = seen.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("window").alias("_windows"))
-    return held.join(per_doc, "_id", "left").drop("_alike")
-
-
-def _ready(docs: DataFrame, *columns: str) -> DataFrame:
-    return judged(docs).select(*columns, F.coalesce("text", F.lit("")).alias("text"), F.col("_covered").alias("covered"), F.col("_windows").alias("windows"))
+    per_doc = seen.groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
+    return held.drop("alike").join(per_doc, "doc_id", "left")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -255,18 +250,19 @@ def repeats(docs: DataFrame) -> DataFrame:
             digests = [hashlib.sha256(kept[ends[a] : ends[b]]).hexdigest() for a, b in zip(off[:-1], off[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(off)), pa.array(np.diff(sums[off])), pa.array(n_spans, pa.int64()), pa.array(digests)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _ready(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return judged(texts(docs)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated bytes of each text removed; characters cut in two are replaced."""
-    schema = docs.schema
+    """``docs`` with the repeated bytes of each text removed; characters cut in two are replaced. All columns stay."""
+    rows = judged(boxed(docs)).select("row", "text", "covered", "windows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             raw, off, gone = marked(part)
             kept, ends = raw[~gone], np.arange(len(raw) + 1) - np.concatenate([[0], np.cumsum(gone)])
             texts_ = [kept[ends[a] : ends[b]].tobytes().decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts_) if c == "text" else part.column(c) for c in schema.names], schema.names)
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts_, pa.string())], ["row", "text"])
 
-    return _ready(docs, *[c for c in docs.columns if c != "text"]).mapInArrow(run, schema)
+    out = rows.mapInArrow(run, rows.select("row", "text").schema)
+    return out.select(*[(F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
