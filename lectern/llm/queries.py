@@ -70,5 +70,44 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+OP2_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM w),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s), p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS shared FROM g a JOIN g b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * shared >= 75 * (n + m - shared)), r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(m, s.doc_id)) AS kept FROM s LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) ON a = s.doc_id
+"""
+
+#: Kind, pattern, group and least length, as the contract and the further kinds state them.
+_KINDS = [
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,255}", 0, 40), ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15), ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 26),
+    ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 27), ("bearer", r"(?i:bearer)\x20+[A-Za-z0-9+/_.~-]{20,}", 0, 27),
+]
+_MATCHES = " UNION ALL ".join(
+    f"SELECT doc_id, {no} AS no, '{kind}' AS kind, {least} AS least, unnest(regexp_split_to_array(text, '{p}')) AS gap, unnest(list_concat(regexp_extract_all(text, '{p}', 0), [NULL])) AS hit, unnest(list_concat(regexp_extract_all(text, '{p}', {group}), [NULL])) AS part, generate_subscripts(regexp_split_to_array(text, '{p}'), 1) AS i FROM d"
+    for no, (kind, p, group, least) in enumerate(_KINDS)
+)
+
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({_MATCHES}),
+f AS (SELECT doc_id, no, kind, stop - length(hit) AS start, stop FROM (SELECT *, CAST(sum(length(gap) + coalesce(length(hit), 0)) OVER (PARTITION BY doc_id, no ORDER BY i) AS BIGINT) AS stop FROM m) WHERE length(part) >= least)
+SELECT d.doc_id, count(*) FILTER (WHERE no = 0) AS n_assign, count(*) FILTER (WHERE no = 1) AS n_access, count(*) FILTER (WHERE no = 2) AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) FILTER (WHERE no < 3), '')) AS base_sha256, coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no), '') AS spans
+FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id
+"""
+
+OP7_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents), w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM b WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s), c AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE doc_id > m),
+k AS (SELECT doc_id, i, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS cut FROM c)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS e FROM k GROUP BY doc_id, run), g AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+x AS (SELECT g.doc_id, count(*) AS n_spans, CAST(sum(e - a) AS BIGINT) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(e) + 1) AS kept FROM g JOIN b USING (doc_id) GROUP BY g.doc_id)
+SELECT b.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM b LEFT JOIN x USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op2_minhash": OP2_SQL, "op3_secret_scan": OP3_SQL, "op7_suffix_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL}

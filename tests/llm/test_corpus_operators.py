@@ -443,3 +443,33 @@ def test_media_crops_keep_the_corners_of_their_original():
     stacked = list(media.describe_many([image, image[:90], image[40:]]))
     for k, (p, c) in enumerate(alone):
         assert sorted((*q, d.tobytes()) for q, d in zip(p.tolist(), c, strict=True)) == sorted((*q, d.tobytes()) for o, ps, cs in stacked for n, q, d in zip(o.tolist(), ps.tolist(), cs, strict=True) if n == k)
+
+
+def test_long_texts_are_encoded_in_portions(spark, monkeypatch):
+    tok, (vocabulary, encoder, _) = Tokenizer.from_file(BYTE), bpe.byte_encoder(BYTE)
+    rng = random.Random(1)
+    monkeypatch.setattr(bpe, "PORTION", 997)
+    parts = ["a" * 300, "the ", "  \n", "!!!", "'s", "'ll", "é", "漢字", " " * 70, "x", "12", "  ", "don't ", "."]
+    many = ["".join(rng.choice(parts) for _ in range(150)) for _ in range(12)]
+    many += ["".join(rng.choice("abé漢!1'") for _ in range(6000)), " " * 6000 + "x" + " " * 3000, "a" * 9000 + "!" * 5000 + "7" * 4000 + " " * 6000 + "the end"]
+    many += ["".join(rng.choice(["ab" * 2000, "　", " ", "<|endoftext|>", "\n"]) for _ in range(12)) for _ in range(5)]
+    for text in many:
+        got = np.concatenate(list(bpe.encoded_portions(encoder, vocabulary, text, np.frombuffer(text.encode(), np.uint8))))
+        assert got.tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    """A text of 3 MB and one of a single letter 2 MB long, beside columns that are named as helpers are."""
+    rng = random.Random(4)
+    prose = " ".join(rng.choice(["alpha", "Beta,", "é", "gamma", "delta."]) + str(rng.randint(0, 99999)) for _ in range(250_000))
+    rows = [(1, prose), (2, "a" * 2_000_000), (2, "a" * 2_000_000), (3, "under the mit license"), (None, None)]
+    docs = spark.createDataFrame([(i, t, 1, "c", 2, 3) for i, t in rows], "doc_id long, text string, covered int, windows string, row int, blob int")
+    bpe_rows, word = by_id(bpe.digests(docs)), Tokenizer.from_file(BYTE)
+    for i, t in rows[:4]:
+        ids = word.encode(t, add_special_tokens=False).ids
+        assert (bpe_rows[i]["n_tokens"], bpe_rows[i]["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    assert license_scan.scan_licenses(docs).count() == secret_scan.scan_secrets(docs).count() == token_ids.round_trip(docs).count() == 5
+    near = by_id(minhash.near_duplicates(docs))
+    assert near[1]["kept"] and near[2]["component_id"] == 2 and minhash.drop_near_duplicates(docs).count() == 4
+    assert suffix_dedup.remove_repeats(docs).columns == docs.columns and suffix_dedup.repeats(docs).agg({"n_removed": "sum"}).first()[0] == 0
+    assert {r["length"] for r in packing.pack_documents(docs).collect()} >= {2048}
