@@ -261,7 +261,12 @@ def hosts_by_scheme(t: Tables) -> DataFrame:
     return t.pages.groupBy(F.when(F.col("url").startswith("https"), "https").otherwise("http").alias("scheme"), host.alias("host")).agg(F.count(F.lit(1)).alias("n"), F.count_if(host.endswith(".org")).alias("academic"))
 
 
-@query()
+@query("""
+WITH RECURSIVE l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents), u AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM l),
+r AS (SELECT doc_id, i, CAST(0 AS INTEGER) AS chunk, x AS text FROM u WHERE i = 1
+  UNION ALL SELECT u.doc_id, u.i, CASE WHEN length(r.text || chr(10) || chr(10) || u.x) // 4 <= 200 THEN r.chunk ELSE r.chunk + 1 END, CASE WHEN length(r.text || chr(10) || chr(10) || u.x) // 4 <= 200 THEN r.text || chr(10) || chr(10) || u.x ELSE u.x END FROM r JOIN u ON u.doc_id = r.doc_id AND u.i = r.i + 1)
+SELECT doc_id, chunk, arg_max(text, i) AS text FROM r GROUP BY doc_id, chunk
+""")
 def paragraph_chunks(t: Tables) -> DataFrame:
     """Lines packed into chunks of at most 200 estimated tokens, in order."""
     return t.documents.select("doc_id", F.posexplode(S.chunks("text", "\n", 200)).alias("chunk", "text"))

@@ -228,16 +228,34 @@ def weighted_threat_score(t: Tables) -> DataFrame:
     return t.events.join(F.broadcast(weights), "event_type").groupBy("user_id").agg(F.round(score, 4).alias("score"), F.when(score >= 60, "high").when(score >= 40, "medium").otherwise("low").alias("severity"))
 
 
-@query()
+_BY_TURN = "e AS (SELECT event_id, user_id, CAST(epoch_us(ts) AS DOUBLE) / 1000000 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
+_RECENT = "list_filter(r.acc, lambda x: x > e.tm - 86400)"
+_LEVEL = "least(3.0, r.level + (e.tm - r.tm) * 3 / 86400)"
+TOKEN_BUCKET_SQL = f"""
+WITH RECURSIVE {_BY_TURN}, r AS (SELECT user_id, k, event_id, true AS allowed, CAST(2 AS DOUBLE) AS level, tm FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.k, e.event_id, {_LEVEL} >= 1, CASE WHEN {_LEVEL} >= 1 THEN {_LEVEL} - 1 ELSE {_LEVEL} END, e.tm FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT event_id, user_id, allowed FROM r
+"""
+
+
+@query(f"""
+WITH RECURSIVE {_BY_TURN}, r AS (SELECT user_id, k, event_id, true AS allowed, [tm] AS acc FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.k, e.event_id, len({_RECENT}) < 3, CASE WHEN len({_RECENT}) < 3 THEN list_append({_RECENT}, e.tm) ELSE {_RECENT} END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT event_id, user_id, allowed FROM r
+""")
 def sliding_window_rate_limit(t: Tables) -> DataFrame:
     return T.sliding_window(t.events.select("event_id", "user_id", "ts"), "user_id", "ts", ["ts", "event_id"], 3, 86400).drop("ts")
 
 
-@query()
+@query(TOKEN_BUCKET_SQL)
 def token_bucket_rate_limit(t: Tables) -> DataFrame:
     return T.token_bucket(t.events.select("event_id", "user_id", "ts"), "user_id", "ts", ["ts", "event_id"], 3, 86400).drop("ts")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_BY_TURN}, r AS (SELECT user_id, k, event_id, true AS allowed, tm AS last FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.k, e.event_id, e.tm - r.last >= 43200, CASE WHEN e.tm - r.last >= 43200 THEN e.tm ELSE r.last END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT event_id, user_id, allowed FROM r
+""")
 def progress_update_gate(t: Tables) -> DataFrame:
     return T.rate_gate(t.events.select("event_id", "user_id", "ts"), "user_id", "ts", ["ts", "event_id"], 1 / 43200).drop("ts")

@@ -9,7 +9,8 @@ from lectern.functions import academic, security
 from lectern.functions import text as X
 from lectern.operators import deck, layout
 from lectern.operators import timeline as T
-from lectern.plans.registry import Tables, query
+from lectern.plans import papers  # noqa: F401  (its SQL is used here)
+from lectern.plans.registry import ORACLES, Tables, query
 
 
 def _case(text: str, cases: list[tuple[str, list[str]]], other: str) -> str:
@@ -106,14 +107,19 @@ def weighted_completeness(t: Tables) -> DataFrame:
     return parts.groupBy("l_returnflag").agg(F.round(100 * F.sum(F.when(F.col("k"), F.col("w")).otherwise(0)) / F.sum("w"), 4).alias("completeness"))
 
 
-@query()
+@query(ORACLES["abstract_scores"])
 def abstract_quality(t: Tables) -> DataFrame:
     """Every document scored as if it were an abstract."""
     s = t.documents.select("doc_id", academic.abstract_scores(F.col("text")).alias("s"))
     return s.select("doc_id", *(F.round(F.col(f"s.{c}"), 4).alias(c) for c in ("completeness", "conciseness", "clarity", "structure")))
 
 
-@query()
+@query("""
+WITH RECURSIVE q AS (SELECT event_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(floor(value * 10) AS BIGINT) AS tokens FROM events), e AS (SELECT *, event_type || '/' || day AS key, row_number() OVER (PARTITION BY event_type, day ORDER BY tokens, event_id) AS k FROM q),
+r AS (SELECT event_id, event_type, day, tokens, key, k, CAST(0 AS BIGINT) AS batch, 1 AS n, tokens AS held FROM e WHERE k = 1
+  UNION ALL SELECT e.event_id, e.event_type, e.day, e.tokens, e.key, e.k, CASE WHEN r.n = 10 OR r.held + e.tokens > 4000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.n = 10 OR r.held + e.tokens > 4000 THEN 1 ELSE r.n + 1 END, CASE WHEN r.n = 10 OR r.held + e.tokens > 4000 THEN e.tokens ELSE r.held + e.tokens END FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1)
+SELECT event_id, event_type, day, tokens, key, batch FROM r
+""")
 def request_batches(t: Tables) -> DataFrame:
     """Requests of one type and day packed greedily into batches of at most ten and 4000 tokens, the heaviest first."""
     rows = t.events.select("event_id", "event_type", F.to_date("ts").cast("string").alias("day"), F.floor(F.col("value") * 10).cast("long").alias("tokens"))

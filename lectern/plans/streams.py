@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.plans.events import TOKEN_BUCKET_SQL
 from lectern.plans.registry import Tables, query
 from lectern.sources.files import event_stream
 from lectern.streaming import events as E
@@ -35,6 +36,6 @@ def stream_alerts(t: Tables) -> DataFrame:
     return E.run_available(E.alerts(event_stream(t.spark, t.folder), ["error", "signup"], 50.0).select("event_id", "user_id", "event_type"), "alerts")
 
 
-@query()
+@query(TOKEN_BUCKET_SQL)
 def stream_token_bucket(t: Tables) -> DataFrame:
     return E.run_available(E.token_bucket(event_stream(t.spark, t.folder), "user_id", 3, 86400), "bucket")
