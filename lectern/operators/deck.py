@@ -6,15 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators.rules import Rule, RuleSet
+from lectern.operators.rules import FIRST_PERSON, TRANSITIONS, VAGUE, Rule, RuleSet, informal, uncited
 
 BODY = "struct<title:string,body:array<struct<type:string,content:string,items:array<struct<text:string>>,rows:int,columns:int,series:int,points:int,dpi:int,alt_text:string,caption:string>>,notes:string,animations:array<string>>"
-#: Wordings that the rules look for.
-INFORMAL = ["a lot of", "kind of", "sort of", "stuff", "gonna", "basically", "pretty much"]
-FIRST_PERSON = ["i", "my", "me", "we", "our", "us"]
-CLAIMS = ["studies show", "research shows", "it has been shown", "according to", "evidence suggests", "significantly"]
+#: Spellings of one term, and effects that distract.
 PAIRS = [("e-mail", "email"), ("data set", "dataset"), ("on-line", "online"), ("web site", "website"), ("co-operate", "cooperate")]
-VAGUE = ["things", "various", "several", "etc", "many"]
 FLASHY = ["spin", "bounce", "fly-in", "swivel", "boomerang"]
 
 
@@ -51,18 +47,18 @@ def rules() -> RuleSet:
     add("text.bullet_length", lambda s: F.exists("bullets", lambda b: F.size(X.words(short(b))) > s["most"]), "a bullet has more than {most} words", most=10)
     add("text.title_length", lambda s: F.char_length("title") > s["most"], "title longer than {most} characters", most=60)
     add("text.density", lambda s: F.col("n_words") > s["most"], "more than {most} words", most=100)
-    add("text.terminology", lambda s: X.any_of([low().contains(a) & low().contains(b) for a, b in PAIRS]), "two spellings of one term")
-    add("tone.informal", lambda s: X.any_of([low().contains(p) for p in INFORMAL]), "informal wording")
+    add("text.terminology", lambda s: X.any_of([low().contains(a) & low().contains(b) for a, b in PAIRS]), "two spellings of one term", "info")
+    add("tone.informal", lambda s: informal(low()), "informal wording")
     add("tone.first_person", lambda s: F.arrays_overlap("tok", F.array(*map(F.lit, FIRST_PERSON))), "first person", "info", "conference", "defense")
     add("tone.vague", lambda s: F.arrays_overlap("tok", F.array(*map(F.lit, VAGUE))), "vague words", "info")
-    add("tone.transitions", lambda s: (F.col("n_words") > s["least"]) & ~F.arrays_overlap("tok", F.array(*map(F.lit, X.CONNECTORS))), "no transitions in more than {least} words", "info", least=50)
-    add("cite.presence", lambda s: X.any_of([low().contains(p) for p in CLAIMS]) & ~F.col("plain").rlike(r"\[\d+\]|\(\w+,? \d{4}\)"), "claim without citation", "error")
-    add("cite.format", lambda s: F.col("plain").rlike(r"\[\d+\]") & F.col("plain").rlike(r"\([A-Z]\w+,? \d{4}\)"), "more than one citation style")
+    add("tone.transitions", lambda s: (F.col("n_words") > s["least"]) & ~F.arrays_overlap("tok", F.array(*map(F.lit, TRANSITIONS))), "no transitions in more than {least} words", "info", least=50)
+    add("cite.presence", lambda s: uncited(F.col("plain")), "claim without citation")
+    add("cite.format", lambda s: F.col("plain").rlike(r"\[\d+\]") & F.col("plain").rlike(r"\([A-Z]\w+,? \d{4}\)"), "more than one citation style", "info")
     add("visual.count", lambda s: F.size("visuals") > s["most"], "more than {most} visuals", most=2)
     add("visual.image", lambda s: _of("image", lambda b: (b["dpi"] < s["dpi"]) | b["alt_text"].isNull()), "image below {dpi} dpi or without alternative text", dpi=300)
     add("visual.chart", lambda s: _of("chart", lambda b: (b["series"] > s["series"]) | (b["points"] > s["points"])), "chart with more than {series} series or {points} points", series=5, points=10)
     add("visual.table", lambda s: _of("table", lambda b: (b["rows"] > s["rows"]) | (b["columns"] > s["columns"])), "table larger than {rows} by {columns}", rows=6, columns=5)
-    add("visual.animations", lambda s: (F.size(F.coalesce("c.animations", F.array().cast("array<string>"))) > s["most"]) | F.coalesce(F.arrays_overlap("c.animations", F.array(*map(F.lit, FLASHY))), F.lit(False)), "too many or flashy animations", most=3)
+    add("visual.animations", lambda s: (F.size(F.coalesce("c.animations", F.array().cast("array<string>"))) > s["most"]) | F.coalesce(F.arrays_overlap("c.animations", F.array(*map(F.lit, FLASHY))), F.lit(False)), "too many or flashy animations", "info", most=3)
     return out
 
 

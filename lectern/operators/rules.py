@@ -9,6 +9,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEVERITIES = ["error", "warning", "info"]
+#: Informal wordings, in lower case, that a formal text does without.
+INFORMAL = [
+    "a lot of", "lots of", "kind of", "sort of", "pretty much", "really", "stuff", "things", "gonna", "wanna",
+    "can't", "won't", "don't", "isn't", "aren't", "wasn't", "weren't", "hasn't", "haven't", "shouldn't", "wouldn't", "couldn't", "didn't", "doesn't",
+    "let's", "that's", "what's", "here's", "there's", "where's", "how's", "who's", "it's", "you're", "they're", "we're",
+    "awesome", "cool", "guys", "etc.", "e.g.", "i.e.", "basically", "obviously", "actually", "anyway", "anyways", "plus", "tons of", "huge", "tiny", "big", "good", "bad", "nice", "okay", "ok",
+]
+#: Wordings that ask for a citation, and what one looks like.
+CLAIMS = [
+    "studies (show|indicate|suggest|demonstrate)", "research (shows|indicates|suggests|demonstrates)", "according to", "data (shows|indicates|suggests|demonstrates)",
+    "evidence (shows|indicates|suggests|demonstrates)", "findings (show|indicate|suggest|demonstrate)", "results (show|indicate|suggest|demonstrate)", "analysis (shows|indicates|reveals)",
+    r"[0-9]+\s*%", "statistics", "survey", "study", "report", "published", "discovered", "found that", "proven", "demonstrated",
+]
+CITED = [r"\([A-Z][A-Za-z]+(?: et al\.?)?,? [0-9]{4}\)", r"\[[A-Z][A-Za-z]+(?: et al\.?)?,? [0-9]{4}\]", r"\[[0-9]+\]", r"\([0-9]+\)", "<sup>[0-9]+</sup>", r"\^[0-9]+"]
+#: Academic transitions, and intensifiers that say little.
+TRANSITIONS = [
+    "furthermore", "moreover", "consequently", "therefore", "thus", "hence", "accordingly", "nevertheless", "nonetheless", "however",
+    "conversely", "alternatively", "similarly", "likewise", "specifically", "particularly", "notably", "significantly", "importantly", "additionally",
+]
+VAGUE = ["very", "really", "quite", "rather", "somewhat"]
+FIRST_PERSON = ["i", "me", "my", "mine", "we", "us", "our", "ours"]
 
 
 @dataclass(frozen=True)
@@ -67,15 +88,32 @@ def contrast(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column])
     return (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05)
 
 
+def informal(low: Column) -> Column:
+    """Whether a text in lower case contains an informal wording: one pattern, one look at the text."""
+    return low.rlike("|".join(w.replace(".", r"\.") for w in INFORMAL))
+
+
+def uncited(text: Column) -> Column:
+    """Whether a text makes a claim and has no citation."""
+    return F.lower(text).rlike("|".join(CLAIMS)) & ~text.rlike("|".join(CITED))
+
+
+def hits(low: Column, listed: list[str]) -> Column:
+    """How many white-space separated words of a text are in the list."""
+    return F.regexp_count(F.concat(F.lit(" "), F.regexp_replace(low, r"\s+", "  "), F.lit(" ")), F.lit(f" (?:{'|'.join(listed)}) "))
+
+
 def slide_rules() -> RuleSet:
     """The standard rules for slides with the columns text, n_words, n_sentences, n_syllables, grade and role."""
     out = RuleSet()
     low = lambda: F.lower("text")
     out.register(Rule("text.density", lambda s: F.col("n_words") > s["most"], "more than {most} words", settings={"most": 100}))
-    out.register(Rule("text.title_length", lambda s: F.char_length(F.get(F.split("text", r"\n"), F.lit(0))) > s["most"], "first line longer than {most}", "info", {"most": 60}))
-    out.register(Rule("text.readability", lambda s: F.col("grade") > s["most"], "grade above {most}", settings={"most": 16}))
-    out.register(Rule("text.bullets", lambda s: F.size(F.split("text", r"\n")) > s["most"], "more than {most} lines", "error", {"most": 5}))
-    out.register(Rule("time.slide", lambda s: F.col("n_words") / 130 * 60 > s["most"], "longer than {most} seconds", "error", {"most": 120}), "conference")
-    out.register(Rule("tone.informal", lambda s: low().contains("password") | low().contains("!!"), "informal wording", "info"))
-    out.register(Rule("cite.claim", lambda s: F.col("text").rlike("[0-9]+(\\.[0-9]+)?%") & ~F.col("text").rlike(r"\[[0-9]+\]"), "figure without citation", "error"))
+    out.register(Rule("text.title_length", lambda s: F.char_length(F.get(F.split("text", r"\n"), F.lit(0))) > s["most"], "first line longer than {most}", settings={"most": 60}))
+    out.register(Rule("text.readability", lambda s: F.col("grade") > s["most"], "grade above {most}", "info", {"most": 16}))
+    out.register(Rule("text.bullets", lambda s: F.size(F.split("text", r"\n")) > s["most"], "more than {most} lines", settings={"most": 5}))
+    out.register(Rule("time.slide", lambda s: F.col("n_words") / 130 * 60 > s["most"], "longer than {most} seconds", settings={"most": 120}), "conference")
+    out.register(Rule("tone.informal", lambda s: informal(low()), "informal wording"))
+    out.register(Rule("cite.claim", lambda s: uncited(F.col("text")), "claim without citation"))
+    out.register(Rule("tone.transitions", lambda s: (F.col("n_words") > s["least"]) & (hits(low(), TRANSITIONS) == 0), "no transitions in more than {least} words", "info", {"least": 50}))
+    out.register(Rule("tone.vague", lambda s: hits(low(), VAGUE) > 0, "vague intensifiers", "info"))
     return out

@@ -88,7 +88,7 @@ def dependency_levels(t: Tables) -> DataFrame:
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l, text FROM documents),
 c AS (SELECT doc_id, len(list_filter(l, lambda x: x <> '')) AS bullets, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS nw, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}]+'), lambda x: x <> '') AS tok FROM l),
 v AS (SELECT doc_id, unnest(list_concat(CASE WHEN bullets > 5 THEN ['text.bullet_count'] ELSE [] END, CASE WHEN nw > 100 THEN ['text.density'] ELSE [] END,
-  CASE WHEN nw > 50 AND NOT list_has_any(tok, ['however', 'therefore', 'furthermore', 'moreover', 'nevertheless', 'consequently']) THEN ['tone.transitions'] ELSE [] END)) AS rule_id FROM c)
+  CASE WHEN nw > 50 AND NOT list_has_any(tok, ['furthermore', 'moreover', 'consequently', 'therefore', 'thus', 'hence', 'accordingly', 'nevertheless', 'nonetheless', 'however', 'conversely', 'alternatively', 'similarly', 'likewise', 'specifically', 'particularly', 'notably', 'significantly', 'importantly', 'additionally']) THEN ['tone.transitions'] ELSE [] END)) AS rule_id FROM c)
 SELECT rule_id, count(*) AS n FROM v GROUP BY rule_id
 """)
 def deck_rules_on_lines(t: Tables) -> DataFrame:

@@ -105,13 +105,17 @@ def content_density(t: Tables) -> DataFrame:
 
 @query(rf"""
 WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS words, len(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')) AS ns FROM documents),
-b AS (SELECT *, len(words) AS nw, CAST(coalesce(list_sum(list_transform(list_transform(words, lambda x: regexp_replace(lower(x), '[^a-z]', '', 'g')), lambda x: CASE WHEN x = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN ends_with(x, 'e') THEN 1 ELSE 0 END) END)), 0) AS BIGINT) AS sy FROM w),
+b AS (SELECT *, len(words) AS nw, CAST(coalesce(list_sum(list_transform(list_transform(words, lambda x: regexp_replace(lower(x), '[!-/:-@\[-`{{-~]', '', 'g')), lambda x: CASE WHEN x = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN ends_with(x, 'e') THEN 1 ELSE 0 END) END)), 0) AS BIGINT) AS sy FROM w),
 g AS (SELECT *, greatest(0, 0.39 * CASE WHEN ns = 0 THEN 0 ELSE nw / ns END + 11.8 * CASE WHEN nw = 0 THEN 0 ELSE sy / nw END - 15.59) AS grade FROM b),
 v AS (SELECT doc_id, unnest(list_concat(
- CASE WHEN nw > 100 THEN [['text.density', 'warning']] ELSE [] END, CASE WHEN length(string_split(text, chr(10))[1]) > 60 THEN [['text.title_length', 'info']] ELSE [] END,
- CASE WHEN grade > 16 THEN [['text.readability', 'warning']] ELSE [] END, CASE WHEN len(string_split(text, chr(10))) > 5 THEN [['text.bullets', 'error']] ELSE [] END,
- CASE WHEN nw / 130 * 60 > 120 THEN [['time.slide', 'error']] ELSE [] END, CASE WHEN contains(lower(text), 'password') OR contains(lower(text), '!!') THEN [['tone.informal', 'info']] ELSE [] END,
- CASE WHEN regexp_matches(text, '[0-9]+(\.[0-9]+)?%') AND NOT regexp_matches(text, '\[[0-9]+\]') THEN [['cite.claim', 'error']] ELSE [] END)) AS x FROM g)
+ CASE WHEN nw > 100 THEN [['text.density', 'warning']] ELSE [] END, CASE WHEN length(string_split(text, chr(10))[1]) > 60 THEN [['text.title_length', 'warning']] ELSE [] END,
+ CASE WHEN grade > 16 THEN [['text.readability', 'info']] ELSE [] END, CASE WHEN len(string_split(text, chr(10))) > 5 THEN [['text.bullets', 'warning']] ELSE [] END, CASE WHEN nw / 130 * 60 > 120 THEN [['time.slide', 'warning']] ELSE [] END,
+ CASE WHEN len(list_filter(['a lot of', 'lots of', 'kind of', 'sort of', 'pretty much', 'really', 'stuff', 'things', 'gonna', 'wanna', 'can''t', 'won''t', 'don''t', 'isn''t', 'aren''t', 'wasn''t', 'weren''t', 'hasn''t', 'haven''t', 'shouldn''t', 'wouldn''t', 'couldn''t', 'didn''t', 'doesn''t', 'let''s', 'that''s', 'what''s', 'here''s', 'there''s', 'where''s', 'how''s', 'who''s', 'it''s', 'you''re', 'they''re', 'we''re',
+   'awesome', 'cool', 'guys', 'etc.', 'e.g.', 'i.e.', 'basically', 'obviously', 'actually', 'anyway', 'anyways', 'plus', 'tons of', 'huge', 'tiny', 'big', 'good', 'bad', 'nice', 'okay', 'ok'], lambda p: contains(lower(text), p))) > 0 THEN [['tone.informal', 'warning']] ELSE [] END,
+ CASE WHEN regexp_matches(lower(text), '(studies|findings|results) (show|indicate|suggest|demonstrate)|(research|data|evidence) (shows|indicates|suggests|demonstrates)|according to|analysis (shows|indicates|reveals)|[0-9]+\s*%|statistics|survey|study|report|published|discovered|found that|proven|demonstrated')
+   AND NOT regexp_matches(text, '\([A-Z][A-Za-z]+( et al\.?)?,? [0-9]{{4}}\)|\[[A-Z][A-Za-z]+( et al\.?)?,? [0-9]{{4}}\]|\[[0-9]+\]|\([0-9]+\)|<sup>[0-9]+</sup>|\^[0-9]+') THEN [['cite.claim', 'warning']] ELSE [] END,
+ CASE WHEN nw > 50 AND len(list_filter(words, lambda x: list_contains(['furthermore', 'moreover', 'consequently', 'therefore', 'thus', 'hence', 'accordingly', 'nevertheless', 'nonetheless', 'however', 'conversely', 'alternatively', 'similarly', 'likewise', 'specifically', 'particularly', 'notably', 'significantly', 'importantly', 'additionally'], lower(x)))) = 0 THEN [['tone.transitions', 'info']] ELSE [] END,
+ CASE WHEN len(list_filter(words, lambda x: list_contains(['very', 'really', 'quite', 'rather', 'somewhat'], lower(x)))) > 0 THEN [['tone.vague', 'info']] ELSE [] END)) AS x FROM g)
 SELECT x[1] AS rule_id, x[2] AS severity, count(*) AS n, min(doc_id) AS first_doc FROM v GROUP BY 1, 2
 """)
 def rule_violations_summary(t: Tables) -> DataFrame:
