@@ -21,13 +21,17 @@ def components(links: DataFrame) -> DataFrame:
     nodes = materialize(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node")), "nodes")
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = materialize(both.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("from"), F.least("a", "to").alias("to")), "pointers")
-        for _ in range(2):
-            after = step.select(F.col("from").alias("to"), F.col("to").alias("next"))
-            step = materialize(step.join(after, "to").select("from", F.col("next").alias("to")), "pointers")
+        step = both.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("from"), F.least("a", "to").alias("to"))
+        step = materialize(followed(followed(step)), "pointers")
         relabel = step.select(F.col("from").alias("component"), "to")
         nodes = materialize(nodes.join(relabel, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "nodes")
         a, b = step.select(F.col("from").alias("a"), F.col("to").alias("a2")), step.select(F.col("from").alias("b"), F.col("to").alias("b2"))
         moved = edges.join(a, "a").join(b, "b").where("a2 <> b2")
         edges = materialize(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "links")
     return nodes
+
+
+def followed(step: DataFrame) -> DataFrame:
+    """Every pointer goes where the one it points at goes."""
+    after = step.select(F.col("from").alias("to"), F.col("to").alias("next"))
+    return step.join(after, "to").select("from", F.col("next").alias("to"))

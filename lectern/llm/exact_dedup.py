@@ -146,6 +146,6 @@ def drop_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFr
     rows = boxed(docs).select("row", "doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"), F.char_length("text").cast("long").alias("n_points"))
     same = lambda k: rows["doc_id"].eqNullSafe(k["doc_id"]) & (rows["digest"] == k["digest"]) & (rows["n_points"] == k["n_points"])
     once, often = keep.where("copies = 1"), keep.where("copies > 1")
-    single = rows.join(once, same(once), "left_semi").select("row")
+    single = rows.join(once.hint("merge"), same(once), "left_semi").select("row")
     several = rows.join(often, same(often), "left_semi").groupBy("digest").agg(F.first("row").alias("row")).select("row")
     return single.unionByName(several).select("row.*")

@@ -78,19 +78,12 @@ def signatures(values: np.ndarray, begin: np.ndarray, coordinates: int) -> np.nd
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """Rows of (doc_id, text, ..) with ``text_hash``: with the id, it tells rows apart that differ."""
-    return docs.withColumn("text_hash", F.xxhash64("text"))
-
-
-def flagged(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, text_hash, ..) with ``often``: whether several documents have that id and text."""
-    many = repeated.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.lit(True).alias("often"))
-    both = rows.join(many, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
-    return both.withColumn("often", F.coalesce("often", F.lit(False))).drop("_id", "_hash")
+    """Rows of (doc_id, text, ..) with ``row_hash`` of both: it tells rows apart that differ (64 bits, as for shingles)."""
+    return docs.withColumn("row_hash", F.xxhash64("doc_id", "text"))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, set_key, sig, bands); set_key and the others are null for empty sets."""
+    """(doc_id, row_hash, n_shingles, set_key, sig, bands); set_key and the others are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -111,9 +104,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 h = np.ascontiguousarray(h.T).view(np.int64)
                 for i, d in enumerate(full.tolist()):
                     keys[d], sigs[d], bands[d] = sums[i].tobytes(), short[i].tobytes(), h[i]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "set_key", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row_hash", "n_shingles", "set_key", "sig", "bands"])
 
-    return hashed(texts(docs)).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_key binary, sig binary, bands array<long>")
+    return hashed(texts(docs)).mapInArrow(run, "doc_id long, row_hash long, n_shingles long, set_key binary, sig binary, bands array<long>")
 
 
 def salted(pairs: DataFrame) -> DataFrame:
@@ -202,21 +195,18 @@ def prefix_pairs(open_docs: DataFrame, held: DataFrame) -> DataFrame:
 def links_of(docs: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame:
     """(node, component) over all classes that are linked with another one.
 
-    ``classes`` has node, doc_id and text_hash (of one of its rows), bands and sig; ``repeated`` the (doc_id, text_hash) that
-    several rows have.
+    ``classes`` has node (the row_hash of one of its rows), bands and sig; ``repeated`` the row_hash that several rows have.
     """
     spark = docs.sparkSession
     banded = classes.select(F.col("node").alias("rep"), F.explode("bands").alias("key"))
     by_key = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     shared = materialize(by_key.where("n > 1"), "shared-keys")
-    members = materialize(banded.join(shared, "key").select("key", "rep", "n"), "members")
-    n_members = members.count()
-    wanted = classes.join(members.select(F.col("rep").alias("node")).distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
-    wanted = materialize(flagged(wanted, repeated).select("node", F.col("doc_id").alias("at"), F.col("text_hash").alias("th"), "often"), "wanted")
-    rows = hashed(texts(docs))
-    match = F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("text_hash") == F.col("th"))
-    once = rows.join(wanted.where("not often"), match).select("node", "text")
-    often = rows.join(wanted.where("often"), match).groupBy("node").agg(F.first("text").alias("text"))
+    members = materialize(banded.join(shared, "key").select("key", "rep"), "members")
+    wanted = materialize(members.select(F.col("rep").alias("node")).distinct(), "wanted")
+    rows = hashed(texts(docs)).select(F.col("row_hash").alias("node"), "text")
+    # texts meet by sort and merge at every size: the list of wanted ones grows with the input. They lie by node then, as the table does.
+    once = rows.join(wanted.join(repeated.withColumnRenamed("row_hash", "node"), "node", "left_anti").hint("merge"), "node")
+    often = rows.join(wanted.join(repeated.withColumnRenamed("row_hash", "node"), "node", "left_semi"), "node").groupBy("node").agg(F.first("text").alias("text"))
     table = f"candidate_texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     once.unionByName(often).write.format("parquet").option("compression", "zstd").bucketBy(buckets, "node").sortBy("node").saveAsTable(table)
@@ -225,11 +215,11 @@ def links_of(docs: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFr
     for number in range(LEADER_ROUNDS + 1):
         labelled = members.withColumn("component", F.col("rep"))
         if nodes is not None:
-            labelled = materialize(members.join(nodes, members["rep"] == nodes["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component")), "labelled")
+            labelled = members.join(nodes, members["rep"] == nodes["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
         first = F.min(F.struct(F.xxhash64("rep", F.lit(number)).alias("o"), F.col("rep").alias("a"), F.col("component").alias("c")))
-        keyed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), first.alias("lead"), F.count(F.lit(1)).alias("held")).where("x <> y").select("key", "lead", "held")
-        # a bucket that still holds several components is open; a bucket key may be as hot as its group is large
-        open_ = materialize(join_by_key(labelled.select("key", "rep", "component"), materialize(keyed, "open-keys"), "key", "held", n_members).where("lead is not null"), "open-members")
+        keyed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), first.alias("lead")).where("x <> y").select("key", "lead")
+        # a bucket that still holds several components is open; one that is as hot as its group is large is split by the adaptive skew join
+        open_ = materialize(labelled.select("key", "rep", "component").join(keyed, "key"), "open-members")
         if open_.isEmpty():
             break
         if number < LEADER_ROUNDS:
@@ -241,9 +231,8 @@ def links_of(docs: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFr
         if tried is not None:
             done = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(salted(pairs), "pairs")
-        new = materialize(confirmed(materialize(likely(pairs, classes), "likely"), held), "confirmed")
-        pairs = pairs.select("a", "b")
+        pairs = materialize(pairs, "pairs")
+        new = materialize(confirmed(materialize(likely(salted(pairs), classes), "likely"), held), "confirmed")
         tried = pairs if tried is None else tried.union(pairs)
         found = new if found is None else found.union(new)
         nodes = components(found)
@@ -252,19 +241,18 @@ def links_of(docs: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFr
 
 
 def resolved(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The sketches; for each class its set_key, copies, node, first row (doc_id, text_hash) and component with that one's
-    first row (component_doc, component_hash, component_node); and the (doc_id, text_hash) that several rows have."""
+    """The sketches; for each class its set_key, copies, node, doc_id (of its first row) and component with that one's first row
+    (component_doc, component_node); and the row_hash that several rows have."""
     seen = materialize(sketches(docs), "sketches")
-    repeated = materialize(seen.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_hash"), "repeated-rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    repeated = materialize(seen.groupBy("row_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row_hash"), "repeated-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash"))
     classes = seen.where("n_shingles > 0").groupBy("set_key").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = materialize(classes.select("set_key", "copies", "n_shingles", "sig", "bands", "first.doc_id", "first.text_hash", F.monotonically_increasing_id().alias("node")), "classes")
+    classes = materialize(classes.select("set_key", "copies", "n_shingles", "sig", "bands", "first.doc_id", F.col("first.row_hash").alias("node")), "classes")
     nodes = links_of(docs, classes, repeated)
-    labelled = materialize(classes.select("set_key", "copies", "node", "doc_id", "text_hash").join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled-classes")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "node"))
-    heads = labelled.groupBy("component").agg(least.alias("head"), F.count(F.lit(1)).alias("size"))
-    heads = heads.select("component", "size", F.col("head.doc_id").alias("component_doc"), F.col("head.text_hash").alias("component_hash"), F.col("head.node").alias("component_node"))
-    return seen, join_by_key(labelled, heads, "component", "size", labelled.count()), repeated
+    labelled = materialize(classes.select("set_key", "copies", "node", "doc_id").join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled-classes")
+    heads = labelled.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("head"))
+    heads = heads.select("component", F.col("head.doc_id").alias("component_doc"), F.col("head.node").alias("component_node"))
+    return seen, labelled.join(heads, "component"), repeated
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -279,11 +267,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each component of ``docs``, with all its columns, and every row without words."""
     seen, classes, repeated = resolved(docs)
-    heads = classes.where("node = component_node").select("doc_id", "text_hash")
-    wordless = seen.where("n_shingles = 0").select("doc_id", "text_hash").distinct().withColumn("often", F.lit(False))
-    keep = materialize(flagged(heads, repeated).unionByName(wordless).select(F.col("doc_id").alias("at"), F.col("text_hash").alias("th"), "often"), "kept-rows")
+    heads = materialize(classes.where("node = component_node").select(F.col("node").alias("row_hash")), "kept-rows")
+    wordless = seen.where("n_shingles = 0").select("row_hash").distinct()
     rows = hashed(boxed(docs))
-    match = F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("text_hash") == F.col("th"))
-    once = rows.join(keep.where("not often"), match, "left_semi").select("row")
-    often = rows.join(keep.where("often"), match, "left_semi").groupBy("doc_id", "text_hash").agg(F.first("row").alias("row")).select("row")
+    once = rows.join(heads.join(repeated, "row_hash", "left_anti").unionByName(wordless).hint("merge"), "row_hash", "left_semi").select("row")
+    often = rows.join(heads.join(repeated, "row_hash", "left_semi"), "row_hash", "left_semi").groupBy("row_hash").agg(F.first("row").alias("row")).select("row")
     return once.unionByName(often).select("row.*")

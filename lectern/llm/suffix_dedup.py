@@ -221,8 +221,11 @@ def marked(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, off, np.cumsum(change[:-1]) > 0
 
 
-def judged(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, text, covered, windows) of ``boxed`` rows: the phrases of a text, and its windows, that are repeated."""
+def judged(rows: DataFrame) -> tuple[DataFrame, str]:
+    """(row, doc_id, text, covered, windows) of ``boxed`` rows: the phrases of a text, and its windows, that are repeated.
+
+    Also the name of the table of parsed texts that they are read from.
+    """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = parse(rows).repartition(parts, F.shiftright("trigger", 16)).sortWithinPartitions("trigger", "phrase", "doc_id")
@@ -234,7 +237,7 @@ def judged(rows: DataFrame) -> DataFrame:
     spread = windows(held.select("doc_id", "text", "alike")).repartition(parts, "window").sortWithinPartitions("window", "doc_id")
     seen = materialize(spread.mapInArrow(read_windows, "doc_id long, window long"), "windows")
     per_doc = seen.groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
-    return held.drop("alike").join(per_doc, "doc_id", "left")
+    return held.drop("alike").join(per_doc, "doc_id", "left"), table
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -250,12 +253,18 @@ def repeats(docs: DataFrame) -> DataFrame:
             digests = [hashlib.sha256(kept[ends[a] : ends[b]]).hexdigest() for a, b in zip(off[:-1], off[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(off)), pa.array(np.diff(sums[off])), pa.array(n_spans, pa.int64()), pa.array(digests)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return judged(texts(docs)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows, table = judged(texts(docs))
+    out = materialize(rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "repeats")
+    docs.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+    return out
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated bytes of each text removed; characters cut in two are replaced. All columns stay."""
-    rows = judged(boxed(docs)).select("row", "text", "covered", "windows")
+    """``docs`` with the repeated bytes of each text removed; characters cut in two are replaced. All columns stay.
+
+    The result reads the table of parsed texts, which stays in the catalog.
+    """
+    rows = judged(boxed(docs))[0].select("row", "text", "covered", "windows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
