@@ -57,7 +57,7 @@ def transition_effects(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_SQL}, d AS (SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE visuals > 0) AS visual, count(*) FILTER (WHERE visuals = 0 AND place > 1 AND place < n_slides) AS text_only, count(*) FILTER (WHERE 1 + bullets + visuals > 5) AS overloaded, count(*) FILTER (WHERE bullets > 7) AS bullets FROM s GROUP BY conv_id)
-SELECT conv_id, visual, text_only, overloaded, bullets, round(0.5 + CASE WHEN visual * 1.0 / n >= 0.4 THEN 0.2 ELSE 0 END + CASE WHEN overloaded < n * 0.1 THEN 0.2 ELSE 0 END + CASE WHEN text_only < n * 0.3 THEN 0.1 ELSE 0 END, 4) AS score, visual * 1.0 / n < 0.3 AS too_few FROM d""")
+SELECT conv_id, visual, text_only, overloaded, bullets, round(0.5 + CASE WHEN visual * 1.0 / n >= 0.4 THEN 0.2 ELSE 0 END + CASE WHEN overloaded < n * 0.1 THEN 0.2 ELSE 0 END + CASE WHEN text_only < n * 0.3 THEN 0.1 ELSE 0 END, 4)::DOUBLE AS score, visual * 1.0 / n < 0.3 AS too_few FROM d""")
 def element_distribution(t: Tables) -> DataFrame:
     """Share of slides with visuals, slides of text alone (other than the first and last), and overloaded ones (over five elements)."""
     total, n = 1 + F.col("bullets") + F.col("visuals"), F.col("n")
@@ -184,7 +184,7 @@ def presentation_validation(t: Tables) -> DataFrame:
     return c.groupBy("conv_id").agg(F.sum("n").alias("violations"), F.sum(F.when(F.col("rule") == "text.density", F.col("n")).otherwise(0)).alias("errors"), first.alias("f")).select("conv_id", "violations", "errors", F.col("f.rule").alias("most_common"))
 
 
-@query(f"""WITH {_SQL}, p AS (SELECT conv_id, duration, lead(effect) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM s) SELECT conv_id, count(*) FILTER (WHERE next IS NOT NULL) AS transitions, round(sum(CASE WHEN next IS NOT NULL THEN duration ELSE 0 END), 4) AS seconds, sum(CASE WHEN next IS NOT NULL THEN duration ELSE 0 END) > 0.1 * count(*) * 10 AS too_long FROM p GROUP BY conv_id""")
+@query(f"""WITH {_SQL}, p AS (SELECT conv_id, duration, lead(effect) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM s) SELECT conv_id, count(*) FILTER (WHERE next IS NOT NULL) AS transitions, round(sum(CASE WHEN next IS NOT NULL THEN duration ELSE 0 END), 4)::DOUBLE AS seconds, sum(CASE WHEN next IS NOT NULL THEN duration ELSE 0 END) > 0.1 * count(*) * 10 AS too_long FROM p GROUP BY conv_id""")
 def transition_time(t: Tables) -> DataFrame:
     """Time that transitions take, against a tenth of the time of the deck (ten seconds a slide here)."""
     p = slides(t).select("conv_id", F.when(F.lead("effect").over(Window.partitionBy("conv_id").orderBy("turn")).isNotNull(), F.col("duration")).alias("d"))

@@ -166,7 +166,7 @@ def scan_verdicts(t: Tables) -> DataFrame:
 
 @query("""
 WITH i AS (SELECT s_suppkey AS source, sha256('doc-' || (s_suppkey * 3)) AS hash FROM supplier), f AS (SELECT doc_id, sha256('doc-' || doc_id) AS hash FROM documents)
-SELECT f.doc_id, count(*) AS matches, min(source) AS first_source, 0.9 AS confidence FROM f JOIN i USING (hash) GROUP BY f.doc_id
+SELECT f.doc_id, count(*) AS matches, min(source) AS first_source, 0.9::DOUBLE AS confidence FROM f JOIN i USING (hash) GROUP BY f.doc_id
 """)
 def threat_intel_matches(t: Tables) -> DataFrame:
     """Files whose hash a list of known threats has: all matches count, the first source names the threat."""
@@ -319,7 +319,7 @@ def linear_pipeline_progress(t: Tables) -> DataFrame:
 
 @query("""
 WITH j AS (SELECT l_orderkey AS job, count(*) AS slides, l_orderkey % 4 AS f, (l_orderkey // 4) % 4 AS q FROM lineitem GROUP BY l_orderkey)
-SELECT job, slides, round((CASE f WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 WHEN 2 THEN 5.0 ELSE 3.0 END + slides * CASE f WHEN 0 THEN 0.2 WHEN 1 THEN 0.3 WHEN 2 THEN 0.5 ELSE 0.4 END) * CASE q WHEN 0 THEN 0.7 WHEN 1 THEN 1.0 WHEN 2 THEN 1.5 ELSE 2.0 END, 4) AS seconds FROM j
+SELECT job, slides, round((CASE f WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 WHEN 2 THEN 5.0 ELSE 3.0 END + slides * CASE f WHEN 0 THEN 0.2 WHEN 1 THEN 0.3 WHEN 2 THEN 0.5 ELSE 0.4 END) * CASE q WHEN 0 THEN 0.7 WHEN 1 THEN 1.0 WHEN 2 THEN 1.5 ELSE 2.0 END, 4)::DOUBLE AS seconds FROM j
 """)
 def export_time_estimates(t: Tables) -> DataFrame:
     """Base seconds and seconds for each slide by format (pptx, pdf, beamer, google), times a factor of the quality."""

@@ -33,7 +33,7 @@ def request_threats(t: Tables) -> DataFrame:
 _SUSPECT = " + ".join(f"CASE WHEN contains(lower(html), '{s}') THEN 1 ELSE 0 END" for s in ["eval(", "exec(", "system(", "shell_exec", "cmd.exe", "powershell", "base64_decode", "gzinflate", "str_rot13", "createobject", "wscript.shell", "microsoft.xmlhttp"])
 
 
-@query(f"SELECT page_id, round(least(1.0, 0.2 * ({_SUSPECT})), 4) AS suspicion FROM pages")
+@query(f"SELECT page_id, round(least(1.0, 0.2 * ({_SUSPECT})), 4)::DOUBLE AS suspicion FROM pages")
 def suspicious_strings(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.round(security.suspicion(F.col("html")), 4).alias("suspicion"))
 

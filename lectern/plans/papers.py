@@ -74,7 +74,7 @@ WITH t AS (SELECT doc_id, lower(text) AS low, text, len({_WORDS}) AS n, len(list
 p AS (SELECT *, (CASE WHEN regexp_matches(low, 'background|problem|important') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(low, 'method|we use|approach') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(low, 'result|we find|show') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(low, 'conclu|implic|suggest') THEN 1 ELSE 0 END) / 4.0 AS share,
   CASE WHEN n BETWEEN 150 AND 250 THEN 100.0 WHEN n BETWEEN 100 AND 300 THEN 80.0 WHEN n BETWEEN 50 AND 400 THEN 60.0 ELSE 40.0 END AS length_score, CASE WHEN s = 0 THEN 0.0 ELSE n * 1.0 / s END AS mean,
   {' + '.join(f"CASE WHEN contains(low, '{w}') THEN 1 ELSE 0 END" for w in ("in order to", "due to the fact that", "it is important to note that", "it should be mentioned that", "it is worth noting that", "the fact that", "in the event that", "for the purpose of"))} AS wordy FROM t)
-SELECT doc_id, round(70 * share + 0.3 * length_score, 4) AS completeness, round(length_score, 4) AS conciseness, round(greatest(50.0, greatest(0.0, least(100.0, CASE WHEN mean < 15 THEN 100 - 3 * (15 - mean) WHEN mean > 25 THEN 100 - 3 * (mean - 25) ELSE 100 END)) - least(30, 5 * wordy)), 4) AS clarity, round(100 * share, 4) AS structure FROM p
+SELECT doc_id, round(70 * share + 0.3 * length_score, 4) AS completeness, round(length_score, 4)::DOUBLE AS conciseness, round(greatest(50.0, greatest(0.0, least(100.0, CASE WHEN mean < 15 THEN 100 - 3 * (15 - mean) WHEN mean > 25 THEN 100 - 3 * (mean - 25) ELSE 100 END)) - least(30, 5 * wordy)), 4) AS clarity, round(100 * share, 4) AS structure FROM p
 """)
 def abstract_scores(t: Tables) -> DataFrame:
     """Every document scored as an abstract: four parts, length, sentences and wordy phrases."""

@@ -31,7 +31,7 @@ def papers(t: Tables) -> DataFrame:
     )
 
 
-@query(f"WITH {_SQL} SELECT id, CASE WHEN id % 4 <> 0 THEN last || ', ' || initial || '. ' END AS authors, CASE WHEN length(title) >= 5 THEN title END AS title, year, CASE WHEN id % 3 = 0 THEN doi END AS doi, CAST(volume AS VARCHAR) AS volume, round(0.3 + CASE WHEN id % 4 <> 0 THEN 0.3 ELSE 0 END + CASE WHEN length(title) >= 5 THEN 0.2 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 0.1 ELSE 0 END + 0.1, 2) AS confidence FROM r")
+@query(f"WITH {_SQL} SELECT id, CASE WHEN id % 4 <> 0 THEN last || ', ' || initial || '. ' END AS authors, CASE WHEN length(title) >= 5 THEN title END AS title, year, CASE WHEN id % 3 = 0 THEN doi END AS doi, CAST(volume AS VARCHAR) AS volume, round(0.3 + CASE WHEN id % 4 <> 0 THEN 0.3 ELSE 0 END + CASE WHEN length(title) >= 5 THEN 0.2 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 0.1 ELSE 0 END + 0.1, 2)::DOUBLE AS confidence FROM r")
 def parsed_references(t: Tables) -> DataFrame:
     """Fields and confidence of reference lines; some lines lack the authors, some the DOI."""
     who = F.when(F.col("id") % 4 != 0, F.concat("last", F.lit(", "), "initial", F.lit(". "))).otherwise("")

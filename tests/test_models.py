@@ -46,7 +46,7 @@ SLIDE = '{"title": "%s", "body": [{"type": "bullets", "items": [%s]}, {"type": "
 
 def test_deck_rules(spark):
     bullets = ",".join('{"text": "%s"}' % ("word " * n) for n in (3, 3, 3, 3, 3, 12))
-    rows = [(1, SLIDE % ("T" * 70, bullets, ', "animations": ["spin"]')), (2, '{"title": "ok", "body": []}'), (3, None), (4, "broken")]
+    rows = [(1, SLIDE % ("T" * 70, bullets, ', "animations": ["spin"]')), (2, '{"title": "Fine", "body": []}'), (3, None), (4, "broken")]
     df = deck.flags(deck.parsed(spark.createDataFrame(rows, "id int, content string")))
     got = {(r["id"], r["rule_id"]) for r in deck.rules().violations(df, ["id"]).collect()}
     assert got == {(1, r) for r in ("text.bullet_count", "text.bullet_length", "text.title_length", "visual.count", "visual.chart", "visual.image", "visual.animations")}

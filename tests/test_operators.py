@@ -65,7 +65,7 @@ def test_lockout_durations_grow(spark):
 
 
 def test_rules_and_overrides(spark):
-    df = scoring.readability(scoring.counted(spark.createDataFrame([(1, "\n".join(["word"] * 6)), (2, "fine text"), (3, "It grew by 40% !! " + "w " * 120)], "id int, text string")))
+    df = scoring.readability(scoring.counted(spark.createDataFrame([(1, "\n".join(["word"] * 6)), (2, "fine text"), (3, "It kind of grew by 40%. " + "w " * 120)], "id int, text string")))
     engine = rules.slide_rules()
     got = {(r["id"], r["rule_id"]) for r in engine.violations(df, ["id"]).collect()}
     assert {(1, "text.bullets"), (3, "text.density"), (3, "tone.informal"), (3, "cite.claim")} <= got and not any(i == 2 for i, _ in got)
