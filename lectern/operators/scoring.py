@@ -73,14 +73,14 @@ def coherence(df: DataFrame, key: str, column: str = "text", separator: str = "\
     """(key, coherence): 0.4 for the share of paragraphs with a linking phrase, 0.6 for the mean share of the document's twenty
     most frequent words (ASCII letters, four or more, repeated; the earlier one on ties) that a paragraph contains; 50 for fewer
     than two paragraphs. Words are counted by partial aggregation, and a document gathers twenty of them."""
-    parts = df.select(key, X.lines(X.text_of(column), separator).alias("parts"))
+    parts = df.select(key, X.lines(F.lower(X.text_of(column)), separator).alias("parts"))
     words = parts.where(F.size("parts") > 1).select(key, F.posexplode(F.split(X.padded(F.array_join("parts", " ")), " ")).alias("at", "w")).where(F.col("w").rlike("^[a-z]{4,}$"))
     counts = words.groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at")).where("n > 1")
     order = Window.partitionBy(key).orderBy(F.desc("n"), "at")
     top = counts.withColumn("r", F.row_number().over(order)).where("r <= 20").groupBy(F.col(key).alias("_key")).agg(F.collect_list("w").alias("top"))
     both = parts.join(top, F.col(key) == F.col("_key"), "left").drop("_key")
-    linked = F.size(F.filter("parts", lambda p: X.any_of([F.lower(p).contains(w) for w in X.TRANSITION_PARTS])))
-    held = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.size(F.filter("top", lambda w: F.lower(p).contains(w))))
+    linked = F.size(F.filter("parts", lambda p: p.rlike("|".join(X.TRANSITION_PARTS))))
+    held = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.size(F.filter("top", lambda w: p.contains(w))))
     topic = F.when(F.col("top").isNull(), 0.0).otherwise(held / F.size("top") / F.size("parts"))
     return both.select(key, F.when(F.size("parts") < 2, 50.0).otherwise(X.clamp(100 * (0.4 * linked / F.size("parts") + 0.6 * topic))).alias("coherence"))
 
