@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, exact_dedup, license_scan, media, minhash, packing, secret_scan, suffix_dedup, token_ids, toxicity
+from lectern.llm import bpe, exact_dedup, hard_negatives, license_scan, media, minhash, packing, pii, secret_scan, spelling, suffix_dedup, token_ids, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_secret_scan, op4_token_ids, op5_bpe, op6_media, op7_suffix_dedup, op8_exact_dedup, op9_packing, op10_license_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_secret_scan, op4_token_ids, op5_bpe, op6_media, op7_suffix_dedup, op8_exact_dedup, op9_packing, op10_license_scan, op11_spelling, op12_hard_negatives, op13_pii)}
 
 
 OP8_SQL = r"""
@@ -108,6 +120,36 @@ x AS (SELECT g.doc_id, count(*) AS n_spans, CAST(sum(e - a) AS BIGINT) AS n_remo
 SELECT b.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM b LEFT JOIN x USING (doc_id)
 """
 
+#: The checksum, byte by byte and bit by bit, of the UTF-8 of letters up to U+00FF, digits, a sign and a colon.
+_BYTES = "flatten(list_transform(string_split(k, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195::BIGINT, ord(c)::BIGINT - 64] END))"
+_BIT = "CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+
+OP11_SQL = f"""
+WITH RECURSIVE bits AS (SELECT b, CAST(b AS BIGINT) AS x, 0 AS i FROM range(256) r(b) UNION ALL SELECT b, {_BIT}, i + 1 FROM bits WHERE i < 8),
+crc AS (SELECT list(x ORDER BY b) AS t FROM bits WHERE i = 8),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS w FROM documents),
+c AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS k, w, count(*) AS n FROM r WHERE length(w) >= 5 GROUP BY doc_id, w),
+h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), lambda s, x: xor(s >> 8, t[CAST(xor(s & 255, x) AS INT) + 1])), 4294967295) AS h FROM c, crc),
+e AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v), k AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM x),
+near AS (SELECT p.word, q.word AS other, q.n AS m FROM k p JOIN k q ON p.a = q.a AND p.b = q.b AND p.word <> q.word UNION SELECT p.word, q.word, q.n FROM k p JOIN v q ON p.a || p.b = q.word UNION SELECT q.word, p.word, p.n FROM k p JOIN v q ON p.a || p.b = q.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * v.n THEN other END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS at FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n FROM f JOIN walk USING (word) JOIN f last ON last.word = walk.at AND last.form IS NULL
+"""
+
+OP12_SQL = """
+WITH e AS (SELECT row_number() OVER () AS no, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.no, a.vec_id AS anchor_id, b.no AS other, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.no <> b.no),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY no ORDER BY score DESC, vec_id NULLS LAST, other) <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.no, p.other ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank
+  FROM p JOIN s ON p.no = s.no AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": OP2_SQL, "op3_secret_scan": OP3_SQL, "op7_suffix_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op2_minhash": OP2_SQL, "op3_secret_scan": OP3_SQL, "op7_suffix_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op11_spelling": OP11_SQL, "op12_hard_negatives": OP12_SQL}
