@@ -1,10 +1,19 @@
-"""Nearest neighbours by exact distance."""
+"""Nearest neighbours: by a scan, and by cells around trained centres."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.relational import settled_rows
+
+#: Rows on which the centres of a cell index are trained, at most.
+TRAIN_ROWS = 10_000
+
 
 def l2(a: Column, b: Column) -> Column:
     squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
@@ -22,3 +31,78 @@ def nearest(df: DataFrame, id_: str, vector: str, probe_id, k: int) -> DataFrame
     probe = df.where(F.col(id_) == F.lit(probe_id)).limit(1).select(F.col(vector).alias("_probe"))
     scored = df.where(F.col(id_) != F.lit(probe_id)).crossJoin(F.broadcast(probe)).withColumn("distance", F.round(l2(F.col(vector), F.col("_probe")), 4))
     return scored.drop("_probe").orderBy("distance", id_).limit(k)
+
+
+class CellIndex:
+    """Vectors by the cell of their nearest centre, for searches that read the cells around a query first.
+
+    Centres are trained on at most ``TRAIN_ROWS`` rows (by the order of a hash of the id); every row is indexed. A cell has a radius,
+    the largest distance of its rows from the centre, so by the triangle inequality no row of a cell is nearer to a query than the
+    centre's distance less the radius: ``search`` without ``probes`` is exact and leaves out cells that are too far.
+    """
+
+    def __init__(self, rows: DataFrame, id_column: str, column: str, cells: int = 64, rounds: int = 8):
+        self.spark = rows.sparkSession
+        named = rows.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x))")
+        sample = np.array([r["v"] for r in named.orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS).select("v").toLocalIterator()])
+        centres = sample[:: max(1, len(sample) // cells)][:cells].copy() if len(sample) else np.zeros((1, 1))
+        for _ in range(rounds if len(sample) else 0):
+            own = squared(sample, centres).argmin(1)
+            for c in np.unique(own):
+                centres[c] = sample[own == c].mean(0)
+        self.centres = centres
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch):
+                    d = squared(np.array(batch.column("v").to_pylist()), centres)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.argmin(1).astype(np.int32)), pa.array(np.sqrt(d.min(1)))], ["id", "v", "cell", "off"])
+
+        # rows of a large cell are dealt to several files by their id
+        placed = named.mapInArrow(assign, "id long, v array<double>, cell int, off double")
+        self.rows = settled_rows(placed.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("cell"))
+        self.radius = {r["cell"]: r["radius"] for r in self.rows.groupBy("cell").agg(F.max("off").alias("radius")).collect()}  # as many as cells
+
+    def near_cells(self, queries: DataFrame) -> DataFrame:
+        """(query, q, cell, nth, least): cells that hold rows, by the distance of their centre, with the least distance of a row in them."""
+        centres, known = self.centres, sorted(self.radius)
+        radius = np.array([self.radius[c] for c in known])
+
+        def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not len(batch) or not known:
+                    continue
+                d = np.sqrt(squared(np.array(batch.column("q").to_pylist()), centres[known]))
+                nth = d.argsort(1).argsort(1)
+                row = pa.array(np.repeat(np.arange(len(d)), len(known)))
+                yield pa.RecordBatch.from_arrays([batch.column("query").take(row), batch.column("q").take(row), pa.array(np.tile(np.array(known, np.int32), len(d))), pa.array(nth.ravel().astype(np.int32)), pa.array((d - radius[None, :]).ravel())], ["query", "q", "cell", "nth", "least"])
+
+        return queries.select("query", F.col("q").cast("array<double>").alias("q")).mapInArrow(order, "query long, q array<double>, cell int, nth int, least double")
+
+    def distances(self, asked: DataFrame) -> DataFrame:
+        """(query, id, distance) of the rows in the asked cells (query, q, cell)."""
+        return asked.select("query", "q", "cell").join(self.rows, "cell").select("query", "id", l2(F.col("q"), F.col("v")).alias("distance"))
+
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, first: int = 4) -> DataFrame:
+        """(query, rank, id, distance): the ``k`` nearest rows of each query (query, q): of the nearest ``probes`` cells, or of all.
+
+        Without ``probes``, ``first`` cells are read; then those that may hold a row nearer than the k-th so far.
+        """
+        cells = settled_rows(self.near_cells(queries))
+        got = self.distances(cells.where(F.col("nth") < (probes or first)))
+        if probes is None:
+            got = settled_rows(best(got, k).drop("rank"))
+            worst = got.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("worst"))
+            more = cells.where(F.col("nth") >= first).join(worst, "query", "left").where(F.col("worst").isNull() | (F.col("least") <= F.col("worst") + 1e-9))
+            got = got.unionByName(self.distances(more))
+        return best(got, k)
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query").orderBy(F.round("distance", 9), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of a from all rows of b."""
+    return np.maximum(0.0, (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None, :])

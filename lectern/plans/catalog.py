@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import decks, documents, events, extended, lookups, metrics, more, papers, references, reports, repository, slides, streams  # noqa: F401  (they register their queries)
+from lectern.plans import decks, documents, events, extended, lookups, metrics, more, papers, references, reports, repository, search, slides, streams  # noqa: F401  (they register their queries)
 from lectern.plans.registry import ORACLES, QUERIES
 
 
