@@ -159,7 +159,9 @@ class BlobLedger:
             self.update(named.where(mine).select("doc_id", "blob", "text"), paths.where(mine).groupBy("blob").agg(F.min("doc_id").alias("at")), rules, version)
         kinds = [r[0] for r in rules]
         hits = self.read().where((F.col("version") == version) & F.col("kind").isin(kinds) & (F.size("found") > 0))
-        per_blob = hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
+        # a blob and kind that two scans brought stand twice, with equal findings
+        once = hits.groupBy("blob", "kind").agg(F.first("found").alias("found"))
+        per_blob = once.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
         answers = paths.groupBy("blob").agg(F.count(F.lit(1)).alias("n_paths")).join(per_blob, "blob", "left")
         out = join_by_key(paths.select("doc_id", "blob"), answers, "blob", "n_paths", paths.count())
         return out.select("doc_id", "blob", F.coalesce("found", F.array().cast(f"array<{FINDING}>")).alias("found"))
@@ -196,18 +198,21 @@ def redact(docs: DataFrame, ledger: BlobLedger | None = None, mark: str = "[SECR
     """``docs`` with every finding replaced by ``mark`` (overlapping ones by one mark); all columns and rows stay.
 
     A column n_chars follows the new text. The findings of a text replace it wherever the text stands, so they are looked up
-    by the text's digest. The text is put together from the byte ranges between the findings, once.
+    by the text's digest. The text's bytes are made once for a row, and what stands between the findings is cut out of them.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
     found = ledger.scan(docs).where(F.size("found") > 0).dropDuplicates(["doc_id", "blob"])
     cuts = cuts_of(found).withColumnsRenamed({"doc_id": "at", "blob": "of"})
     rows = boxed(docs).withColumn("blob", F.unhex(F.sha2("text", 256)))
     both = rows.join(cuts, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("blob") == F.col("of")), "left")
-    data = F.encode("text", "utf-8")
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("cuts", lambda x: x["b"]))
     begins = F.concat(F.transform("cuts", lambda x: x["a"]), F.array(F.octet_length("text").cast("long")))
-    piece = lambda b, a: F.decode(F.substring(data, (b + 1).cast("int"), (a - b).cast("int")), "utf-8")
-    clean = F.array_join(F.zip_with(ends, begins, piece), mark)
+
+    def cut(data: Column) -> Column:
+        return F.array_join(F.zip_with(ends, begins, lambda b, a: F.decode(F.substring(data, (b + 1).cast("int"), (a - b).cast("int")), "utf-8")), mark)
+
+    # as a list of one, the bytes are a variable of the inner function and not an expression that it evaluates for every piece
+    clean = F.transform(F.array(F.encode("text", "utf-8")), cut)[0]
     new = both.select("row", F.when(F.col("cuts").isNotNull(), clean).alias("new"))
     follow = {"text": F.coalesce("new", "row.text"), "n_chars": F.coalesce(F.char_length("new").cast("long"), "row.n_chars") if "n_chars" in docs.columns else None}
     return new.select(*[(follow[c] if c in follow else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -114,6 +115,18 @@ def test_ledger_scans_unseen_pairs_only(spark):
     assert ledger.read().where("version = 2").count() == before
 
 
+def test_scan_and_redaction_are_linear_in_the_findings(spark):
+    took = []
+    for n in (1000, 10_000, 40_000):  # the first one compiles
+        text = " ".join(f"{i * 2654435761:032x}" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        assert rows_of(secret_scan.scan_secrets(df))[0]["n_hex"] == n
+        assert rows_of(secret_scan.redact(df))[0]["text"] == " ".join(["[SECRET]"] * n)
+        took.append(time.time() - began)
+    assert took[2] < 2 * took[1] + 3
+
+
 def test_redaction(spark, docs):
     got = by_id(secret_scan.redact(spark.createDataFrame([(1, "x password=abcdef12 y", 7), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")))
     assert (got[1]["text"], got[1]["n_chars"], got[2]["text"], got[3]["text"]) == ("x [SECRET] y", 12, "clean", None)
