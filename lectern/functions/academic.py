@@ -91,3 +91,11 @@ def equation_complexity(latex: Column) -> Column:
     kinds = [(r"\\frac", 2.0), (r"\\int", 3.0), (r"\\sum", 3.0), (r"\\begin\{[pb]?matrix\}", 4.0), (r"\^|_", 0.5), (r"\\[a-z]+", 0.5)]
     weight = sum((w * F.regexp_count(latex, F.lit(p)) for p, w in kinds), F.lit(0.0))
     return F.least(F.lit(100.0), 100 * X.ratio(weight, F.char_length(latex)))
+
+
+#: The phrases of a section by its kind.
+KEY_PHRASES = {
+    "methods": r"(?i)\b(?:we|the)\s+(?:used|employed|applied|implemented)\s+\w+(?:\s+\w+){0,3}",
+    "results": r"(?i)\b(?:results?|findings?|analysis)\s+(?:show|reveal|indicate|demonstrate)\s+\w+(?:\s+\w+){0,3}",
+    "discussion": r"(?i)\b(?:this|these)\s+(?:results?|findings?)\s+(?:suggest|indicate|imply)\s+\w+(?:\s+\w+){0,3}",
+}

@@ -154,6 +154,23 @@ def settled_rows(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """``df`` with each row's place (from 1) in a total order, by a range sort: no task sees more than its range.
+
+    The rows of each range are counted (as many counts as partitions) and numbered from where the ranges before end.
+    """
+    ranged = settled_rows(df.sort(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).cast("int")
+    sizes = sorted((r["p"], r["n"]) for r in ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    begins, total = [], 0
+    for p, n in sizes:
+        begins.append((p, total))
+        total += n
+    begin = df.sparkSession.createDataFrame(begins, "_p int, _begin long")
+    numbered = ranged.withColumn("_p", part).join(F.broadcast(begin), "_p")
+    return numbered.withColumn(name, F.col("_begin") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_p", "_at", "_begin")
+
+
 def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(child, parent) for all ancestors, with the shortest distance; cycles end as no new pair appears.
 

@@ -22,7 +22,14 @@ CLAIMS = [
     "evidence (shows|indicates|suggests|demonstrates)", "findings (show|indicate|suggest|demonstrate)", "results (show|indicate|suggest|demonstrate)", "analysis (shows|indicates|reveals)",
     r"[0-9]+\s*%", "statistics", "survey", "study", "report", "published", "discovered", "found that", "proven", "demonstrated",
 ]
-CITED = [r"\([A-Z][A-Za-z]+(?: et al\.?)?,? [0-9]{4}\)", r"\[[A-Z][A-Za-z]+(?: et al\.?)?,? [0-9]{4}\]", r"\[[0-9]+\]", r"\([0-9]+\)", "<sup>[0-9]+</sup>", r"\^[0-9]+"]
+CITED = [
+    r"\([A-Z][a-zA-Z]+(?:\s+(?:et\s+al\.?|and|&)\s+[A-Z][a-zA-Z]+)*,?\s+\d{4}\)",
+    r"\[[A-Z][a-zA-Z]+(?:\s+(?:et\s+al\.?|and|&)\s+[A-Z][a-zA-Z]+)*,?\s+\d{4}\]",
+    r"\[\d+\]",
+    r"\(\d+\)",
+    r"<sup>\d+</sup>",
+    r"\^\d+",
+]
 #: Academic transitions, and intensifiers that say little.
 TRANSITIONS = [
     "furthermore", "moreover", "consequently", "therefore", "thus", "hence", "accordingly", "nevertheless", "nonetheless", "however",

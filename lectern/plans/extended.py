@@ -49,29 +49,54 @@ def author_validation(t: Tables) -> DataFrame:
 
 
 @query(r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{4,}')) AS w, list_filter(regexp_split_to_array(lower(substr(text, 1, 400)), '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{4,}')) AS head FROM documents),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{4,}')) AS w, list_filter(regexp_split_to_array(lower(split_part(text, chr(10), 1)), '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{4,}')) AS head FROM documents),
 u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w), f AS (SELECT doc_id, x, count(*) AS n, min(i) AS pos FROM u GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS r FROM f),
 k AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS q FROM o WHERE r <= 50 AND n > 3 AND length(x) > 4 AND regexp_matches(x, '(tion|ment|ness|ity|ism)$')), g AS (SELECT doc_id, list(x) AS keys FROM k WHERE q <= 20 GROUP BY 1)
 SELECT w.doc_id, round(CASE WHEN keys IS NULL THEN 50.0 ELSE 100.0 * len(list_filter(keys, lambda x: list_contains(head, x))) / len(keys) END, 6) AS coverage FROM w LEFT JOIN g USING (doc_id)
 """)
 def keyword_coverage(t: Tables) -> DataFrame:
-    """How many of a document's frequent academic words stand in its first 400 characters, as its abstract; 50 without such words."""
+    """How many of a document's frequent academic words stand in its first paragraph, as its abstract; 50 without such words."""
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z]{4,}$"))
     u = t.documents.select("doc_id", F.posexplode(words(F.col("text"))).alias("i", "x")).groupBy("doc_id", "x").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("pos"))
     by = Window.partitionBy("doc_id")
     top = u.withColumn("r", F.row_number().over(by.orderBy(F.desc("n"), "pos"))).where((F.col("r") <= 50) & (F.col("n") > 3) & (F.char_length("x") > 4) & F.col("x").rlike("(tion|ment|ness|ity|ism)$"))
     keys = top.withColumn("q", F.row_number().over(by.orderBy("r"))).where("q <= 20").groupBy("doc_id").agg(F.collect_list("x").alias("keys"))
-    both = t.documents.select("doc_id", words(F.substring("text", 1, 400)).alias("head")).join(keys, "doc_id", "left")
+    both = t.documents.select("doc_id", words(F.substring_index("text", "\n", 1)).alias("head")).join(keys, "doc_id", "left")
     return both.select("doc_id", F.round(F.when(F.col("keys").isNull(), 50.0).otherwise(100 * F.size(F.array_intersect("keys", "head")) / F.size("keys")), 6).alias("coverage"))
 
 
-@query(r"""
-WITH t AS (SELECT doc_id, lower(text) AS low FROM documents) SELECT doc_id, len(regexp_extract_all(low, '(license|work|copyright) (under|is|notice)( [a-z]+){1,3}')) AS phrases FROM t WHERE regexp_matches(low, '(license|work|copyright) (under|is|notice)( [a-z]+){1,3}')
+#: Small words of four languages, and academic wording that takes their place.
+_ACADEMIC = [(" and ", " We used "), (" of ", " findings show "), (" the ", " this result suggests "), (" la ", " the implemented "), (" de ", " These results imply "), (" der ", " analysis indicate "), (" und ", " the applied ")]
+
+
+def _sql_academic() -> str:
+    out = "coalesce(text, '')"
+    for old, new in _ACADEMIC:
+        out = f"replace({out}, '{old}', '{new}')"
+    return out
+
+
+@query(rf"""
+WITH p AS (SELECT doc_id, ['methods', 'results', 'discussion'][1 + doc_id % 3] AS section, {_sql_academic()} AS t FROM documents),
+m AS (SELECT doc_id, section, CASE section WHEN 'methods' THEN regexp_extract_all(t, '(?i)\b(?:we|the)\s+(?:used|employed|applied|implemented)\s+\w+(?:\s+\w+){{0,3}}')
+  WHEN 'results' THEN regexp_extract_all(t, '(?i)\b(?:results?|findings?|analysis)\s+(?:show|reveal|indicate|demonstrate)\s+\w+(?:\s+\w+){{0,3}}')
+  ELSE regexp_extract_all(t, '(?i)\b(?:this|these)\s+(?:results?|findings?)\s+(?:suggest|indicate|imply)\s+\w+(?:\s+\w+){{0,3}}') END AS m FROM p)
+SELECT doc_id, section, len(m) AS n, array_to_string(m[1:5], '|') AS phrases FROM m WHERE len(m) > 0
 """)
 def key_phrases(t: Tables) -> DataFrame:
-    """Phrases of a pattern: a subject, a verb and up to three words after it."""
-    n = F.regexp_count(F.lower("text"), F.lit("(license|work|copyright) (under|is|notice)( [a-z]+){1,3}")).cast("long")
-    return t.documents.select("doc_id", n.alias("phrases")).where("phrases > 0")
+    """The phrases that a section's kind asks for, all counted and the first five listed; documents take turns as kinds."""
+    from lectern.functions.academic import KEY_PHRASES
+
+    text = F.coalesce("text", F.lit(""))
+    for old, new in _ACADEMIC:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    section = F.array(*[F.lit(k) for k in KEY_PHRASES])[(F.col("doc_id") % len(KEY_PHRASES)).cast("int")]
+    rows = t.documents.select("doc_id", section.alias("section"), text.alias("text"))
+    found = F.lit(None).cast("array<string>")
+    for kind, pattern in KEY_PHRASES.items():
+        found = F.when(F.col("section") == kind, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(found)
+    listed = rows.select("doc_id", "section", found.alias("m")).where(F.size("m") > 0)
+    return listed.select("doc_id", "section", F.size("m").cast("long").alias("n"), F.array_join(F.slice("m", 1, 5), "|").alias("phrases"))
 
 
 @query("""

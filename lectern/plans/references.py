@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import citations as C
+from lectern.operators import relational as R
 from lectern.plans.registry import Tables, query
 
 _SQL = """
@@ -113,12 +114,12 @@ def reference_consistency(t: Tables) -> DataFrame:
     return c.groupBy("doc").agg(F.round(F.max("n") * 100 / F.sum("n"), 4).alias("consistency"))
 
 
-@query(f"""WITH {_SQL} SELECT id, row_number() OVER (ORDER BY lower(last), CASE WHEN id % 5 = 0 THEN 9999 ELSE year END, lower(title), id) AS place FROM r WHERE kind = 'book' ORDER BY place LIMIT 200""")
+@query(f"""WITH {_SQL} SELECT id, row_number() OVER (ORDER BY lower(last), CASE WHEN id % 5 = 0 THEN 9999 ELSE year END, lower(title), id) AS place FROM r""")
 def sorted_reference_list(t: Tables) -> DataFrame:
     """References by last name, year (none last) and title."""
     year = F.when(F.col("id") % 5 == 0, 9999).otherwise(F.col("year"))
-    top = papers(t).where("kind = 'book'").orderBy(F.lower("last"), year, F.lower("title"), "id").limit(200)
-    return top.select("id", F.row_number().over(Window.orderBy(F.lower("last"), year, F.lower("title"), "id")).alias("place"))
+    keys = papers(t).select("id", F.lower("last").alias("name"), year.alias("y"), F.lower("title").alias("title"))
+    return R.placed(keys, [F.col("name"), F.col("y"), F.col("title"), F.col("id")]).select("id", "place")
 
 
 @query(f"""WITH {_SQL}, c AS (SELECT DISTINCT s_suppkey AS cite, 'author' || lower(chr(CAST(65 + s_suppkey % 30 AS INTEGER))) AS text FROM supplier), k AS (SELECT DISTINCT lower(last) AS name FROM r)
@@ -170,14 +171,14 @@ def deduplicated_citations(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT DISTINCT l_partkey % 40 AS work, extract(year FROM l_shipdate) AS year, CASE WHEN l_linenumber = 1 THEN NULL ELSE 1 END AS known FROM lineitem WHERE l_orderkey % 50 = 1) SELECT work, year, row_number() OVER (ORDER BY year, work) AS place, min(year) OVER () AS first, max(year) OVER () AS last FROM w WHERE known IS NOT NULL
+WITH w AS (SELECT DISTINCT l_partkey AS work, extract(year FROM l_shipdate) AS year, CASE WHEN l_linenumber = 1 THEN NULL ELSE 1 END AS known FROM lineitem) SELECT work, year, row_number() OVER (ORDER BY year, work) AS place, min(year) OVER () AS first, max(year) OVER () AS last FROM w WHERE known IS NOT NULL
 """)
 def literature_timeline(t: Tables) -> DataFrame:
     """Works that have a year, in its order, with the first and last year."""
     work = F.when(F.col("l_linenumber") != 1, F.year("l_shipdate")).cast("long")
-    w = t.lineitem.where("l_orderkey % 50 = 1").select((F.col("l_partkey") % 40).alias("work"), work.alias("year")).where("year is not null").distinct()
+    w = t.lineitem.select(F.col("l_partkey").alias("work"), work.alias("year")).where("year is not null").distinct()
     span = w.agg(F.min("year").alias("first"), F.max("year").alias("last"))
-    return w.crossJoin(F.broadcast(span)).select("work", "year", F.row_number().over(Window.orderBy("year", "work")).alias("place"), "first", "last")
+    return R.placed(w, [F.col("year"), F.col("work")]).crossJoin(F.broadcast(span)).select("work", "year", "place", "first", "last")
 
 
 @query("""

@@ -113,7 +113,7 @@ v AS (SELECT doc_id, unnest(list_concat(
  CASE WHEN len(list_filter(['a lot of', 'lots of', 'kind of', 'sort of', 'pretty much', 'really', 'stuff', 'things', 'gonna', 'wanna', 'can''t', 'won''t', 'don''t', 'isn''t', 'aren''t', 'wasn''t', 'weren''t', 'hasn''t', 'haven''t', 'shouldn''t', 'wouldn''t', 'couldn''t', 'didn''t', 'doesn''t', 'let''s', 'that''s', 'what''s', 'here''s', 'there''s', 'where''s', 'how''s', 'who''s', 'it''s', 'you''re', 'they''re', 'we''re',
    'awesome', 'cool', 'guys', 'etc.', 'e.g.', 'i.e.', 'basically', 'obviously', 'actually', 'anyway', 'anyways', 'plus', 'tons of', 'huge', 'tiny', 'big', 'good', 'bad', 'nice', 'okay', 'ok'], lambda p: contains(lower(text), p))) > 0 THEN [['tone.informal', 'warning']] ELSE [] END,
  CASE WHEN regexp_matches(lower(text), '(studies|findings|results) (show|indicate|suggest|demonstrate)|(research|data|evidence) (shows|indicates|suggests|demonstrates)|according to|analysis (shows|indicates|reveals)|[0-9]+\s*%|statistics|survey|study|report|published|discovered|found that|proven|demonstrated')
-   AND NOT regexp_matches(text, '\([A-Z][A-Za-z]+( et al\.?)?,? [0-9]{{4}}\)|\[[A-Z][A-Za-z]+( et al\.?)?,? [0-9]{{4}}\]|\[[0-9]+\]|\([0-9]+\)|<sup>[0-9]+</sup>|\^[0-9]+') THEN [['cite.claim', 'warning']] ELSE [] END,
+   AND NOT regexp_matches(text, '\([A-Z][a-zA-Z]+(\s+(et\s+al\.?|and|&)\s+[A-Z][a-zA-Z]+)*,?\s+[0-9]{{4}}\)|\[[A-Z][a-zA-Z]+(\s+(et\s+al\.?|and|&)\s+[A-Z][a-zA-Z]+)*,?\s+[0-9]{{4}}\]|\[[0-9]+\]|\([0-9]+\)|<sup>[0-9]+</sup>|\^[0-9]+') THEN [['cite.claim', 'warning']] ELSE [] END,
  CASE WHEN nw > 50 AND len(list_filter(words, lambda x: list_contains(['furthermore', 'moreover', 'consequently', 'therefore', 'thus', 'hence', 'accordingly', 'nevertheless', 'nonetheless', 'however', 'conversely', 'alternatively', 'similarly', 'likewise', 'specifically', 'particularly', 'notably', 'significantly', 'importantly', 'additionally'], lower(x)))) = 0 THEN [['tone.transitions', 'info']] ELSE [] END,
  CASE WHEN len(list_filter(words, lambda x: list_contains(['very', 'really', 'quite', 'rather', 'somewhat'], lower(x)))) > 0 THEN [['tone.vague', 'info']] ELSE [] END)) AS x FROM g)
 SELECT x[1] AS rule_id, x[2] AS severity, count(*) AS n, min(doc_id) AS first_doc FROM v GROUP BY 1, 2
