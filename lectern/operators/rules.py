@@ -8,6 +8,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions import text as X
+
 SEVERITIES = ["error", "warning", "info"]
 #: Informal wordings, in lower case, that a formal text does without.
 INFORMAL = [
@@ -75,7 +77,8 @@ class RuleSet:
     def violations(self, df: DataFrame, keys: list[str], name: str = "default") -> DataFrame:
         """One row for each rule that a row of ``df`` breaks: one pass, whatever the number of rules."""
         found = [F.when(r.broken(r.settings), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.message.format(**r.settings)).alias("message"))) for r in self.of(name)]
-        return df.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("v")).select(*keys, "v.*")
+        # an outer explode, as the filter that a plain one puts below itself would judge all rules a second time
+        return df.select(*keys, F.explode_outer(F.array(*found)).alias("v")).where("v IS NOT NULL").select(*keys, "v.*")
 
 
 def summary(violations: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,18 +99,23 @@ def contrast(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column])
 
 
 def informal(low: Column) -> Column:
-    """Whether a text in lower case contains an informal wording: one pattern, one look at the text."""
-    return low.rlike("|".join(w.replace(".", r"\.") for w in INFORMAL))
+    """Whether a text in lower case contains an informal wording: plain searches, which end at the first one that is found."""
+    return X.any_of([F.contains(low, F.lit(w)) for w in INFORMAL])
 
 
 def uncited(text: Column) -> Column:
     """Whether a text makes a claim and has no citation."""
-    return F.lower(text).rlike("|".join(CLAIMS)) & ~text.rlike("|".join(CITED))
+    low, plain = F.lower(text), [c for c in CLAIMS if c.replace(" ", "").isalpha()]
+    # each of the patterns needs one of these, so most texts are not matched at all
+    hint = X.any_of([F.contains(low, F.lit(c)) for c in ("%", "studies", "research", "data", "evidence", "findings", "results", "analysis")])
+    claim = X.any_of([F.contains(low, F.lit(c)) for c in plain]) | (hint & low.rlike("|".join(c for c in CLAIMS if c not in plain)))
+    return claim & ~text.rlike("|".join(CITED))
 
 
 def hits(low: Column, listed: list[str]) -> Column:
     """How many white-space separated words of a text are in the list."""
-    return F.regexp_count(F.concat(F.lit(" "), F.regexp_replace(low, r"\s+", "  "), F.lit(" ")), F.lit(f" (?:{'|'.join(listed)}) "))
+    words = F.concat(F.lit(" "), F.regexp_replace(low, r"\s+", "  "), F.lit(" "))
+    return F.when(X.any_of([F.contains(low, F.lit(w)) for w in listed]), F.regexp_count(words, F.lit(f" (?:{'|'.join(listed)}) "))).otherwise(F.when(low.isNotNull(), 0))
 
 
 def slide_rules() -> RuleSet:
