@@ -17,8 +17,12 @@ HOT_PARTS = 1000
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that all executors share: ``spark.checkpoint.dir``, or the warehouse if none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path below the folder that all executors share: ``spark.checkpoint.dir``, or on one machine the warehouse if none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
