@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from lectern.plans.registry import Tables, query
 
-#: Words of a benchmark item that are asked for, as an array.
-_ASKED = F.slice(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.length(w) >= 5), 1, 4)
 _WORDS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+')"
 
 
@@ -27,7 +25,8 @@ def index_top_documents(t: Tables) -> DataFrame:
     from lectern.operators.textindex import TextIndex
 
     index = TextIndex.build(t.documents, {"text": "text", "lang": "lang"}, "doc_id")
-    words = t.benchmark.select(F.col("item_id").cast("long").alias("query"), F.lit("text").alias("field"), F.explode(_ASKED).alias("term"), F.lit(1.0).alias("weight"))
+    long_words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.length(w) >= 5)
+    words = t.benchmark.select(F.col("item_id").cast("long").alias("query"), F.lit("text").alias("field"), F.explode(F.slice(long_words, 1, 4)).alias("term"), F.lit(1.0).alias("weight"))
     lang = t.benchmark.select(F.col("item_id").cast("long").alias("query"), F.lit("lang").alias("field"), F.lit("en").alias("term"), F.lit(0.25).alias("weight"))
     return index.ranked(words.unionByName(lang), 10)
 
