@@ -76,7 +76,7 @@ class TextIndex:
                         # a row without a term for each document: its id, and its length
                         rows = [("", [])] + list(places.items())
                         for w, at in rows:
-                            for col, x in zip(out, (f"{name}:{w}", no >> BLOCK_BITS, no & (1 << BLOCK_BITS) - 1, doc_id, len(at), len(words), np.diff(at, prepend=0).tolist() if at else []), strict=True):
+                            for col, x in zip(out, (f"{name}:{w}", no >> BLOCK_BITS, no & (1 << BLOCK_BITS) - 1, doc_id, len(at), len(words), [y - x for x, y in zip([0, *at], at, strict=False)]), strict=True):
                                 col.append(x)
                 kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
                 for at in range(0, len(out[0]), 20_000):
