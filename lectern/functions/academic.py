@@ -19,13 +19,6 @@ SECTIONS = [
     ("references", ["references", "bibliography", "works cited"]),
 ]
 WEIGHTS = {"title": 10, "abstract": 15, "introduction": 20, "methodology": 20, "results": 15, "discussion": 10, "conclusion": 5, "references": 5}
-CONTENT = {
-    "introduction": ["in this paper", "we propose", "motivation", "problem"],
-    "methodology": ["we used", "procedure", "participants", "algorithm"],
-    "results": ["we found", "table", "figure", "significant"],
-    "discussion": ["suggests that", "limitation", "implication", "compared to"],
-    "conclusion": ["in conclusion", "future work", "we have shown", "contribution"],
-}
 
 
 def section_type(title: Column) -> Column:
@@ -42,20 +35,6 @@ def missing_sections(types: Column) -> Column:
     return F.array_except(F.array(*[F.lit(n) for n in WEIGHTS if n not in ("title", "abstract")]), types)
 
 
-def imrad(title: Column, content: Column) -> Column:
-    """(type, confidence): 0.4 for a title keyword, 0.3 for each content phrase; share of all scores; first wins on ties."""
-    low_title, low = F.lower(title), F.lower(content)
-    keys = dict(SECTIONS)
-    scores = []
-    for i, (name, phrases) in enumerate(CONTENT.items()):
-        hit = F.when(X.any_of([low_title.contains(k) for k in keys[name]]), 0.4).otherwise(0.0)
-        body = sum((F.when(low.contains(p), 0.3).otherwise(0.0) for p in phrases), F.lit(0.0))
-        scores.append(F.struct((hit + body).alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("type")))
-    every = F.array(*scores)
-    best, total = F.array_max(every), F.aggregate(every, F.lit(0.0), lambda a, x: a + x["score"])
-    return F.struct(F.when(best["score"] > 0, best["type"]).otherwise("unknown").alias("type"), (best["score"] / F.greatest(total, F.lit(1.0))).alias("confidence"))
-
-
 def abstract_scores(abstract: Column) -> Column:
     """Completeness, conciseness, clarity and structure of an abstract."""
     low, n = F.lower(abstract), F.size(X.words(abstract))

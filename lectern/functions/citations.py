@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.text import first_match
+
 #: How citations look, in the order that decides ties.
 STYLES = {
     "numeric": r"\[\d+(?:\s*[-,]\s*\d+)*\]",
@@ -46,6 +48,21 @@ def reference(line: Column) -> Column:
     return F.when((F.char_length(line) >= 20) & (present > 0.3), fields)
 
 
+#: Words that tell a reference's type, in the order that decides.
+REFERENCE_TYPES = [
+    ("journal_article", ["journal", "proceedings", "transactions", "letters", "review", "science", "nature", "cell", "lancet", "ieee", "acm"]),
+    ("conference_paper", ["conference", "symposium", "workshop", "congress", "meeting", "proceedings", "international", "annual", "ieee", "acm"]),
+    ("book", ["press", "publisher", "edition", "isbn"]),
+    ("thesis", ["thesis", "dissertation", "phd", "master"]),
+    ("website", ["http", "www", "website", "retrieved"]),
+]
+
+
+def reference_type(line: Column) -> Column:
+    """The first type of which a reference line holds a word, within words too; else unknown."""
+    return first_match(F.lower(line), REFERENCE_TYPES, "unknown")
+
+
 def bibtex(text: Column) -> Column:
     """Array of (kind, key, fields) of the entries of a BibTeX text; fields are name = {value}, "value" or a number."""
     entries = F.regexp_extract_all(text, F.lit(r"(?s)@(\w+)\s*\{\s*([^,\s]+)\s*,(.*?)\n\s*\}"), F.lit(0))
@@ -89,6 +106,23 @@ def clean_latex(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"[{}]", ""), r"\s+", " "))
 
 
+def plain_latex(text: Column) -> Column:
+    """Running text of a source: comments go, four formatting commands leave what they format, other commands go with their arguments."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"%[^\n]*", "")
+    for command in ("textbf", "textit", "emph", "texttt"):
+        out = F.regexp_replace(out, rf"\\{command}\{{([^}}]+)\}}", "$1")
+    out = F.regexp_replace(out, r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?(?:\{[^}]*\})*", "")
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def latex_language(source: Column) -> Column:
+    """The main language of a source: the last option of babel, else what polyglossia sets, else english."""
+    options = F.split(F.regexp_extract(source, r"\\usepackage\[([^\]]*)\]\{babel\}", 1), ",")
+    babel = F.nullif(F.trim(F.element_at(options, -1)), F.lit(""))
+    other = F.when(source.rlike(r"\\usepackage(?:\[[^\]]*\])?\{[^}]*polyglossia"), F.nullif(F.regexp_extract(source, r"\\setmainlanguage\{([^}]+)\}", 1), F.lit("")))
+    return F.coalesce(babel, other, F.lit("english"))
+
+
 def cited_keys(latex: Column) -> Column:
     """Keys of all cite commands, in order, each once."""
     groups = F.regexp_extract_all(latex, F.lit(r"\\cite[a-zA-Z]*\*?(?:\[[^\]]*\]){0,2}\{([^}]*)\}"), F.lit(1))

@@ -20,6 +20,25 @@ KEY_SECTIONS = {
 #: Sections of the four-part form, and the order that the standard form has.
 IMRAD = ["introduction", "methods", "results", "discussion"]
 
+#: Patterns of titles and of contents that tell a section's class, in the order that decides ties.
+TITLES = {
+    "abstract": [r"\babstract\b", r"\bsummary\b", r"\bexecutive\s+summary\b"],
+    "introduction": [r"\bintroduction\b", r"\bbackground\b", r"\bmotivation\b", r"\boverview\b"],
+    "methods": [r"\bmethods?\b", r"\bmethodology\b", r"\bapproach\b", r"\bexperimental\s+setup\b", r"\bmaterials?\s+and\s+methods?\b", r"\bdata\s+collection\b"],
+    "results": [r"\bresults?\b", r"\bfindings?\b", r"\boutcomes?\b", r"\banalysis\b", r"\bevaluation\b"],
+    "discussion": [r"\bdiscussion\b", r"\binterpretation\b", r"\bimplications?\b", r"\banalysis\s+and\s+discussion\b"],
+    "conclusion": [r"\bconclusions?\b", r"\bsummary\b", r"\bfinal\s+remarks?\b", r"\bclosing\s+thoughts?\b"],
+    "references": [r"\breferences?\b", r"\bbibliography\b", r"\bworks?\s+cited\b", r"\bliterature\s+cited\b"],
+}
+CONTENTS = {
+    "methods": [r"\bwe\s+(used|employed|applied|implemented)\b", r"\bthe\s+(method|approach|technique|algorithm)\b", r"\bdata\s+was\s+collected\b", r"\bexperiments?\s+were\s+conducted\b", r"\bparticipants?\b", r"\bsamples?\b"],
+    "results": [r"\bour\s+results?\s+show\b", r"\bwe\s+found\s+that\b", r"\bthe\s+analysis\s+revealed\b", r"\bfigure\s+\d+\s+shows?\b", r"\btable\s+\d+\s+presents?\b", r"\bstatistically\s+significant\b"],
+    "discussion": [r"\bthese\s+results?\s+suggest\b", r"\bour\s+findings?\s+indicate\b", r"\bthis\s+implies?\b", r"\bin\s+contrast\s+to\s+previous\b", r"\bcompared\s+to\s+other\s+studies\b", r"\blimitations?\b"],
+}
+#: Tenths that a title pattern, and each place of a content pattern, count; what a complete paper has.
+TITLE_TENTHS, CONTENT_TENTHS = 4, 3
+REQUIRED = ["abstract", "introduction", "methods", "results", "discussion"]
+
 HEADING = r"^(#{1,6}\s+\S|\d+(\.\d+)*\.?\s+[A-Z])"
 
 
@@ -98,3 +117,36 @@ def citations(text: Column) -> Column:
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+(?:\s*,\s*\d+)*)\]"), F.lit(1)), lambda c: F.trim(c))
     names = F.transform(F.regexp_extract_all(text, F.lit(r"\(([A-Z][A-Za-z]+(?: et al\.)?,? \d{4})\)"), F.lit(1)), lambda c: F.trim(c))
     return F.array_distinct(F.concat(numbers, names))
+
+
+def section_class(title: Column, content: Column) -> Column:
+    """struct of kind and confidence: the class with most points, of all points (or of one, if they are fewer); without any, abstract and 0."""
+    scores = []
+    for i, (kind, patterns) in enumerate(TITLES.items()):
+        points = sum((F.when(title.rlike(f"(?i){p}"), TITLE_TENTHS).otherwise(0) for p in patterns), F.lit(0))
+        points = sum((CONTENT_TENTHS * F.regexp_count(content, F.lit(f"(?i){p}")) for p in CONTENTS.get(kind, [])), points)
+        scores.append(F.struct(F.coalesce(points, F.lit(0)).alias("points"), F.lit(-i).alias("rank"), F.lit(kind).alias("kind")))
+
+    def told(every: Column) -> Column:
+        best, total = F.array_max(every), F.aggregate(every, F.lit(0), lambda n, x: n + x["points"])
+        return F.struct(best["kind"].alias("kind"), (best["points"] / F.greatest(total, F.lit(10))).alias("confidence"))
+
+    # as a list of one, the scores are a variable and not written out again for the best and for the sum
+    return F.transform(F.array(F.array(*scores)), told)[0]
+
+
+def form(classes: Column) -> Column:
+    """struct of completeness, confidence (both to 100) and missing classes, of an array of ``section_class``."""
+    required = F.array(*map(F.lit, REQUIRED))
+    sure = lambda least: F.transform(F.filter(classes, lambda c: c["confidence"] > least), lambda c: c["kind"])
+    total = F.aggregate(classes, F.lit(0.0), lambda n, c: n + c["confidence"])
+    whole = F.size(F.array_intersect(required, sure(0.5))) / len(REQUIRED) * 100
+    mean = F.when(F.size(classes) > 0, total / F.size(classes) * 100).otherwise(0.0)
+    return F.struct(whole.alias("completeness"), mean.alias("confidence"), F.array_except(required, sure(0.3)).alias("missing"))
+
+
+def analysis_confidence(elements: Column, sections_: Column, texts: Column, headings: Column, references: Column) -> Column:
+    """How far an analysis of a document with so many elements of each kind can be trusted, from 0.5 to 1."""
+    add = lambda c, hundredths: F.when(c, hundredths).otherwise(0)
+    total = 50 + F.when(elements > 50, 20).when(elements > 20, 10).otherwise(0) + add(sections_ > 3, 15) + add(headings > 0, 10) + add(references > 0, 5) + add(texts > 10, 10)
+    return F.least(total, F.lit(100)) / 100

@@ -6,7 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What is removed from plain text, in this order.
-TEXT_REMOVALS = [r"(?is)<script[^>]*>.*?</script>", r"(?i)javascript:", r"(?i)vbscript:", r"(?i)data:text/html", r"(?i)\son\w+\s*=", r"(?is)<iframe[^>]*>.*?</iframe>", r"(?is)<object[^>]*>.*?</object>", r"(?is)<embed[^>]*>"]
+TEXT_REMOVALS = [
+    r"<script[^>]*>.*?</script>", r"javascript:[^\"']*", r"vbscript:[^\"']*", r"data:[^\"']*",
+    r"<form[^>]*>.*?</form>", r"<input[^>]*>", r"<button[^>]*>.*?</button>",
+    r"<object[^>]*>.*?</object>", r"<embed[^>]*>.*?</embed>", r"<applet[^>]*>.*?</applet>", r"<iframe[^>]*>.*?</iframe>",
+    r"\.exe[\"'\s]", r"\.bat[\"'\s]", r"\.cmd[\"'\s]", r"\.com[\"'\s]", r"\.scr[\"'\s]",
+]
 
 
 def plain_text(html: Column) -> Column:
@@ -16,9 +21,22 @@ def plain_text(html: Column) -> Column:
 
 
 def safe_text(text: Column, strict: bool = False) -> Column:
-    out = F.replace(text, F.lit("\x00"), F.lit(""))
+    """Text without dangerous parts and null characters, and with at most two line ends, one blank and one tab in a row.
+
+    ``strict`` also removes what can't be printed: all control and format characters and separators but blanks, tabs and line ends.
+    """
+    out = text
     for pattern in TEXT_REMOVALS:
-        out = F.regexp_replace(out, pattern, "")
-    if strict:
-        out = F.regexp_replace(out, r"[\x01-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    return F.trim(F.regexp_replace(out, "[ \t]+", " "))
+        out = F.regexp_replace(out, f"(?is){pattern}", "")
+    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), " {2,}", " "), r"\t+", "\t")
+    out = F.replace(out, F.lit("\x00"), F.lit(""))
+    return F.regexp_replace(out, r"[\p{C}\p{Z}&&[^ \n\t\r]]", "") if strict else out
+
+
+def removed_kinds(text: Column) -> Column:
+    """Numbers (from 0) of the removals that find something when their turn comes."""
+    found, out = [], text
+    for i, pattern in enumerate(TEXT_REMOVALS):
+        found.append(F.when(out.rlike(f"(?is){pattern}"), i))
+        out = F.regexp_replace(out, f"(?is){pattern}", "")
+    return F.array_compact(F.array(*found))

@@ -32,6 +32,22 @@ def threat_class(name: Column) -> Column:
     return first_match(F.lower(name), THREATS, "unknown")
 
 
+#: What is done about a threat, by its severity and its type; all are logged.
+BY_SEVERITY = {"critical": ["quarantine", "block", "notify_admin", "alert"], "high": ["quarantine", "alert", "notify_admin"], "medium": ["alert"]}
+BY_TYPE = {"ransomware": ["isolate_user", "scan_system"], "rootkit": ["scan_system"]}
+
+
+def responses(severity: Column, kind: Column) -> Column:
+    """Actions for a threat, each once, by name."""
+    found = [F.array(F.lit("log"))]
+    for column, table in ((severity, BY_SEVERITY), (kind, BY_TYPE)):
+        picked = F
+        for value, actions in table.items():
+            picked = picked.when(column == value, F.array(*map(F.lit, actions)))
+        found.append(picked.otherwise(F.array().cast("array<string>")))
+    return F.array_sort(F.array_distinct(F.concat(*found)))
+
+
 def error_class(message: Column) -> Column:
     return first_match(F.lower(message), ERRORS, "other")
 

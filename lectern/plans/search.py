@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.plans.registry import Tables, query
@@ -78,12 +78,12 @@ def _sql_source() -> str:
     return out
 
 
-def latex_sources(t: Tables) -> DataFrame:
-    """Documents as LaTeX sources."""
+def latex_sources(t: Tables, *more: Column) -> DataFrame:
+    """Documents as LaTeX sources, and further columns of theirs."""
     text = F.col("text")
     for old, new in _MARKUP:
         text = F.replace(text, F.lit(old), F.lit(new))
-    return t.documents.select("doc_id", text.alias("source"))
+    return t.documents.select("doc_id", text.alias("source"), *more)
 
 
 @query(rf"""
