@@ -304,6 +304,83 @@ def test_license_with_words_left_out(spark):
     assert (got[1]["labels"], got[1]["base_labels"], got[2]["labels"]) == ("mit", "", "") and got[1]["score"] > 0.6 > got[2]["score"]
 
 
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def best_chain(spots, k):
+    """The definition, by trying every earlier hit: (words covered, first, -last)."""
+    spots = sorted(set(spots))
+    ends = []
+    for i, (pos, tpos) in enumerate(spots):
+        chains = [(n + min(k, tpos - spots[j][1]), first) for j, (n, first) in enumerate(ends[:i]) if spots[j][0] < pos and spots[j][1] < tpos]
+        ends.append(max([*chains, (k, pos)]))
+    return max(((n, first, -(pos + k - 1)) for (n, first), (pos, _) in zip(ends, spots, strict=True)), default=(0, 0, 0))
+
+
+def plain_licenses(text):
+    """All verified spans (first, last, label) of a text, in plain Python."""
+    w, k, out = words_of(text), license_scan.K, set()
+    for phrase, label in license_scan.BASE:
+        p = phrase.split()
+        out |= {(i, i + len(p) - 1, label) for i in range(len(w)) if w[i : i + len(p)] == p}
+    for phrase, label in license_scan.TEMPLATES + license_scan.WHOLE:
+        p = phrase.split()
+        n = len(p) - k + 1
+        spots = [(i, j) for i in range(len(w) - k + 1) for j in range(n) if w[i : i + k] == p[j : j + k]]
+        found = []
+        for begin in range(-2, len(w) // len(p) + 1):  # windows of three template lengths
+            groups = {}
+            for i, j in spots:
+                if begin <= i // len(p) <= begin + 2:
+                    groups.setdefault(i - j, []).append((i, j))
+            merged, last = [], None
+            for d in sorted(groups):
+                if last is None or d - last > max(license_scan.NEAR, n // license_scan.NEAR_PART):
+                    merged.append([])
+                merged[-1] += groups[d]
+                last = d
+            for m in merged:
+                covered, first, end = best_chain(m, k)
+                if len({j for _, j in m}) / n >= license_scan.ENOUGH and covered / len(p) >= license_scan.ENOUGH:
+                    found.append((first, -end))
+        for first, end in sorted(found):
+            if held := [x for x in out if x[2:] == (label, phrase) and x[1] >= first]:
+                out -= set(held)
+                first, end = min(first, *(x[0] for x in held)), max(end, *(x[1] for x in held))
+            out.add((first, end, label, phrase))
+    return sorted({x[:3] for x in out})
+
+
+def license_texts():
+    rng = random.Random(13)
+    every = [p for p, _ in license_scan.BASE + license_scan.TEMPLATES + license_scan.WHOLE]
+    out = [None, "", "mit", *every, " ".join(every), " x ".join(every[3:9]).upper()]
+    for _ in range(60):
+        parts = []
+        for phrase in rng.sample(every, rng.randint(1, 3)):
+            w = [x for x in phrase.split() if rng.random() > rng.choice([0, 0.05, 0.2])]
+            for _ in range(rng.choice([0, 1, 3])):
+                at = rng.randint(0, len(w))
+                w[at:at] = ["word"] * rng.choice([1, 3, 6, 30])
+            parts += w if rng.random() < 0.8 else w + w[: len(w) // 2]
+            parts += ["filler"] * rng.randint(0, 12)
+        out.append(" ".join(parts))
+    return out
+
+
+def test_license_labels_and_spans(spark):
+    made = list(enumerate(license_texts()))
+    got = by_id(license_scan.scan_licenses(spark.createDataFrame(made, "doc_id long, text string")))
+    several = 0
+    for i, t in made:
+        want = plain_licenses(t)
+        assert got[i]["spans"] == ",".join(f"{label}:{a}:{b}" for a, b, label in want)
+        assert got[i]["labels"] == ",".join(sorted({label for _, _, label in want}))
+        several += len(want) > 1
+    assert several > 20 and "isc" in got[made[-1][0] - 61]["labels"]
+
+
 def test_segments_are_maximal():
     rng = random.Random(1)
     for _ in range(200):
