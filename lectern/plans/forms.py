@@ -34,7 +34,8 @@ def _classes(t: Tables) -> DataFrame:
 @query(f"WITH {_SQL_CLASSES} SELECT doc_id, no, kind, round(confidence, 9) AS confidence FROM c")
 def section_classes(t: Tables) -> DataFrame:
     """The class of every section by patterns in its title and contents, and how sure it is."""
-    each = _classes(t).select("doc_id", F.posexplode("c").alias("at", "c"))
+    # an outer explode, as the filter that a plain one puts below itself would find all classes a second time
+    each = _classes(t).select("doc_id", F.posexplode_outer("c").alias("at", "c")).where("c IS NOT NULL")
     return each.select("doc_id", (F.col("at") + 1).cast("long").alias("no"), "c.kind", F.round("c.confidence", 9).alias("confidence"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import rules, scoring, slides
+from lectern.operators.matching import best_overlap
 from lectern.plans.documents import _STOP, _listed
 from lectern.plans.registry import Tables, query
 
@@ -141,12 +142,10 @@ WITH t AS (SELECT d.doc_id, {_TOK} AS a FROM documents d), b AS (SELECT item_id,
 SELECT item_id, doc_id, overlap FROM (SELECT item_id, doc_id, round(len(list_intersect(a, b)) * 1.0 / len(b), 4) AS overlap, row_number() OVER (PARTITION BY item_id ORDER BY len(list_intersect(a, b)) DESC, doc_id) AS n FROM t, b) WHERE n = 1
 """)
 def best_matching_document(t: Tables) -> DataFrame:
-    """The document that shares most distinct tokens with each benchmark item: an inverted-index join, no pairs without a hit."""
-    items = t.benchmark.select("item_id", F.array_distinct(X.tokens(X.text_of("text"))).alias("b")).select("item_id", F.size("b").alias("k"), F.explode("b").alias("term"))
-    docs = t.documents.select("doc_id", F.explode(F.array_distinct(X.tokens(X.text_of("text")))).alias("term"))
-    shared = docs.join(items, "term").groupBy("item_id", "k", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    best = shared.groupBy("item_id", "k").agg(F.max(F.struct("n", (-F.col("doc_id")).alias("d"))).alias("best"))
-    return best.select("item_id", (-F.col("best.d")).alias("doc_id"), F.round(F.col("best.n") / F.col("k"), 4).alias("overlap"))
+    """The document that shares most distinct tokens with each benchmark item; frequent tokens are not joined."""
+    terms = X.tokens(X.text_of("text")).alias("terms")
+    best = best_overlap(t.benchmark.select(F.col("item_id").alias("item"), terms), t.documents.select(F.col("doc_id").alias("id"), terms))
+    return best.select(F.col("item").alias("item_id"), F.col("id").alias("doc_id"), F.round(F.col("n") / F.col("k"), 4).alias("overlap"))
 
 
 @query("""

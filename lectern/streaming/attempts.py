@@ -1,7 +1,7 @@
 """Failed attempts by account, in event-time order, with timers: state that is put in order, judged and dropped.
 
-Rows of a batch come in any order. Each waits in the state until the watermark has passed it: a timer at its time then judges it,
-after all that happened before, so no batch of an account is put into one frame. A second timer, RESET after the last failure,
+Rows of a batch come in any order. Each waits in the state until the watermark has passed it: a timer at the earliest one then
+judges all that the watermark has passed, in order, so the rows that wait are read once for each step of the watermark. A second timer, RESET after the last failure,
 drops the account's counters; accounts that are quiet hold no state.
 """
 
@@ -40,12 +40,16 @@ class Attempts(StatefulProcessor):
             for us, n in frame["ts"].map(micros).value_counts().items():
                 before = self.waiting.getValue((int(us),)) if self.waiting.containsKey((int(us),)) else (0,)
                 self.waiting.updateValue((int(us),), (before[0] + int(n),))
-                self.handle.registerTimer(int(us) // 1000 + 1)
+            if len(frame):
+                self.handle.registerTimer(int(frame["ts"].map(micros).min()) // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        due = sorted((k[0], v[0]) for k, v in self.waiting.iterator() if k[0] < upto)
+        upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        waiting = sorted((k[0], v[0]) for k, v in self.waiting.iterator())
+        due = [x for x in waiting if x[0] < upto]
+        if len(due) < len(waiting):
+            self.handle.registerTimer(waiting[len(due)][0] // 1000 + 1)
         last, attempts = self.counted.get() if self.counted.exists() else (0, 0)
         alerts = []
         for us, n in due:

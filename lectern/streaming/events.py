@@ -32,10 +32,16 @@ def first_seen(events: DataFrame, keys: list[str], lateness: str = LATENESS) ->
     return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(keys)
 
 
-def token_bucket(events: DataFrame, key: str, limit: int, width: int) -> DataFrame:
-    """(event_id, key, allowed): a bucket of ``limit`` tokens for each key, kept in state between batches."""
+def token_bucket(events: DataFrame, key: str, limit: int, width: int, lateness: str = LATENESS) -> DataFrame:
+    """(event_id, key, allowed): a bucket of ``limit`` tokens for each key, kept in state between batches.
+
+    A bucket is full again ``width`` seconds after its last request, as a new one is: the watermark then drops its state.
+    """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         level, last = state.get if state.exists else (float(limit), None)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         allowed = []
@@ -44,10 +50,11 @@ def token_bucket(events: DataFrame, key: str, limit: int, width: int) -> DataFra
             allowed.append(level >= 1)
             level, last = (level - 1 if level >= 1 else level), at
         state.update((float(level), float(last)))
+        state.setTimeoutTimestamp(max(int((last + width) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"event_id": rows["event_id"], key: k[0], "allowed": allowed})
 
-    kept = events.select("event_id", "ts", key)
-    return kept.groupBy(key).applyInPandasWithState(step, f"event_id long, {key} long, allowed boolean", "level double, last double", "append", GroupStateTimeout.NoTimeout)
+    kept = events.select("event_id", "ts", key).withWatermark("ts", lateness)
+    return kept.groupBy(key).applyInPandasWithState(step, f"event_id long, {key} long, allowed boolean", "level double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def alerts(events: DataFrame, kinds: list[str], least: float) -> DataFrame:
