@@ -114,7 +114,8 @@ _SQL_STEPS = "s0 AS (SELECT page_id, html AS h, '' AS found FROM pages)" + "".jo
 SELECT page_id, found, length(x) AS n_chars, md5(x) AS digest FROM f""")
 def filtered_texts(t: Tables) -> DataFrame:
     """Pages as plain texts without dangerous parts, and which of the removals found something."""
-    p = t.pages.select("page_id", F.array_join(sanitize.removed_kinds(F.col("html")).cast("array<string>"), ",").alias("found"), sanitize.safe_text(F.col("html")).alias("x"))
+    p = t.pages.select("page_id", sanitize.filtered(F.col("html")).alias("f"))
+    p = p.select("page_id", F.array_join(F.col("f.found").cast("array<string>"), ",").alias("found"), sanitize.tidy(F.col("f.text")).alias("x"))
     return p.select("page_id", "found", F.char_length("x").cast("long").alias("n_chars"), F.md5("x").alias("digest"))
 
 

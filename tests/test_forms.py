@@ -75,12 +75,12 @@ def test_safe_texts(spark):
     texts = ["", None] + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(150)]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
     t = F.col("t")
-    for r in df.select("id", sanitize.safe_text(t).alias("a"), sanitize.safe_text(t, strict=True).alias("b"), sanitize.removed_kinds(t).alias("k")).collect():
+    for r in df.select("id", sanitize.safe_text(t).alias("a"), sanitize.safe_text(t, strict=True).alias("b"), sanitize.filtered(t)["found"].alias("k"), sanitize.tidy(sanitize.filtered(t)["text"]).alias("c")).collect():
         if texts[r["id"]] is None:
             assert r["a"] is None and r["b"] is None and r["k"] == []
         else:
             found, plain = plain_safe(texts[r["id"]], False)
-            assert (r["k"], r["a"], r["b"]) == (found, plain, plain_safe(texts[r["id"]], True)[1])
+            assert (r["k"], r["a"], r["b"]) == (found, plain, plain_safe(texts[r["id"]], True)[1]) and r["c"] == plain
 
 
 def test_reference_types(spark):
