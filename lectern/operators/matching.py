@@ -15,6 +15,8 @@ from lectern.sources.files import scratch
 
 #: Rarest terms of an item that look for the first document.
 PROBES = 4
+#: Terms of all items up to which they are broadcast; beyond it, the terms of documents are dealt anew.
+SMALL = 200_000
 
 
 def best_overlap(items: DataFrame, docs: DataFrame) -> DataFrame:
@@ -41,8 +43,10 @@ def best_overlap(items: DataFrame, docs: DataFrame) -> DataFrame:
     ranked = asked.join(frequency, "term").select("item", "term", "df", F.row_number().over(by.orderBy("df", "term")).alias("place"), F.count(F.lit(1)).over(by).alias("found"))
     ranked = kept(ranked, "matching-ranks")
 
+    small = ranked.count() <= SMALL
+
     def hits(terms: DataFrame) -> DataFrame:
-        return words.join(terms, "term").groupBy("item", "id").agg(F.count(F.lit(1)).alias("votes"))
+        return words.join(F.broadcast(terms) if small else terms, "term").groupBy("item", "id").agg(F.count(F.lit(1)).alias("votes"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         sets = items.select("item", F.array_compact(F.array_distinct("terms")).alias("asked"))

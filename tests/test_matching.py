@@ -5,7 +5,9 @@ import random
 from datetime import datetime, timedelta
 
 import pandas as pd
+import pytest
 
+from lectern.operators import matching
 from lectern.operators.matching import best_overlap
 from lectern.streaming import events as E
 
@@ -20,7 +22,9 @@ def best(items, docs):
     return sorted(out)
 
 
-def test_best_overlap(spark):
+@pytest.mark.parametrize("small", [0, matching.SMALL])
+def test_best_overlap(spark, monkeypatch, small):
+    monkeypatch.setattr(matching, "SMALL", small)
     rng = random.Random(2)
     common, rare = [f"c{i}" for i in range(6)], [f"r{i}" for i in range(200)]
     some = lambda n: [rng.choice(common if rng.random() < 0.7 else rare) for _ in range(n)]
