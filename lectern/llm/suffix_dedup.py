@@ -15,8 +15,11 @@ a trigger, and a side of it, with a different phrase can still share windows; on
 sorted by (window hash, doc_id), and read the same way. So repetitive text costs one row a phrase, and text that
 nothing else shares never gets beyond the first sort.
 
-Hashes have 64 bits. The sorted runs are read as streams, so a run may be of any length: a trigger or phrase that a
-third of all documents holds is no group in memory, and has one row for each document at most.
+Hashes have 64 bits. The sorted runs are read as streams, so a run may be of any length and is no group in memory. A trigger,
+phrase or window that outweighs a task, as a header that a third of all documents hold, is dealt to several: a phrase or window
+by document, a trigger's other phrases by phrase. Each task then knows only the first document of its own share, so these few
+rows are marked, the smallest of a key is found among them, and it decides about the others. Which keys outweigh a task is told
+by a random part of the texts, as a range sort tells its bounds: this decides where rows go, never what becomes of them.
 
 Defined cases: texts shorter than SPAN bytes and null texts (empty) lose nothing; very long texts are parsed whole; of texts
 that tie, as equal ones, the smallest doc_id keeps its bytes; rows with a null doc_id lose nothing and cover nothing; rows
@@ -29,11 +32,12 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import boxed, materialize, slices, texts
@@ -43,6 +47,8 @@ from lectern.llm.textops import mix, powers, prefix_sums, runs, span_hash, views
 SPAN, GRAM = 50, 20
 #: Rows of one trigger that are held at a time to see which of its phrases are alike; beyond it all count as alike.
 MOST_HELD = 1 << 20
+#: Part of the texts that tells which keys are hot; the part of a task's rows beyond which a key is, and the least rows of it.
+SAMPLE, HOT, LEAST_ROWS = 1 / 64, 0.25, 64
 _LOW = np.uint64(0xFFFF)
 
 
@@ -179,21 +185,71 @@ def windows(table: DataFrame) -> DataFrame:
     return table.where(F.size("alike") > 0).select("doc_id", "text", "alike").mapInArrow(run, "window long, doc_id long")
 
 
+Place = tuple[tuple[int, ...], int] | None  # the keys of the latest run and its first document
+
+
+def first_docs(keys: list[np.ndarray], doc: np.ndarray, last: Place) -> tuple[np.ndarray, Place]:
+    """The document of the first row in each row's run (rows of equal keys), and what the next batch has to know."""
+    new = np.ones(len(doc), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    least = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))].copy()
+    if last and last[0] == tuple(int(k[0]) for k in keys):
+        least[: int(np.flatnonzero(np.append(new[1:], True))[0]) + 1] = last[1]
+    return least, (tuple(int(k[-1]) for k in keys), int(least[-1]))
+
+
+def columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+
+
 def read_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, window) of windows that a smaller document has, from rows sorted by window and doc_id."""
-    last: tuple[int, int] | None = None  # the latest window and its smallest document
+    last: Place = None
     for batch in batches:
-        w, d = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("window", "doc_id"))
-        if not len(w):
-            continue
-        new = np.ones(len(w), bool)
-        new[1:] = w[1:] != w[:-1]
-        least = d[np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))].copy()
-        if last and w[0] == last[0]:
-            least[: int(np.flatnonzero(np.append(new[1:], True))[0]) + 1] = last[1]
-        last = (int(w[-1]), int(least[-1]))
-        keep = d > least
-        yield pa.RecordBatch.from_arrays([pa.array(d[keep], pa.int64()), pa.array(w[keep], pa.int64())], ["doc_id", "window"])
+        if batch.num_rows:
+            w, d = columns(batch, "window", "doc_id")
+            least, last = first_docs([w], d, last)
+            yield pa.RecordBatch.from_arrays([pa.array(d[d > least]), pa.array(w[d > least])], ["doc_id", "window"])
+
+
+def read_dealt_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, window, lead) from rows sorted by window, salt and doc_id: also the first rows of hot windows, as leads."""
+    last: Place = None
+    for batch in batches:
+        if batch.num_rows:
+            w, salt, d = columns(batch, "window", "salt", "doc_id")
+            least, last = first_docs([w, salt], d, last)
+            lead = (d == least) & (salt > 0)
+            keep = lead | (d > least)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (d, w, lead)], ["doc_id", "window", "lead"])
+
+
+def read_dealt_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, phrase, covered, lead) from rows sorted by salt, trigger, phrase and doc_id.
+
+    Rows without a salt are whole triggers, and come first. Of the others, all phrases count as alike; the first rows of hot ones
+    are leads.
+    """
+    rest: list[pa.RecordBatch] = []
+
+    def whole() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = int(np.searchsorted(columns(batch, "salt")[0], 0, "right"))
+            if n:
+                yield batch.slice(0, n)
+            if n < batch.num_rows:
+                rest.append(batch.slice(n))
+                return
+
+    for out in read_runs(whole()):
+        yield out.append_column("lead", pa.array(np.zeros(out.num_rows, bool)))
+    last: Place = None
+    for batch in chain(rest, batches):
+        if batch.num_rows:
+            salt, trigger, phrase, doc, hot = columns(batch, "salt", "trigger", "phrase", "doc_id", "hot")
+            least, last = first_docs([salt, trigger, phrase], doc, last)
+            arrays = doc, phrase, doc > least, (doc == least) & hot.astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["doc_id", "phrase", "covered", "lead"])
 
 
 def member(values: np.ndarray, doc: np.ndarray, lists: pa.Array) -> np.ndarray:
@@ -221,6 +277,54 @@ def marked(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, off, np.cumsum(change[:-1]) > 0
 
 
+def top_of(trigger: Column) -> Column:
+    return F.shiftright(trigger, 16)
+
+
+def hot_keys(sample: DataFrame, key: str, parts: int) -> DataFrame | None:
+    """(key, salts) of the keys that outweigh a task: how many tasks share its rows. There are at most parts / HOT of them."""
+    most = max(sample.count() * HOT / parts, LEAST_ROWS)
+    found = [(r[key], int(r["n"] / most) + 1) for r in sample.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).collect()]
+    return sample.sparkSession.createDataFrame(found, f"{key} long, salts int") if found else None
+
+
+def led(found: DataFrame, key: str, so_far: Column) -> DataFrame:
+    """``found`` with ``covered``: so far, or a lead whose key has a smaller lead. Leads are fewer than two for each salt of a key."""
+    first = found.where("lead").groupBy(key).agg(F.min("doc_id").alias("first"))
+    covered = so_far | (F.col("lead") & (F.col("doc_id") > F.col("first")))
+    return found.join(F.broadcast(first), key, "left").withColumn("covered", F.coalesce(covered, F.lit(False))).drop("lead", "first")
+
+
+def known_phrases(rows: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, phrase, covered) of the phrases that are covered whole or have to be compared window by window."""
+    sample = materialize(parse(rows.sample(SAMPLE, 7)), "sampled-phrases").withColumn("top", top_of(F.col("trigger")))
+    tops = hot_keys(sample, "top", parts)
+    every, order = parse(rows), ["trigger", "phrase", "doc_id"]
+    if tops is None:
+        dealt = every.repartition(parts, top_of(F.col("trigger"))).sortWithinPartitions(*order)
+        return materialize(dealt.mapInArrow(read_runs, "doc_id long, phrase long, covered boolean"), "phrases")
+    hot = hot_keys(sample, "phrase", parts)
+    every = every.withColumn("top", top_of(F.col("trigger"))).join(F.broadcast(tops), "top", "left")
+    every = every.withColumn("shares", F.lit(None).cast("int")) if hot is None else every.join(F.broadcast(hot.withColumnRenamed("salts", "shares")), "phrase", "left")
+    salt = F.when(F.col("salts").isNull(), 0).when(F.col("shares").isNull(), 1 + F.pmod(F.xxhash64("phrase"), "salts")).otherwise(1 + F.pmod(F.xxhash64("doc_id"), "shares"))
+    every = every.select(*order, "top", salt.cast("int").alias("salt"), (F.col("salts").isNotNull() & F.col("shares").isNotNull()).alias("hot"))
+    dealt = every.repartition(parts, "top", "salt").select("salt", "hot", *order).sortWithinPartitions("salt", *order)
+    return led(materialize(dealt.mapInArrow(read_dealt_runs, "doc_id long, phrase long, covered boolean, lead boolean"), "phrases"), "phrase", F.col("covered"))
+
+
+def known_windows(held: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, window) of the windows that a smaller document has."""
+    hot = hot_keys(materialize(windows(held.sample(SAMPLE, 7)), "sampled-windows"), "window", parts)
+    spread = windows(held)
+    if hot is None:
+        dealt = spread.repartition(parts, "window").sortWithinPartitions("window", "doc_id")
+        return materialize(dealt.mapInArrow(read_windows, "doc_id long, window long"), "windows")
+    salt = F.coalesce(1 + F.pmod(F.xxhash64("doc_id"), "salts"), F.lit(0)).cast("int")
+    spread = spread.join(F.broadcast(hot), "window", "left").select("window", salt.alias("salt"), "doc_id")
+    dealt = spread.repartition(parts, "window", "salt").sortWithinPartitions("window", "salt", "doc_id")
+    return led(materialize(dealt.mapInArrow(read_dealt_windows, "doc_id long, window long, lead boolean"), "windows"), "window", ~F.col("lead")).where("covered").drop("covered")
+
+
 def judged(rows: DataFrame) -> tuple[DataFrame, str]:
     """(row, doc_id, text, covered, windows) of ``boxed`` rows: the phrases of a text, and its windows, that are repeated.
 
@@ -228,14 +332,12 @@ def judged(rows: DataFrame) -> tuple[DataFrame, str]:
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = parse(rows).repartition(parts, F.shiftright("trigger", 16)).sortWithinPartitions("trigger", "phrase", "doc_id")
-    found = materialize(sorted_.mapInArrow(read_runs, "doc_id long, phrase long, covered boolean"), "phrases")
+    found = known_phrases(rows, parts)
     listed = found.groupBy("doc_id").agg(F.collect_list(F.when(F.col("covered"), F.col("phrase"))).alias("covered"), F.collect_list(F.when(~F.col("covered"), F.col("phrase"))).alias("alike"))
     table = f"parsed_texts_{uuid.uuid4().hex}"
     rows.join(listed, "doc_id", "left").write.format("parquet").option("compression", "zstd").bucketBy(parts, "doc_id").sortBy("doc_id").saveAsTable(table)
     held = spark.table(table)
-    spread = windows(held.select("doc_id", "text", "alike")).repartition(parts, "window").sortWithinPartitions("window", "doc_id")
-    seen = materialize(spread.mapInArrow(read_windows, "doc_id long, window long"), "windows")
+    seen = known_windows(held.select("doc_id", "text", "alike"), parts)
     per_doc = seen.groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
     return held.drop("alike").join(per_doc, "doc_id", "left"), table
 

@@ -200,6 +200,28 @@ def test_long_runs_are_read_as_streams(monkeypatch):
     assert whole <= cut and {x for x in cut if x[2]} == {x for x in whole if x[2]}
 
 
+def test_hot_keys_are_dealt_to_several_tasks(spark, monkeypatch):
+    rng = random.Random(8)
+    header = "this header stands in front of a third of all documents, and it is long enough. "
+    varied = [header[:40] + "".join(rng.choice("xyz ") for _ in range(60)) for _ in range(6)]
+    table = {i * 2: (header if i % 3 == 0 else "") + (rng.choice(varied) if i % 2 else "") + "".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 150))) for i in range(400)}
+    rows = [*table.items(), (0, table[0]), (None, header)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = repeats_by_hand(table)
+    for share, least, sample in ((0.02, 2, 0.5), (0.0001, 0, 1.0), (0.25, 64, 1 / 64)):
+        for name, value in (("HOT", share), ("LEAST_ROWS", least), ("SAMPLE", sample)):
+            monkeypatch.setattr(suffix_dedup, name, value)
+        got = [r for r in suffix_dedup.repeats(df).collect() if r["doc_id"] is not None]
+        assert len(got) == len(table) + 1 and {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+    monkeypatch.setattr(suffix_dedup, "HOT", 0.02)
+    monkeypatch.setattr(suffix_dedup, "LEAST_ROWS", 2)
+    parsed = suffix_dedup.parse(df)
+    hot = {r["phrase"]: r["salts"] for r in suffix_dedup.hot_keys(parsed, "phrase", 4).collect()}
+    n = {r["phrase"]: r["count"] for r in parsed.groupBy("phrase").count().collect()}
+    most = parsed.count() * 0.02 / 4
+    assert set(hot) == {p for p, c in n.items() if c > max(most, 2)} and all(s >= n[p] / most for p, s in hot.items() if most >= 2)
+
+
 def test_token_ids(docs, none):
     tok = Tokenizer.from_file(WORD)
     got, at = by_id(token_ids.round_trip(docs)), sum(len(tok.encode(t, add_special_tokens=False).ids) + 1 for t in ("no id", "", "no id"))
