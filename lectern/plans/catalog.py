@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import bodies, decks, documents, events, extended, forms, lookups, markup, metrics, more, papers, references, reports, repository, search, slides, streams, structure  # noqa: F401  (they register their queries)
+from lectern.plans import bodies, decks, documents, events, extended, forms, lookups, markup, metrics, more, papers, profiles, references, reports, repository, search, slides, streams, structure  # noqa: F401  (they register their queries)
 from lectern.plans.registry import ORACLES, QUERIES
 
 
