@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lectern.functions import academic
 from lectern.functions import bibliography as B
 from lectern.functions import equations as E
+from lectern.functions import text as X
 from lectern.operators import reports, styles
 from lectern.plans.forms import form_completeness
 from lectern.plans.more import abstract_quality
@@ -181,7 +182,7 @@ _SQL_FIXES = ", ".join(f"CASE WHEN {k} THEN '{v.replace(chr(39), chr(39) * 2)}'
 
 
 @query(rf"""WITH c AS (SELECT doc_id, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS n FROM documents), i AS (SELECT doc_id, regexp_matches(t, '(^|[.!?])\s*\S+(\s+\S+)?[.!?](\s|$)') AS fragments, regexp_matches(t, '[A-Za-z]''[A-Za-z]') AS contractions,
-  len(regexp_extract_all(lower(t), '\b(i|me|my|we|our|us)\b')) > 0.02 * n AS first_person, len(regexp_extract_all(lower(t), '\b(is|are|was|were|been|being)\s+[a-z]+ed\b')) > 0 AS passive, len(regexp_extract_all(t, '\S{{13,}}')) > 0.05 * n AS clarity FROM c)
+  len(list_filter(regexp_split_to_array(lower(t), '[^\p{{L}}\p{{N}}_]+'), lambda x: list_contains(['i', 'me', 'my', 'we', 'our', 'us'], x))) > 0.02 * n AS first_person, regexp_matches(lower(t), '(^|[^\p{{L}}\p{{N}}_])(is|are|was|were|been|being)\s+[a-z]+ed($|[^\p{{L}}\p{{N}}_])') AS passive, len(regexp_extract_all(t, '\S{{13,}}')) > 0.05 * n AS clarity FROM c)
 SELECT doc_id, array_to_string(list_filter([{_SQL_FIXES}], lambda x: x IS NOT NULL), '; ') AS fixes FROM i""")
 def quick_fixes(t: Tables) -> DataFrame:
     """What to mend first in each document, by the kinds of issues that it has."""
@@ -189,7 +190,7 @@ def quick_fixes(t: Tables) -> DataFrame:
     count = lambda c, p: F.regexp_count(c, F.lit(p))
     n = count(text, r"\S+")
     has = {
-        "fragments": text.rlike(r"(^|[.!?])\s*\S+(\s+\S+)?[.!?](\s|$)"), "contractions": text.rlike("[A-Za-z]'[A-Za-z]"), "first_person": count(F.lower(text), r"\b(i|me|my|we|our|us)\b") > 0.02 * n,
-        "passive": count(F.lower(text), r"\b(is|are|was|were|been|being)\s+[a-z]+ed\b") > 0, "clarity": count(text, r"\S{13,}") > 0.05 * n,
+        "fragments": text.rlike(r"(^|[.!?])\s*\S+(\s+\S+)?[.!?](\s|$)"), "contractions": text.rlike("[A-Za-z]'[A-Za-z]"), "first_person": X.word_hits(X.padded(text), ["i", "me", "my", "we", "our", "us"]) > 0.02 * n,
+        "passive": F.lower(text).rlike(r"(^|[^\p{L}\p{N}_])(is|are|was|were|been|being)\s+[a-z]+ed($|[^\p{L}\p{N}_])"), "clarity": count(text, r"\S{13,}") > 0.05 * n,
     }
     return t.documents.select("doc_id", F.array_join(F.array(*(F.when(has[k], fix) for k, fix in _FIXES.items())), "; ").alias("fixes"))
