@@ -163,8 +163,9 @@ SELECT doc, n, text FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.doc = a
 def deduplicated_citations(t: Tables) -> DataFrame:
     """Citations of a document once by text, and of overlapping ones those that no surer one overlaps."""
     confidence = F.round(F.col("l_discount") * 100).cast("long")
-    rows = t.lineitem.select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("Author "), (F.col("l_partkey") % 5).cast("string")).alias("text"), F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 3).alias("x1"), F.col("l_linenumber").alias("n"), confidence.alias("c"))
-    once = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc", "text").orderBy("n"))).where("k = 1").drop("k")
+    rows = t.lineitem.select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("Author "), (F.col("l_partkey") % 5).cast("string")).alias("text"), F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 3).alias("x1"), F.col("l_linenumber").alias("n"), confidence.alias("c"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    # lines of an order share numbers: of equal ones the first in the table counts, whatever the number of tasks that read it
+    once = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc", "text").orderBy("n", "file", "row"))).where("k = 1").drop("k", "file", "row")
     a, b = once.alias("a"), once.alias("b")
     surer = F.expr("a.doc = b.doc AND a.n <> b.n AND b.x0 <= a.x1 AND a.x0 <= b.x1 AND (b.c > a.c OR b.c = a.c AND b.n < a.n)")
     return a.join(b, surer, "left_anti").select("doc", "n", "text")
