@@ -147,8 +147,10 @@ _PASSIVE = r"\b(is|are|was|were|been|be|being) [a-z]+ed\b"
   CASE WHEN n_sentences = 0 THEN 0.0 ELSE round(len(list_filter(sentences, lambda x: regexp_matches(lower(x), '{_PASSIVE}'))) * 1.0 / n_sentences, 4) END AS share FROM c""")
 def passive_voice_share(t: Tables) -> DataFrame:
     s = t.documents.select("doc_id", X.sentences(X.text_of("text")).alias("s"))
-    hit = F.size(F.filter("s", lambda x: F.lower(x).rlike(_PASSIVE))).cast("long")
-    return s.select("doc_id", hit.alias("passive"), F.size("s").cast("long").alias("sentences"), F.round(X.ratio(hit, F.size("s")), 4).alias("share"))
+    # only ASCII letters are parts of words here: Java's \b would take others for such, too
+    pattern = _PASSIVE.replace(r"\b(", "(?<![A-Za-z0-9_])(").replace(r"ed\b", "ed(?![A-Za-z0-9_])")
+    hit = F.size(F.filter("s", lambda x: F.lower(x).rlike(pattern))).cast("long")
+    return s.select("doc_id", hit.alias("passive"), F.size("s").cast("long").alias("sentences"), X.rounded(X.ratio(hit, F.size("s")), 4).alias("share"))
 
 
 @query(f"""WITH {_COUNTS}, i AS (SELECT doc_id, unnest(list_concat(

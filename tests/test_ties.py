@@ -28,3 +28,10 @@ def test_equal_line_numbers_count_by_their_place_in_the_table(spark, tmp_path):
     second = [line(o, 10, 40, 0.09) for o in range(5000)]  # larger, so it is read first
     got, want = compared(spark, tmp_path, "deduplicated_citations", lineitem=[first, second])
     assert got == want and len(got) == 5000
+
+
+def test_halves_are_rounded_as_the_sql_does(spark, tmp_path):
+    text = lambda hits, n, more="": " ".join(["It was opened."] * hits + ["We go."] * (n - hits)) + more
+    docs = [{"doc_id": i, "lang": "en", "text": x} for i, x in enumerate([text(57, 800), text(69, 800), text(139, 800), text(1, 32), text(0, 0, "Caféis opened. It was openedü.")])]
+    got, want = compared(spark, tmp_path, "passive_voice_share", documents=[docs])
+    assert got == want and got[0][-1] == 0.0712 and got[4][1] == 2
