@@ -35,3 +35,14 @@ def test_halves_are_rounded_as_the_sql_does(spark, tmp_path):
     docs = [{"doc_id": i, "lang": "en", "text": x} for i, x in enumerate([text(57, 800), text(69, 800), text(139, 800), text(1, 32), text(0, 0, "Caféis opened. It was openedü.")])]
     got, want = compared(spark, tmp_path, "passive_voice_share", documents=[docs])
     assert got == want and got[0][-1] == 0.0712 and got[4][1] == 2
+
+
+def test_near_distances_are_ranked_as_they_are_shown(spark, tmp_path):
+    vector = lambda x: [float(x), *[0.0] * 7]
+    # presentation 20 asks; 21 and 22 are as far to six decimals, the later one being nearer; 20 has two rows
+    rows = [(40, vector(0)), (40, vector(0)), (42, vector(1 + 2e-8)), (44, vector(1)), *[(2 * i, vector(i)) for i in range(23, 30)]]
+    schema = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float64())), ("label", pa.int32())])
+    embeddings = pa.Table.from_pylist([{"vec_id": i, "embedding": v, "label": 0} for i, v in rows], schema)
+    customers = [{"c_custkey": i, "c_acctbal": 1.0} for i in range(20, 30)]
+    got, want = compared(spark, tmp_path, "similar_presentations", embeddings=[embeddings], customer=[customers])
+    assert got == want and [(r[1], r[3]) for r in got] == [(21, 1), (22, 2), (23, 3), (24, 4), (25, 5)]
