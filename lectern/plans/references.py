@@ -99,7 +99,9 @@ def reference_scores(t: Tables) -> DataFrame:
     d = t.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("id")).join(papers(t).select("id", "kind", "venue", "last", "year"), "id")
     n = F.count(F.lit(1))
     age = F.avg(2024 - F.col("year"))
-    shares = F.count_distinct("kind") / n + F.count_distinct("venue") / n + F.count_distinct("last") / n
+    # three kinds, 26 names and as many venues as brands: sets stay small, and no row is copied for each of the three counts
+    distinct = lambda c: F.size(F.collect_set(c))
+    shares = distinct("kind") / n + distinct("venue") / n + distinct("last") / n
     return d.groupBy("doc").agg(n.alias("refs"), F.round(shares / 3 * 100, 4).alias("diversity"), F.when(age <= 3, 100).when(age <= 5, 85).when(age <= 10, 70).otherwise(50).alias("recency"))
 
 

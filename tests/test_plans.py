@@ -13,3 +13,7 @@ def test_authors_are_not_copied_for_each_count(spark, sf):
 
 def test_words_of_a_text_are_counted_in_its_row(spark, sf):
     assert "Exchange" not in plan(spark, sf, "keyword_coverage")
+
+
+def test_references_are_not_copied_for_each_count(spark, sf):
+    assert "Expand" not in plan(spark, sf, "reference_scores")
