@@ -188,6 +188,8 @@ def slide_search(t: Tables) -> DataFrame:
     return t.conversations.where(a | b).select("conv_id", "turn", a.alias("in_text"), b.alias("in_role"))
 
 
+#: Characters that one task sorts and groups, about.
+TASK_ROWS = 250_000
 _CHARS = "c AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord, CAST(l_quantity AS BIGINT) AS x0, CAST(l_quantity AS BIGINT) + 4 AS x1, CAST(round(l_discount * 100) AS BIGINT) * 3 AS y, 8 + l_suppkey % 5 AS size, 'w' || (l_partkey % 100) AS text FROM lineitem)"
 
 
@@ -211,9 +213,14 @@ def lines_of_words(t: Tables) -> DataFrame:
 SELECT page, CAST(word AS BIGINT) AS word, count(*) AS chars, min(x0) AS x0, max(x1) AS x1 FROM g GROUP BY page, word""")
 def words_of_characters(t: Tables) -> DataFrame:
     """Characters become words where the gap is three or less."""
-    keys, order = ["page"], ["ord"]
+    # in the order that numbers the characters, so that one sort serves all windows
+    x, keys, order = F.col("l_quantity").cast("long"), ["page"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    chars = t.lineitem.select(F.col("l_orderkey").alias("page"), *order, x.alias("x0"), (x + 4).alias("x1"), (F.round(F.col("l_discount") * 100).cast("long") * 3).alias("y"))
+    # nearly each character is a group of its own, so what a task holds follows its rows: there are as many tasks as rows ask for
+    chars = chars.repartition(max(t.lineitem.count() // TASK_ROWS + 1, t.spark.sparkContext.defaultParallelism), "page")
     apart = (F.col("x0") - layout.before("x1", keys, order) > 3) | (F.abs(F.col("y") - layout.before("y", keys, order)) > 0)
-    grouped = layout.islands(elements(t), keys, order, F.coalesce(apart, F.lit(False)), "word").groupBy("page", "word")
+    cut, upto = F.when(F.coalesce(apart, F.lit(False)), 1).otherwise(0), Window.partitionBy("page").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    grouped = chars.withColumn("cut", cut).withColumn("word", F.sum("cut").over(upto)).groupBy("page", "word")
     return grouped.agg(F.count(F.lit(1)).alias("chars"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
 
 
