@@ -1,6 +1,6 @@
 """A positional inverted index as Parquet tables, and searches that read only the postings they need.
 
-Documents are numbered in the order they are read; 1024 of them are a block. A row of ``postings`` is one term in one block: which
+Documents are numbered in the order they are read; 1024 of them are a block (fewer, if they are long), named by its first number. A row of ``postings`` is one term in one block: which
 documents have it (steps between their numbers), how often, at which word positions (steps again), and how long those documents
 are. So no row grows with the table, however common a term is. ``blocks`` has for each such row how many documents it holds and the
 largest BM25 part that any of them has: the block maximum. Both are sorted by term, so a search for a few terms skips row groups.
@@ -15,12 +15,13 @@ has match nothing; equal scores (to six decimals) are ranked by id, nulls last;
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +39,10 @@ DECIMALS, SLACK = 6, 1e-5
 #: A place is a document of the block and a word, put together in one number.
 PLACE_BITS = 40
 
-POSTING = "key string, block long, doc int, id long, tf int, len int, steps array<int>"
+#: Characters after which a block ends before it has all its documents.
+BLOCK_CHARS = 1 << 23
+
+POSTING = "key string, block long, docs array<int>, ids array<long>, tfs array<int>, lens array<int>, places array<array<int>>"
 
 
 def part(tf, size, mean):
@@ -51,6 +55,46 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def block_postings(docs: list[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Posting rows of one block of documents (number, id, texts): one for each term, and for each field one without a term, which
+    has the ids and lengths of all documents."""
+    block, n = docs[0][0], len(docs)
+    lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+    for at, name in enumerate(names, 2):
+        words = [WORD.findall(d[at] or "") for d in docs]
+        lens = np.array([len(w) for w in words], np.int32)
+        terms = pa.array(list(chain.from_iterable(words)), pa.string()).dictionary_encode()
+        code = terms.indices.to_numpy(zero_copy_only=False)
+        total = len(code)
+        order = np.argsort(code, kind="stable")  # by term, then in the order of the text
+        code, doc = code[order], np.repeat(np.arange(n, dtype=np.int32), lens)[order]
+        place = (np.arange(total) - np.repeat(np.cumsum(lens) - lens, lens))[order].astype(np.int32)
+        term = np.ones(total, bool)
+        term[1:] = code[1:] != code[:-1]
+        new = term.copy()
+        new[1:] |= doc[1:] != doc[:-1]
+        steps = place.copy()
+        steps[1:] -= np.where(new[1:], 0, place[:-1])
+        first = np.flatnonzero(new)  # of each document of each term
+        begin = np.flatnonzero(term[first])
+        gaps = doc[first].copy()
+        gaps[1:] -= np.where(term[first][1:], 0, doc[first][:-1])
+        # the row without a term comes first
+        counts = np.diff(np.append(begin, len(first)))
+        ends = np.concatenate([[0, n], n + np.cumsum(counts)])
+        keys = pa.concat_arrays([pa.array([""]), terms.dictionary.take(pa.array(code[first][begin]))])
+        head = np.diff(np.arange(n, dtype=np.int32), prepend=0).astype(np.int32)
+        places = lists(np.concatenate([np.zeros(n, np.int64), np.append(first, total)]), pa.array(steps))
+        ids = pa.concat_arrays([lists([0, n], pa.array([d[1] for d in docs], pa.int64())), pa.nulls(len(keys) - 1, pa.list_(pa.int64()))])
+        columns = [
+            pc.binary_join_element_wise(pa.scalar(name), keys, ":"), pa.array(np.full(len(keys), block)), lists(ends, pa.array(np.concatenate([head, gaps]))), ids,
+            lists(ends, pa.array(np.concatenate([np.zeros(n, np.int32), np.diff(np.append(first, total)).astype(np.int32)]))), lists(ends, pa.array(np.concatenate([lens, lens[doc[first]]]))), lists(ends, places),
+        ]
+        whole = pa.RecordBatch.from_arrays(columns, ["key", "block", "docs", "ids", "tfs", "lens", "places"])
+        for a in range(0, len(whole), 20_000):
+            yield whole.slice(a, 20_000)
+
+
 class TextIndex:
     """Three tables below one path: postings, blocks and fields."""
 
@@ -60,35 +104,28 @@ class TextIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, columns: dict[str, str], id_column: str, path: str | None = None) -> TextIndex:
-        """Index the ``columns`` (field name: column) of ``docs``. Texts are read once; what is shuffled is a row for each term of a document."""
+        """Index the ``columns`` (field name: column) of ``docs``. Texts are read once, and nothing is shuffled."""
         spark, names = docs.sparkSession, list(columns)
         path = path or scratch(docs.sparkSession, "text-index")
 
+        size = 1 << BLOCK_BITS
+
         def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple] = []
+            chars = 0
             for batch in batches:
-                out: list[list] = [[] for _ in range(7)]
-                for no, doc_id, *texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    for name, text in zip(names, texts, strict=True):
-                        places = defaultdict(list)
-                        words = WORD.findall(text or "")
-                        for i, w in enumerate(words):
-                            places[w].append(i)
-                        # a row without a term for each document: its id, and its length
-                        rows = [("", [])] + list(places.items())
-                        for w, at in rows:
-                            for col, x in zip(out, (f"{name}:{w}", no >> BLOCK_BITS, no & (1 << BLOCK_BITS) - 1, doc_id, len(at), len(words), [y - x for x, y in zip([0, *at], at, strict=False)]), strict=True):
-                                col.append(x)
-                kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
-                for at in range(0, len(out[0]), 20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 20_000], k) for c, k in zip(out, kinds, strict=True)], ["key", "block", "doc", "id", "tf", "len", "steps"])
-
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if held and (len(held) == size or chars > BLOCK_CHARS):
+                        yield from block_postings(held, names)
+                        held, chars = [], 0
+                    held.append(row)
+                    chars += sum(len(x or "") for x in row[2:])
+            if held:
+                yield from block_postings(held, names)
+
+        # a block's documents stand in one task, so its postings are made there and only sorted
         numbered = docs.select(F.monotonically_increasing_id().alias("no"), F.col(id_column).cast("long").alias("id"), *[F.lower(F.col(c)).alias(n) for n, c in columns.items()])
-        # a block holds at most 1024 documents, so a group has at most as many rows
-        grouped = numbered.mapInArrow(tokenise, POSTING).groupBy("key", "block").agg(F.array_sort(F.collect_list(F.struct("doc", "id", "tf", "len", "steps"))).alias("x"))
-        each = lambda c: F.col("x")[c]
-        gaps = F.transform("x", lambda x, i: x["doc"] - F.when(i > 0, F.col("x")[F.greatest(i - 1, F.lit(0))]["doc"]).otherwise(0))
-        ids = F.when(F.endswith("key", F.lit(":")), each("id"))
-        rows = grouped.select("key", "block", gaps.alias("docs"), ids.alias("ids"), each("tf").alias("tfs"), each("len").alias("lens"), each("steps").alias("places"))
+        rows = numbered.mapInArrow(tokenise, POSTING)
         postings = written(rows.sortWithinPartitions("key", "block"), f"{path}/postings")
         headers = postings.where(F.endswith("key", F.lit(":"))).select(F.expr("left(key, length(key) - 1)").alias("field"), F.explode("lens").alias("len"))
         fields = written(headers.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("mean")), f"{path}/fields")

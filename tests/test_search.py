@@ -308,3 +308,13 @@ def test_dotted_paths(spark):
     for r in df.select("*", at_path(F.col("c"), F.col("p")).alias("got"), satisfied(F.col("c"), F.col("p"), F.col("op"), F.col("v")).alias("met")).collect():
         want = plain(json.loads(r["j"]), r["p"])
         assert (r["got"] is None) == (want is None) and r["met"] == holds(want, r["op"], r["v"]), r
+
+
+def test_long_documents_end_a_block_and_the_build_moves_no_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "alpha beta " * n) for i, n in enumerate([1, 900, 2, 0, 900, 3])], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(textindex, "BLOCK_CHARS", 5000)
+    built = textindex.TextIndex.build(docs, {"text": "text"}, "doc_id")
+    heads = built.postings.where("key = 'text:'").orderBy("block").collect()
+    assert [(r["block"], r["ids"]) for r in heads] == [(0, [0, 1]), (2, [2, 3, 4]), (5, [5])]
+    asked = spark.createDataFrame([(1, "text", ["beta", "alpha"])], "query long, field string, words array<string>")
+    assert {(r["id"], r["n"]) for r in built.phrases(asked).collect()} == {(1, 899), (2, 1), (4, 899), (5, 2)}
