@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.plans.registry import Tables
+from lectern.plans.search import latex_sources
 from lectern.functions import html, latex
 from lectern.operators import graphs, intervals, textindex
 from lectern.operators.attributes import at_path, satisfied
@@ -210,6 +212,22 @@ def test_latex_is_linear_for_stray_ends():
     assert len(latex.parsed("{" * 100_000 + r"\end{x}" * 100_000 + "$" + r"\)" * 50_000)) == 250_001
 
 
+def test_latex_of_many_texts_and_dealt_sources(spark, sf):
+    rng = random.Random(4)
+    texts = ["", " \n", *(random_latex(rng) for _ in range(300)), "\\", "% end", "{", r"}\item"]
+    names = [x.split()[0] for x in latex.NODE.split(", ")]
+    text_of, columns = latex.parsed_many(texts, latex.Tokens(), names)
+    got = [list(r) for r in zip(text_of.tolist(), *(c.to_pylist() for c in columns.values()), strict=True)]
+    assert got == [[i, *row] for i, text in enumerate(texts) for row in plain_tree(text)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, source string")
+    per = latex.kind_counts(df, "id", "source", {"n": "text", "m": "stray"}).collect()
+    trees = {i: [r[3] for r in plain_tree(text)] for i, text in enumerate(texts)}
+    assert {r["id"]: (r["n"], r["m"]) for r in per} == {i: (k.count("text"), k.count("stray")) for i, k in trees.items() if k}
+    # a file of one row group is read by one task; its texts are dealt before they are worked on
+    plan = latex_sources(Tables(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("replace(") < plan.index("RepartitionByExpression")
+
+
 # HTML
 
 
