@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.functions.arrow import dealt
 from lectern.operators import scoring as S
 from lectern.plans.registry import Tables, query
 
@@ -67,7 +68,7 @@ _OVERALL = f"""(0.15 * {_READ} + 0.2 * coherence + 0.15 * (100.0 * CASE {_SECTIO
 @query(f"""WITH {_COUNTS} SELECT lang, count(*) AS documents, CAST(sum(n_words) AS BIGINT) AS words, CAST(sum(n_sentences) AS BIGINT) AS sentences, CAST(sum(n_syllables) AS BIGINT) AS syllables,
   round(avg({_EASE}), 4) AS ease, round(avg({_READ}), 4) AS readability, round(avg({_GRADE}), 4) AS grade FROM c GROUP BY lang""")
 def readability_by_lang(t: Tables) -> DataFrame:
-    scored = S.readability(S.counted(t.documents.select("lang", "text")))
+    scored = S.readability(S.counted(dealt(t.documents.select("lang", "text"))))
     return scored.groupBy("lang").agg(
         F.count(F.lit(1)).alias("documents"), F.sum("n_words").alias("words"), F.sum("n_sentences").alias("sentences"), F.sum("n_syllables").alias("syllables"),
         *(F.round(F.avg(c), 4).alias(c) for c in ("ease", "readability", "grade")),
@@ -92,7 +93,7 @@ _LANG = f"""struct_pack(s := {_ONE("'the', 'and', 'of', 'to', 'a', 'in', 'is', '
 @query(f"""WITH {_COUNTS}, g AS (SELECT doc_id, length(trim(text)) AS n_trimmed, len(wtok) AS n, list_sort([{_LANG}], 'DESC') AS s FROM c)
 SELECT doc_id, CASE WHEN n_trimmed < 50 OR n < 10 THEN 'unknown' ELSE s[1].l END AS detected, round(s[1].s, 4) AS score, CASE WHEN s[2].s > 0.1 THEN s[2].l END AS secondary, round(CASE WHEN s[1].s > 0 THEN s[2].s / s[1].s ELSE 0 END, 4) AS mixed FROM g""")
 def language_detection(t: Tables) -> DataFrame:
-    ranked = S.counted(t.documents.select("doc_id", "text")).withColumn("r", S.languages())
+    ranked = S.counted(dealt(t.documents.select("doc_id", "text"))).withColumn("r", S.languages())
     first, second = F.col("r")[0], F.col("r")[1]
     known = F.when((F.col("n_trimmed") < 50) | (F.col("n_tokens") < 10), "unknown").otherwise(first["lang"])
     return ranked.select("doc_id", known.alias("detected"), F.round(first["score"], 4).alias("score"), F.when(second["score"] > 0.1, second["lang"]).alias("secondary"), F.round(X.ratio(second["score"], first["score"]), 4).alias("mixed"))
@@ -100,7 +101,7 @@ def language_detection(t: Tables) -> DataFrame:
 
 def _single(name: str, sql: str, column):
     def f(t: Tables) -> DataFrame:
-        return S.counted(t.documents.select("doc_id", "text")).select("doc_id", F.round(column(), 4).alias("score"))
+        return S.counted(dealt(t.documents.select("doc_id", "text"))).select("doc_id", F.round(column(), 4).alias("score"))
 
     f.__name__ = name
     return query(f"WITH {_COUNTS} SELECT doc_id, round({sql}, 4) AS score FROM c")(f)
@@ -114,7 +115,7 @@ vocabulary_sophistication = _single("vocabulary_sophistication", _VOCAB, S.vocab
 
 @query(f"WITH {_COUNTS}, {_COHERENCE} SELECT doc_id, round({_OVERALL}, 3) AS overall FROM c JOIN h USING (doc_id)")
 def intelligence_overall(t: Tables) -> DataFrame:
-    return S.overall(t.documents.select("doc_id", "text")).select("doc_id", F.round("overall", 3).alias("overall"))
+    return S.overall(dealt(t.documents.select("doc_id", "text"))).select("doc_id", F.round("overall", 3).alias("overall"))
 
 
 _LEVEL = "CASE WHEN overall >= 90 THEN 'excellent' WHEN overall >= 70 THEN 'good' WHEN overall >= 50 THEN 'fair' WHEN overall >= 30 THEN 'poor' ELSE 'critical' END"
@@ -124,7 +125,7 @@ _LEVEL = "CASE WHEN overall >= 90 THEN 'excellent' WHEN overall >= 70 THEN 'good
 SELECT l.lang, v.level, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT DISTINCT lang FROM documents) l CROSS JOIN (VALUES ('excellent'), ('good'), ('fair'), ('poor'), ('critical')) v(level) LEFT JOIN (SELECT lang, level, count(*) AS n FROM q GROUP BY 1, 2) q ON q.lang = l.lang AND q.level = v.level""")
 def quality_level_distribution(t: Tables) -> DataFrame:
     levels = [name for _, name in X.QUALITY_LEVELS] + ["critical"]
-    scored = S.overall(t.documents.select("doc_id", "lang", "text"))
+    scored = S.overall(dealt(t.documents.select("doc_id", "lang", "text")))
     wide = scored.groupBy("lang").agg(*(F.count_if(F.col("level") == v).alias(v) for v in levels))
     return wide.select("lang", F.explode(F.array(*(F.struct(F.lit(v).alias("level"), F.col(v).alias("n")) for v in levels))).alias("x")).select("lang", "x.*")
 
@@ -159,7 +160,7 @@ def passive_voice_share(t: Tables) -> DataFrame:
   CASE WHEN len(list_filter(sentences, lambda x: len(regexp_split_to_array(x, ' ')) > 40)) > 0 THEN ['run_on'] ELSE [] END,
   CASE WHEN n_points < 100 THEN ['too_short'] ELSE [] END)) AS issue FROM c) SELECT issue, count(*) AS documents, min(doc_id) AS first_doc FROM i GROUP BY issue""")
 def clarity_issues(t: Tables) -> DataFrame:
-    d = S.counted(t.documents.select("doc_id", "text")).withColumns({"tok": X.tokens(X.text_of("text")), "sentences": X.sentences(X.text_of("text"))})
+    d = S.counted(dealt(t.documents.select("doc_id", "text"))).withColumns({"tok": X.tokens(X.text_of("text")), "sentences": X.sentences(X.text_of("text"))})
     issues = [
         F.when(F.regexp_count("text", F.lit(r"\S{13,}")) > 0.05 * F.col("n_words"), "long_words"),
         F.when(F.size(F.filter("tok", lambda w: w.rlike("(tion|ment|ness|ity)$"))) > 0.15 * F.size("tok"), "technical_terms"),

@@ -1,10 +1,13 @@
 """Column functions on literal texts, against values stated by hand."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from lectern.functions import citations as C
 from lectern.functions import sanitize
 from lectern.functions import text as X
+from lectern.functions import words
 from lectern.operators import scoring as S
 
 
@@ -94,3 +97,22 @@ def test_chunks_keep_order_and_size(spark):
     got = one(spark, S.chunks("t", "\n\n", 60), t=text)
     assert "\n\n".join(got) == text and [len(c) for c in got] == [202, 300, 50]
     assert one(spark, S.chunks("t", "\n\n", 60), t="") == []
+
+
+def test_sums_over_words(spark):
+    rng = random.Random(3)
+    parts = ["The", "nation", "it's", "they'd've", "very", "However,", "est-ce", "à", "Être", "x_1", "tion", "station.tension", "e.g.", "!?", "--", "\t", "\x0b", "\u00a0", "Ça²", "don''t", "rhythm", "the-the", "a.b!c", "…"]
+    rows = [(i, "".join(rng.choice(parts) + rng.choice([" ", " ", "\n", ""]) for _ in range(rng.randint(0, 30)))) for i in range(300)] + [(300, ""), (301, "  ")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    low, padded = F.lower("text"), X.padded(F.col("text"))
+    plain = {
+        "n_words": F.size(X.words(low)), "n_syllables": X.total(F.transform(X.words(low), lambda w: X.syllables(w).cast("long"))), "n_spoken": F.regexp_count("text", F.lit(r"[^\s.!?]+")), "n_tokens": X.word_hits(padded, ["[^ ]+"]),
+        "contractions": F.regexp_count("text", F.lit(r"[\p{L}\p{N}_]+'[\p{L}\p{N}_]+")), "nominal": X.ending_hits(padded, X.NOMINAL_ENDINGS), "weak": X.word_hits(padded, X.WEAK), "en_common": X.word_hits(padded, X.COMMON_WORDS["en"]),
+        "fr_first": X.word_hits(padded, X.COMMON_WORDS["fr"][:5]), "en_stop": X.word_hits(padded, X.LANGUAGE_STOP_WORDS["en"]),
+    }
+    wrong = df.select("id", "text", words.sums(low).alias("s"), F.struct(*(c.cast("long").alias(k) for k, c in plain.items())).alias("p")).where(" OR ".join(f"s.{k} <> p.{k}" for k in plain))
+    assert wrong.collect() == []
+    tok = X.tokens(F.col("text"))
+    want = F.struct(F.size(tok).alias("n"), F.size(F.array_distinct(tok)).alias("n_different"), F.size(F.filter(tok, lambda w: F.char_length(w) >= 7)).alias("n_long"), F.size(F.filter(tok, lambda w: w.rlike("(tion|ment|ness|ity|ism|ance|ence)$"))).alias("n_academic"))
+    wrong = df.select("text", words.variety(low).alias("v"), want.alias("w")).where("v.n <> w.n OR v.n_different <> w.n_different OR v.n_long <> w.n_long OR v.n_academic <> w.n_academic")
+    assert wrong.collect() == [] and df.limit(0).select(words.sums(low), words.variety(low)).collect() == []
