@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.arrow import dealt
 from lectern.functions import academic, security
 from lectern.functions import text as X
 from lectern.operators import deck, layout
@@ -95,8 +96,9 @@ def deck_rules_on_lines(t: Tables) -> DataFrame:
     """Each line of a document as a bullet of one slide."""
     bullet = F.transform(F.filter(F.split("text", "\n"), lambda x: x != ""), lambda x: F.struct(x.alias("text")))
     content = F.to_json(F.struct(F.array(F.struct(F.lit("bullets").alias("type"), bullet.alias("items"))).alias("body")))
-    found = deck.rules().violations(deck.parsed(t.documents.select("doc_id", content.alias("content"))), ["doc_id"])
-    return found.where(F.col("rule_id").isin("text.bullet_count", "text.density", "tone.transitions")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    slides = dealt(t.documents.select("doc_id", "text")).select("doc_id", content.alias("content"))
+    found = deck.rules().violations(deck.parsed(slides), ["doc_id"], only=["text.bullet_count", "text.density", "tone.transitions"])
+    return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""

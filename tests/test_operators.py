@@ -124,3 +124,10 @@ def test_closure_has_no_silent_depth(spark):
     with pytest.raises(ValueError, match="deeper than 2"):
         R.closure(edges.where("child < 4"), most=2)
     assert R.closure(edges.where("child < 2"), most=2).count() == 3
+
+
+def test_only_some_rules_are_judged(spark):
+    known = rules.slide_rules()
+    known.register(rules.Rule("costly", lambda s: F.raise_error(F.lit("judged")).cast("boolean"), "never asked for"))
+    df = scoring.readability(scoring.counted(spark.createDataFrame([(1, "\n".join(["word"] * 6)), (2, "fine text")], "id int, text string")))
+    assert [(r["id"], r["rule_id"]) for r in known.violations(df, ["id"], only=["text.bullets", "text.density"]).collect()] == [(1, "text.bullets")]
