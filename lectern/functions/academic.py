@@ -37,13 +37,21 @@ def missing_sections(types: Column) -> Column:
 
 def abstract_scores(abstract: Column) -> Column:
     """Completeness, conciseness, clarity and structure of an abstract."""
-    low, n = F.lower(abstract), F.size(X.words(abstract))
+    found = F.struct(X.once(F.lower(abstract), _said).alias("said"), F.regexp_count(abstract, F.lit(r"\S+")).alias("n"), X.n_sentences(abstract).alias("n_sentences"))
+    return X.once(found, _abstract_scores)
+
+
+def _said(low: Column) -> Column:
     parts = [X.any_of([low.contains(p) for p in group]) for group in (["background", "problem", "important"], ["method", "we use", "approach"], ["result", "we find", "show"], ["conclu", "implic", "suggest"])]
     share = sum((F.when(p, 1.0).otherwise(0.0) for p in parts), F.lit(0.0)) / 4
+    return F.struct(share.alias("share"), sum((F.when(low.contains(p), 1).otherwise(0) for p in X.WORDY), F.lit(0)).alias("issues"))
+
+
+def _abstract_scores(found: Column) -> Column:
+    n, share = found["n"], found["said"]["share"]
     length = F.when(n.between(150, 250), 100.0).when(n.between(100, 300), 80.0).when(n.between(50, 400), 60.0).otherwise(40.0)
-    issues = X.phrase_hits(abstract, X.WORDY)
-    mean = X.ratio(n, F.size(X.sentences(abstract)))
-    clear = F.greatest(F.lit(50.0), X.band(mean, 15, 25, 3) - F.least(F.lit(30), 5 * issues))
+    mean = X.ratio(n, found["n_sentences"])
+    clear = F.greatest(F.lit(50.0), X.band(mean, 15, 25, 3) - F.least(F.lit(30), 5 * found["said"]["issues"]))
     return F.struct((70 * share + 0.3 * length).alias("completeness"), length.alias("conciseness"), clear.alias("clarity"), (100 * share).alias("structure"))
 
 

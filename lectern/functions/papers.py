@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions import text as X
+
 #: Names under which a key section stands.
 KEY_SECTIONS = {
     "introduction": ["introduction", "background", "motivation"],
@@ -40,6 +42,8 @@ TITLE_TENTHS, CONTENT_TENTHS = 4, 3
 REQUIRED = ["abstract", "introduction", "methods", "results", "discussion"]
 
 HEADING = r"^(#{1,6}\s+\S|\d+(\.\d+)*\.?\s+[A-Z])"
+#: The same within a text of several lines: blanks don't reach over the line's end.
+_HEADING_AHEAD = r"#{1,6}[^\S\n]+\S|\d++(?:\.\d++)*+\.?[^\S\n]+[A-Z]"
 
 
 def lines(text: Column) -> Column:
@@ -52,30 +56,24 @@ def is_heading(line: Column) -> Column:
 
 def level(line: Column) -> Column:
     """1 for the outermost headings: the number of marks, or of parts of the number."""
-    marks, number = F.regexp_extract(line, "^(#+)", 1), F.regexp_extract(line, r"^(\d+(?:\.\d+)*)", 1)
-    return F.when(marks != "", F.length(marks)).otherwise(F.size(F.split(number, r"\.")))
+    marks, number = F.char_length(line) - F.char_length(F.ltrim(line, F.lit("#"))), F.regexp_extract(line, r"^(\d++(?:\.\d++)*+)", 1)
+    return F.when(marks > 0, marks).otherwise(F.size(F.split(number, r"\.")))
 
 
 def title(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"^(#+|\d+(\.\d+)*\.?)\s+", ""))
+    return F.trim(F.regexp_replace(line, r"^(?:#+|\d++(?:\.\d++)*+\.?)\s+", ""))
 
 
 def sections(text: Column) -> Column:
     """array of (level, title, content): each heading with the lines up to the next one, of any level."""
-    # as a list of one, the lines are a variable of the inner functions, which would split the text again for each line
-    return F.transform(F.array(lines(text)), _sections_of)[0]
-
 
-def _sections_of(every: Column) -> Column:
-    at = F.filter(F.sequence(F.lit(1), F.size(every)), lambda i: is_heading(F.element_at(every, i)))
-    ends = F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(every) + 1))
+    def section(part: Column) -> Column:
+        head = F.substring_index(part, "\n", 1)
+        return F.struct(level(head).alias("level"), title(head).alias("title"), F.trim(F.substr(part, F.char_length(head) + 2)).alias("content"))
 
-    def section(i: Column, end: Column) -> Column:
-        head = F.element_at(every, i)
-        body = F.array_join(F.slice(every, i + 1, end - i - 1), "\n")
-        return F.struct(level(head).alias("level"), title(head).alias("title"), F.trim(body).alias("content"))
-
-    return F.when(F.size(at) > 0, F.zip_with(at, ends, section)).otherwise(F.array().cast("array<struct<level:int,title:string,content:string>>"))
+    # all parts but the first begin with a heading
+    parts = F.filter(F.split(text, rf"\n(?={_HEADING_AHEAD})"), lambda part, i: (i > 0) | part.rlike(rf"\A(?:{_HEADING_AHEAD})"))
+    return F.coalesce(F.transform(parts, section), F.array().cast("array<struct<level:int,title:string,content:string>>"))
 
 
 def key_section(found: Column, key: str) -> Column:
@@ -121,18 +119,33 @@ def citations(text: Column) -> Column:
 
 def section_class(title: Column, content: Column) -> Column:
     """struct of kind and confidence: the class with most points, of all points (or of one, if they are fewer); without any, abstract and 0."""
+    # no two content patterns match at places that overlap, so the matches of all are found by one pass and each tells its class by itself
+    found = F.regexp_extract_all(content, F.lit(_any_of([p for patterns in CONTENTS.values() for p in patterns])), F.lit(0))
+    return X.once(found, lambda places: _told(title, places))
+
+
+def _any_of(patterns: list[str]) -> str:
+    """All patterns in one; each begins with a word of two letters or more, by which most places are told apart."""
+    bare = [p.removeprefix(r"\b") for p in patterns]
+    first, second = ("".join(sorted({p[i] for p in bare})) for i in range(2))
+    return rf"(?i)(?=[{first}][{second}])\b(?:{'|'.join(bare)})"
+
+
+def _told(title: Column, places: Column) -> Column:
     scores = []
     for i, (kind, patterns) in enumerate(TITLES.items()):
         points = sum((F.when(title.rlike(f"(?i){p}"), TITLE_TENTHS).otherwise(0) for p in patterns), F.lit(0))
-        points = sum((CONTENT_TENTHS * F.regexp_count(content, F.lit(f"(?i){p}")) for p in CONTENTS.get(kind, [])), points)
+        points = F.when(title.rlike(_any_of(patterns)), points).otherwise(0)
+        if kind in CONTENTS:
+            mine = _any_of(CONTENTS[kind])
+            points = points + CONTENT_TENTHS * F.array_size(F.filter(places, lambda x: x.rlike(mine)))  # noqa: B023
         scores.append(F.struct(F.coalesce(points, F.lit(0)).alias("points"), F.lit(-i).alias("rank"), F.lit(kind).alias("kind")))
 
     def told(every: Column) -> Column:
         best, total = F.array_max(every), F.aggregate(every, F.lit(0), lambda n, x: n + x["points"])
         return F.struct(best["kind"].alias("kind"), (best["points"] / F.greatest(total, F.lit(10))).alias("confidence"))
 
-    # as a list of one, the scores are a variable and not written out again for the best and for the sum
-    return F.transform(F.array(F.array(*scores)), told)[0]
+    return X.once(F.array(*scores), told)
 
 
 def form(classes: Column) -> Column:

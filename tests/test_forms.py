@@ -19,6 +19,13 @@ def plain_class(title, content):
     return best, points[best] / max(sum(points.values()), 10)
 
 
+#: A match of each content pattern.
+SAID = [
+    "We used", "the algorithm", "data was collected", "experiments were  conducted", "participant", "Samples", "our result show", "we found that", "the analysis revealed", "figure 12 shows", "table 3 present", "statistically significant",
+    "these results suggest", "our findings indicate", "this implie", "in contrast to previous", "compared to other studies", "limitation",
+]
+
+
 def sections():
     rng = random.Random(11)
     titles = ["Introduction", "Background and Motivation", "Materials and Methods", "Results", "Analysis and Discussion", "Summary", "Final remarks", "Works cited", "Nothing", "", "metHOD", "Methodical"]
@@ -34,6 +41,23 @@ def test_section_classes(spark):
         assert got[i]["kind"] == kind and got[i]["confidence"] == pytest.approx(confidence)
 
 
+def test_places_of_all_content_patterns_are_found_by_one_pass(spark):
+    rng = random.Random(8)
+    words = sorted({w for p in P.CONTENTS.values() for q in p for w in re.findall("[a-z]{2,}", q.replace(r"\b", "").replace(r"\s", " "))} | {"in", "7", "show", "implies", "results", "experiment", "x", ".", "\n"})
+    rows = [(i, "Results", " ".join(rng.choice([w, w.title(), w + "s"]) for w in rng.choices(words, k=60))) for i in range(400)]
+    rows += [(400 + i, "", f"{a} {b}.") for i, (a, b) in enumerate((a, b) for a in SAID for b in SAID)]
+    df = spark.createDataFrame(rows, "id long, title string, content string").select("id", P.section_class(F.col("title"), F.col("content")).alias("c"))
+    got = {r["id"]: r["c"] for r in df.collect()}
+    for i, title, content in rows:
+        kind, confidence = plain_class(title, content)
+        assert got[i]["kind"] == kind and got[i]["confidence"] == pytest.approx(confidence)
+
+
+def test_a_section_is_searched_for_content_once(spark):
+    df = spark.range(1).select(P.section_class(F.col("id").cast("string"), F.col("id").cast("string")).alias("c"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+
 def test_nulls_are_no_section_of_any_class(spark):
     r = spark.createDataFrame([(None, None)], "title string, content string").select(P.section_class(F.col("title"), F.col("content")).alias("c")).head()["c"]
     assert (r["kind"], r["confidence"]) == ("abstract", 0)

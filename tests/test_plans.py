@@ -24,3 +24,8 @@ def test_tasks_of_characters_grow_with_their_rows(spark, sf, monkeypatch):
     df = catalog.queries()["words_of_characters"](spark, sf)
     assert df._jdf.queryExecution().executedPlan().toString().count("Sort ") == 1
     assert df.rdd.getNumPartitions() >= spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500
+
+
+def test_texts_are_counted_once_for_all_scores_of_an_abstract(spark, sf):
+    p = catalog.queries()["abstract_quality"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("lower(") == 1 and p.count(r"\S+") == 1 and "split(" not in p

@@ -50,6 +50,13 @@ def test_sections_and_form(rows):
         assert r["kind"] == ("standard" if len(have) == 4 else "partial" if len(have) > 1 else "other" if want else "unstructured")
 
 
+def test_headings_end_with_their_line(spark):
+    texts = ["# \nfoo", "1.\nA", "a\n#  \n## B \t\n", "# A", "\n\n# A\n\n# B\n", "1.1.1 X\n" + "1." * 5000 + " Y\nz", "####### no\n###### yes\n 1 No", "1. Ä\n2.x Y\n3.\tZ\r\nend\r"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", P.sections(F.col("text")).alias("s"))
+    for r in df.collect():
+        assert [tuple(x) for x in r["s"]] == plain_sections(texts[r["id"]])
+
+
 def test_equations_and_citations(rows):
     for r in rows.where("text IS NOT NULL").select("text", P.equations(F.col("text")).alias("e"), P.citations(F.col("text")).alias("c")).collect():
         assert r["e"] == ["eq_" + n for n in re.findall(r"(?i)\b(?:equation|eq\.)\s*\(?(\d+)\)?", r["text"])]
