@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -557,6 +558,49 @@ def test_media_crops_keep_the_corners_of_their_original():
         assert sorted((*q, d.tobytes()) for q, d in zip(p.tolist(), c, strict=True)) == sorted((*q, d.tobytes()) for o, ps, cs in stacked for n, q, d in zip(o.tolist(), ps.tolist(), cs, strict=True) if n == k)
 
 
+def test_media_stacks_use_memory_again():
+    """Describing more stacks asks for no fresh arrays of the size of a stack, and portions change nothing."""
+    rng = random.Random(10)
+    images = [media.draw([[f"word{rng.randint(0, 99)}" for _ in range(20)] for _ in range(130)]) for _ in range(6)]
+    room = media.Room()
+    first = list(media.describe_many(images, room))
+    tracemalloc.start()
+    again = [sum(len(o) for o, _, _ in media.describe_many(images, room)), tracemalloc.get_traced_memory()[1]]
+    tracemalloc.stop()
+    assert again[0] == sum(len(o) for o, _, _ in first) > 500 and again[1] < 2 * images[0].size
+    alone = [media.describe(v) for v in images]
+    assert sum(len(p) for p, _ in alone) == again[0]
+    for k, (p, c) in enumerate(alone):
+        assert sorted((*q, d.tobytes()) for q, d in zip(p.tolist(), c, strict=True)) == sorted((*q, d.tobytes()) for o, ps, cs in first for n, q, d in zip(o.tolist(), ps.tolist(), cs, strict=True) if n == k)
+
+
+def test_media_corners_against_all_places():
+    """Corners by running maxima are those of a plain comparison with every place around, ties and portions included."""
+    rng = np.random.default_rng(11)
+    for h, w, reach in ((300, 90, 5), (260, 70, 3), (40, 700, 5)):
+        response = rng.integers(0, 60, (h, w)).astype(np.float32)
+        want = []
+        for y in range(media.PATCH, h - media.PATCH):
+            for x in range(media.PATCH, w - media.PATCH):
+                v, near = response[y, x], response[y - reach : y + reach + 1, x - reach : x + reach + 1]
+                if v > 20 and v == near.max() and divmod(int(near.argmax()), 2 * reach + 1) == (reach, reach):
+                    want.append((y, x))
+        y, x = media.corners(response, reach, 20, media.Room())
+        assert len(want) > 20 and list(zip(y.tolist(), x.tolist(), strict=True)) == want
+
+
+def test_media_links_do_not_depend_on_the_order_of_rows(spark):
+    """Several shifts of a pair have equally many matches: the same one is told whatever order the keys come in."""
+    spot = lambda y, x: y << 24 | x << 8
+    keys = [(p, n, spot(20 * p, 10 if n == 1 else 10 + 7 * (p % 3))) for p in range(1, 13) for n in (1, 2)]
+    got = set()
+    for seed in range(4):
+        rows = random.Random(seed).sample(keys, len(keys))
+        found, _ = media.links_of(spark.createDataFrame(rows, "part long, node long, spot long").coalesce(1))
+        got.add(tuple(sorted((min(r.a, r.b), max(r.a, r.b), r.inliers, r.dx if r.a < r.b else -r.dx) for r in found.collect())))
+    assert len(got) == 1 and next(iter(got))[0][:3] == (1, 2, 4)
+
+
 def test_long_texts_are_encoded_in_portions(spark, monkeypatch):
     tok, (vocabulary, encoder, _) = Tokenizer.from_file(BYTE), bpe.byte_encoder(BYTE)
     rng = random.Random(1)
