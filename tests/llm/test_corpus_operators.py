@@ -543,6 +543,34 @@ def test_media_recall_of_planted_crops(spark):
     assert all(found[i] == i or (found[i], i) in want for i, _ in images) and sum(found[a] == found[b] for a, b in want) >= 0.95 * len(want)
 
 
+def test_media_small_regions_are_found(spark):
+    """Four rows in common give a dozen equal descriptors: every pair is found, as every part of them is in the tables."""
+    rng = random.Random(14)
+    lines = lambda n: [[f"word{rng.randint(0, 3000)}" for _ in range(20)] for _ in range(n)]
+    rows = []
+    for i in range(30):
+        common = lines(4)
+        rows += [(2 * i, page(lines(9) + common + lines(6))), (2 * i + 1, page(lines(3) + common + lines(11)))]
+    table = spark.createDataFrame(rows, "page_id long, html string")
+    drawn = {i: media.describe(media.draw(media.article_lines(h))) for i, h in rows}
+    want = reachable(sorted(drawn), lambda a, b: media.consensus(*drawn[a], *drawn[b])[0] >= media.LEAST)
+    assert groups_of(media.page_sketches(table)) == want and sum(i != c for i, c in want.items()) == 30
+
+
+def test_media_matches_are_near_in_all_bits(spark):
+    """Parts meet in the tables, but a link needs descriptors that differ in few of all their bits."""
+    rng = np.random.default_rng(15)
+    code = rng.integers(0, 256, (6, 16), np.uint8)
+    far, near = code.copy(), code.copy()
+    far[:, 4:] = rng.integers(0, 256, (6, 12), np.uint8)  # one equal part of four
+    near[:, [4, 8, 12]] ^= 7  # as well, nine bits differ
+    spot = [20 * k << 24 | 30 << 8 for k in range(1, 7)]
+    classes = spark.createDataFrame([(n, spot, bytearray(c.tobytes())) for n, c in ((1, code), (2, far), (3, near))], "node long, spots array<long>, codes binary")
+    assert media.keys_of(classes).count() == 3 * 6 * 4
+    found, nodes = media.links_of(media.keys_of(classes), classes)
+    assert [(r.a, r.b, r.inliers, r.dy, r.dx) for r in found.collect()] == [(1, 3, 6, 0, 0)] and {r.node: r.component for r in nodes.collect()} == {1: 1, 3: 1}
+
+
 def test_media_crops_keep_the_corners_of_their_original():
     rng = random.Random(9)
     image = media.draw([[f"word{rng.randint(0, 99)}" for _ in range(20)] for _ in range(70)])
