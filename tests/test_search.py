@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lectern.plans.registry import Tables
 from lectern.plans.search import latex_sources
 from lectern.functions import html, latex
-from lectern.operators import graphs, intervals, textindex
+from lectern.operators import graphs, intervals, textindex, vectors
 from lectern.operators.attributes import at_path, satisfied
 from lectern.operators.vectors import CellIndex
 
@@ -303,6 +303,27 @@ def test_cell_index(spark):
     assert index.rows.count() == 1500
 
 
+def test_cells_are_compared_in_blocks(spark, monkeypatch):
+    """Slices of queries meet blocks of rows, and only rows that may be among the nearest leave them, copies and near ties included."""
+    for name, value in (("BLOCK", 64), ("SLICE", 16), ("SHARE", 128)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(7)
+    v = np.concatenate([rng.normal(size=(1400, 8)).round(1), np.ones((600, 8)), np.ones((40, 8)) + rng.normal(size=(40, 8)) * 1e-8])
+    rng.shuffle(v)
+    index = CellIndex(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>"), "id", "v", cells=8)
+    asked = list(range(0, len(v), 20))
+    queries = spark.createDataFrame([(i, v[i].tolist()) for i in asked], "query long, q array<double>")
+    got = {}
+    for r in index.search(queries, 5, decimals=6, others=True).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r["id"])
+    for i in asked:
+        d = np.sqrt(((v - v[i]) ** 2).sum(1))
+        assert got[i] == [int(j) for j in np.lexsort((np.arange(len(d)), d.round(6))) if j != i][:5]
+    near = index.near_cells(queries).withColumn("worst", F.lit(None).cast("double"))
+    left = index.distances(near, index.blocks(), 5, 0, 8, 6, True)
+    assert max(index.deals.values()) > 4 and left.count() < len(asked) * len(v) / 5
+
+
 def test_dotted_paths(spark):
     contexts = [{"user": {"id": 5, "tags": ["a"]}, "x.y": 1}, {"user": 3}, {}, {"user": {"id": None}}, {"user": {"id": "10"}}]
     rows = [(json.dumps(c), p, op, v) for c in contexts for p, op, v in [("user.id", "eq", "5"), ("user.id", "gt", "7"), ("user.id", "exists", ""), ("user", "ne", "3"), ("user.id.z", "exists", ""), ("user.id", "in", "4,5,10"), ("user.id", "lt", "x")]]
